@@ -31,7 +31,21 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("source_id", F.col("line_no").cast("bigint"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+def _both_fields(found, quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """found over quotes by position_id and over texts by source_id, as one result."""
+    a = found(quotes, "position_id", "quote").select(F.lit("quote").alias("field_name"), "id_a", "id_b")
+    b = found(texts, "source_id", "text").select(F.lit("text").alias("field_name"), "id_a", "id_b")
+    return a.unionByName(b)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.llm.canonical import lookalike_pairs
+
+    quotes = spark.read.parquet(f"{sf}/positions.parquet").where(F.col("kind") == "background")
+    return _both_fields(lookalike_pairs, quotes, _source(spark, sf, "questionnaire_reply"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
