@@ -16,9 +16,10 @@ by id; blank lines are never cases.  Ids are whole numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanlake.llm.common import BLANKS, host_of
+from spanlake.session import checkpointed
 
 LOW = 15  # bits of a document id inside a container
 
@@ -58,16 +59,15 @@ def line_bitmaps(lines: DataFrame) -> DataFrame:
 def repeated_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, least_docs: int = 5, least_share: float = 0.2) -> DataFrame:
     """(id_col, line_no) of lines on at least least_docs pages and least_share of the pages of their host."""
     pages = _pages(df, id_col, url_col, text_col)
-    lines = _lines(pages)
+    lines = checkpointed(_lines(pages), df.sparkSession)  # normalised once, read twice
     part = F.shiftright("doc", LOW).alias("container")
     on_host = (
         pages.groupBy("host", part).agg(F.size(F.collect_set(F.col("doc").bitwiseAND((1 << LOW) - 1).cast("smallint"))).alias("n"))
         .groupBy("host").agg(F.sum("n").alias("pages"))
     )
-    bitmaps = line_bitmaps(lines).withColumn("n", F.size("docs"))
-    totals = bitmaps.groupBy("host", "line").agg(F.sum("n").alias("docs_with_line")).where(F.col("docs_with_line") >= least_docs)
-    cases = totals.join(on_host, "host").where(F.col("docs_with_line") >= F.col("pages") * F.lit(least_share)).select("host", "line")
-    kept = bitmaps.join(cases, ["host", "line"], "left_semi").select("host", "line", "container", "docs")
+    bitmaps = line_bitmaps(lines).withColumn("docs_with_line", F.sum(F.size("docs")).over(Window.partitionBy("host", "line")))
+    common = bitmaps.where(F.col("docs_with_line") >= least_docs).join(on_host, "host")
+    kept = common.where(F.col("docs_with_line") >= F.col("pages") * F.lit(least_share)).select("host", "line", "container", "docs")
     found = lines.join(kept, ["host", "line", "container"]).where(F.array_contains("docs", F.col("low")))
     return found.select(F.col("doc").alias(id_col), "line_no").distinct()
 
