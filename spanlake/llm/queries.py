@@ -45,7 +45,35 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return _both_fields(lookalike_pairs, quotes, _source(spark, sf, "questionnaire_reply"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+def _near(df: DataFrame, id_col: str, text_col: str):
+    from spanlake.llm.parity_join import near_duplicates
+
+    return near_duplicates(df, id_col, text_col, threshold=0.7)
+
+
+def _edited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    spoken = F.col("lang").isin("en", "fr", "de", "es")
+    quotes = spark.read.parquet(f"{sf}/positions.parquet").where((F.col("kind") == "position") & spoken)
+    return quotes, _source(spark, sf, "official_statement").where(spoken)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.llm.parity_join import expand_pairs
+
+    return _both_fields(lambda df, i, c: expand_pairs(*_near(df, i, c)), *_edited(spark, sf))
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per record: its class, its group and the number of classes linked to its own."""
+    from spanlake.llm.parity_join import groups
+
+    quotes, texts = _edited(spark, sf)
+    a = groups(*_near(quotes, "position_id", "quote")).withColumn("field_name", F.lit("quote"))
+    b = groups(*_near(texts, "source_id", "text")).withColumn("field_name", F.lit("text"))
+    return a.unionByName(b).select("field_name", F.col("id").alias("record_id"), "class_id", "group_id", F.col("links").cast("bigint").alias("linked_classes"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
