@@ -73,7 +73,24 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).select("field_name", F.col("id").alias("record_id"), "class_id", "group_id", F.col("links").cast("bigint").alias("linked_classes"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found}
+def _cut(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.llm.truncation import truncated
+
+    return truncated(_source(spark, sf), "source_id", "text", "url", "lang")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _cut(spark, sf).where("truncated").select("source_id").distinct()
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of cut records per host."""
+    from spanlake.llm.truncation import truncation_rates
+
+    return truncation_rates(_cut(spark, sf), "source_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
