@@ -44,10 +44,10 @@ def words_of(text: Column) -> Column:
 
 
 def word_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, class_id, words as sorted hashes): one row per distinct id and word set."""
+    """(id, class_id, words as sorted 64-bit hashes) of every row with a word."""
     words = df.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")).where(F.col("id").isNotNull() & (F.size("w") > 0))
     hashed = words.select("id", F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("words"))
-    return hashed.withColumn("class_id", F.md5(F.concat_ws(",", F.col("words").cast("array<string>"))))
+    return hashed.select("id", F.md5(F.concat_ws(",", F.col("words").cast("array<string>"))).alias("class_id"), "words")
 
 
 def band_budget(k: int) -> int:
@@ -55,8 +55,12 @@ def band_budget(k: int) -> int:
     return 2 * 2**k - 1
 
 
-def signatures(words: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """(doc, signature, type, band) of all records; words are their hashes, doc the record of each."""
+def signatures(words: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: float, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, signature, type, band) of all records; words are their hashes, doc the record of each.
+
+    sizes are the sizes that occur at all, in order: a record skips a band if none
+    of them would give a sum in it.
+    """
     rate = (1 - threshold) / (1 + threshold)
     least, most = size * (1 + threshold), size * (1 + 1 / threshold)  # sums a partner can give
     out: list[tuple[np.ndarray, ...]] = []
@@ -65,7 +69,9 @@ def signatures(words: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold:
         low = (band_budget(k - 1) + 1) / rate if k else 0.0  # this band: low <= sum < high
         high = (band_budget(k) + 1) / rate
         # sums are whole numbers and differences are rounded down, hence the margins of one
-        here = np.flatnonzero((most >= low - 1) & (least < high + 1))
+        first_size = np.searchsorted(sizes, np.maximum(size * threshold - 1, low - 1 - size))
+        last_size = np.searchsorted(sizes, np.minimum(size / threshold + 1, high + 1 - size), side="right")
+        here = np.flatnonzero((most >= low - 1) & (least < high + 1) & (first_size < last_size))
         if len(here):
             parts = 2**k
             slot = np.full(len(size), -1, dtype=np.int64)
@@ -103,17 +109,17 @@ def bit_sketches(words: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(flat.astype(np.uint8).reshape(n, 256), axis=1, bitorder="little").view(np.int64).reshape(n, 4)
 
 
-def _signature_rows(reps: DataFrame, threshold: float) -> DataFrame:
+def _signature_rows(reps: DataFrame, threshold: float, sizes: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 batch = big.slice(lo, 1000)
                 lists = batch.column(1)
-                words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                words = _mix(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 size = np.diff(lists.offsets.to_numpy())
                 doc = np.repeat(np.arange(len(size)), size)
                 sketch = bit_sketches(words, doc, len(size))
-                at, sig, kind, band = signatures(words, doc, size, threshold)
+                at, sig, kind, band = signatures(words, doc, size, threshold, sizes)
                 meta = size[at].astype(np.int64) << 8 | band.astype(np.int64) << 1 | kind
                 cols = [pa.array(sig), batch.column(0).take(pa.array(at)), pa.array(meta), *(pa.array(sketch[at, i]) for i in range(4))]
                 yield pa.RecordBatch.from_arrays(cols, ["sig", "rep", "meta", "s0", "s1", "s2", "s3"])
@@ -121,21 +127,33 @@ def _signature_rows(reps: DataFrame, threshold: float) -> DataFrame:
     return reps.select("rep", "words").mapInArrow(run, "sig long, rep long, meta long, s0 long, s1 long, s2 long, s3 long")
 
 
-def representative_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_a, class_b, shared, size_a, size_b) for class pairs at or above the threshold, each once."""
-    reps = classes.groupBy("class_id").agg(F.first("words").alias("words"))
-    reps = reps.withColumn("rep", F.xxhash64("class_id"))
-    rows = _signature_rows(reps, threshold)
+def representative_pairs(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(class_a, class_b, shared, size_a, size_b) for class pairs at or above the threshold, each once.
+
+    Signatures are cut from 32-bit hashes (equal words stay equal, so no pair is
+    lost); the verification uses 64 bits of every word.
+    """
+    from spanlake.llm.common import join_small
+    from spanlake.session import checkpointed
+
+    spark = classes.sparkSession
+    # as many rows as there are distinct sizes
+    sizes = np.array(sorted(r["size"] for r in members.select("size").distinct().collect()), dtype=np.int64)
+    short = F.transform("words", lambda x: x.cast("int"))
+    reps = classes.select("class_id", short.alias("words")).groupBy("class_id").agg(F.first("words").alias("words"))
+    rows = _signature_rows(reps.select(F.xxhash64("class_id").alias("rep"), "words"), threshold, sizes)
     rate = (1 - threshold) / (1 + threshold)
     a = rows.where(F.col("meta").bitwiseAND(1) == 0).select("sig", *(F.col(c).alias("l_" + c) for c in rows.columns[1:]))
-    sizes = F.shiftright("l_meta", 8) + F.shiftright("meta", 8)
+    sums = F.shiftright("l_meta", 8) + F.shiftright("meta", 8)
     far = sum((F.bit_count(F.col(f"l_s{i}").bitwiseXOR(F.col(f"s{i}"))) for i in range(1, 4)), F.bit_count(F.col("l_s0").bitwiseXOR(F.col("s0"))))
     # one whole part met another whole part: keep one of the two orders
     once = (F.col("meta").bitwiseAND(1) == 1) | (F.col("l_rep") < F.col("rep"))
-    near = (far <= sizes * F.lit(rate) + F.lit(1e-9)) & (F.col("l_rep") != F.col("rep")) & once
+    near = (far <= sums * F.lit(rate) + F.lit(1e-9)) & (F.col("l_rep") != F.col("rep")) & once
     met = a.join(rows, (a["sig"] == rows["sig"]) & near)
-    pairs = met.select(F.least("l_rep", "rep").alias("ra"), F.greatest("l_rep", "rep").alias("rb")).distinct()
-    words = reps.select("rep", "class_id", "words")
+    pairs = checkpointed(met.select(F.least("l_rep", "rep").alias("ra"), F.greatest("l_rep", "rep").alias("rb")).distinct(), spark)
+    asked = pairs.select(F.col("ra").alias("rep")).union(pairs.select("rb")).distinct()
+    words = join_small(classes.select(F.xxhash64("class_id").alias("rep"), "class_id", "words"), asked, ["rep"])
+    words = words.groupBy("rep", "class_id").agg(F.first("words").alias("words"))
     both = pairs.join(words.toDF("ra", "class_a", "wa"), "ra").join(words.toDF("rb", "class_b", "wb"), "rb")
     both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb"))).withColumn("size_a", F.size("wa")).withColumn("size_b", F.size("wb"))
     enough = F.col("shared") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("shared")) - F.lit(1e-9)
@@ -146,9 +164,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     """(membership, links): id and class_id of every record with words, and the class pairs at or above the threshold."""
     from spanlake.session import checkpointed
 
-    classes = checkpointed(word_classes(df, id_col, text_col), df.sparkSession)
-    members = classes.select("id", "class_id").distinct()
-    return members, representative_pairs(classes, threshold)
+    classes = word_classes(df, id_col, text_col)
+    members = checkpointed(classes.select("id", "class_id", F.size("words").alias("size")).distinct(), df.sparkSession)
+    return members.select("id", "class_id"), representative_pairs(classes, members, threshold)
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
