@@ -130,7 +130,7 @@ def _signature_rows(reps: DataFrame, threshold: float, sizes: np.ndarray) -> Dat
 def representative_pairs(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(class_a, class_b, shared, size_a, size_b) for class pairs at or above the threshold, each once.
 
-    Signatures are cut from 32-bit hashes (equal words stay equal, so no pair is
+    Signatures are cut from 31-bit hashes (equal words stay equal, so no pair is
     lost); the verification uses 64 bits of every word.
     """
     from spanlake.llm.common import join_small
@@ -139,7 +139,7 @@ def representative_pairs(classes: DataFrame, members: DataFrame, threshold: floa
     spark = classes.sparkSession
     # as many rows as there are distinct sizes
     sizes = np.array(sorted(r["size"] for r in members.select("size").distinct().collect()), dtype=np.int64)
-    short = F.transform("words", lambda x: x.cast("int"))
+    short = F.transform("words", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
     reps = classes.select("class_id", short.alias("words")).groupBy("class_id").agg(F.first("words").alias("words"))
     rows = _signature_rows(reps.select(F.xxhash64("class_id").alias("rep"), "words"), threshold, sizes)
     rate = (1 - threshold) / (1 + threshold)
