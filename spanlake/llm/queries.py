@@ -90,7 +90,39 @@ def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_rates(_cut(spark, sf), "source_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates}
+def _names(spark: SparkSession, sf: str):
+    from spanlake.llm.personal_data import learn_names
+
+    people = [spark.read.parquet(f"{sf}/{t}.parquet").select("given", "surname") for t in ("candidates", "rosters")]
+    return learn_names(people[0].unionByName(people[1]), "given", "surname")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.llm.personal_data import personal_data
+
+    found = personal_data(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", _names(spark, sf), "lang")
+    return found.select("doc_id", F.col("char_start").cast("bigint"), F.col("char_end").cast("bigint"), "pii_kind").distinct()
+
+
+def p9_placeholders(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    from spanlake.llm.personal_data import with_placeholders
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    return with_placeholders(docs, "doc_id", "text", _names(spark, sf), "lang").select("doc_id", "text")
+
+
+def p9_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with keyed surrogates."""
+    from spanlake.llm.personal_data import personal_data, with_surrogates
+    from spanlake.session import checkpointed
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    found = checkpointed(personal_data(docs, "doc_id", "text", _names(spark, sf), "lang"), spark)
+    return with_surrogates(docs, "doc_id", "text", found, key="spanlake-demo-key")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
