@@ -90,6 +90,47 @@ def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_rates(_cut(spark, sf), "source_id")
 
 
+def _sized(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    """documents with their tokens; encoded once and written to the shared folder."""
+    from spanlake.llm.tokens import token_counts
+    from spanlake.session import checkpointed
+
+    return checkpointed(token_counts(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", keep), spark)
+
+
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text, or piece of a text above the capacity, with its container in each profile."""
+    from spanlake.llm.packing import packed
+
+    out = packed(_sized(spark, sf), "doc_id", "tokens", spark.read.parquet(f"{sf}/pack_profiles.parquet"))
+    return out.withColumnRenamed("item_id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.llm.packing import fill_report
+
+    return fill_report(p7_packed(spark, sf), spark.read.parquet(f"{sf}/pack_profiles.parquet"))
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from spanlake.llm.mixing import mixed
+
+    targets = spark.read.parquet(f"{sf}/mix_targets.parquet")
+    return mixed(_sized(spark, sf, "source"), targets, "doc_id", "source", "tokens"), targets
+
+
+def p8_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The selected records, one row per use."""
+    return _mix(spark, sf)[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of each source."""
+    from spanlake.llm.mixing import reached_shares
+
+    return reached_shares(*_mix(spark, sf), "source", "tokens")
+
+
 def _names(spark: SparkSession, sf: str):
     from spanlake.llm.personal_data import learn_names
 
@@ -122,7 +163,7 @@ def p9_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return with_surrogates(docs, "doc_id", "text", found, key="spanlake-demo-key")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
