@@ -127,20 +127,20 @@ def _signature_rows(reps: DataFrame, threshold: float, sizes: np.ndarray) -> Dat
     return reps.select("rep", "words").mapInArrow(run, "sig long, rep long, meta long, s0 long, s1 long, s2 long, s3 long")
 
 
-def representative_pairs(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: DataFrame, threshold: float) -> DataFrame:
     """(class_a, class_b, shared, size_a, size_b) for class pairs at or above the threshold, each once.
 
-    Signatures are cut from 31-bit hashes (equal words stay equal, so no pair is
-    lost); the verification uses 64 bits of every word.
+    members: id, class_id, size and short, the words' 31-bit hashes.  Signatures
+    are cut from these (equal words stay equal, so no pair is lost); classes that
+    met are read again from df and verified on 64 bits of every word.
     """
     from spanlake.llm.common import join_small
     from spanlake.session import checkpointed
 
-    spark = classes.sparkSession
+    spark = df.sparkSession
     # as many rows as there are distinct sizes
     sizes = np.array(sorted(r["size"] for r in members.select("size").distinct().collect()), dtype=np.int64)
-    short = F.transform("words", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    reps = classes.select("class_id", short.alias("words")).groupBy("class_id").agg(F.first("words").alias("words"))
+    reps = members.groupBy("class_id").agg(F.first("short").alias("words"))
     rows = _signature_rows(reps.select(F.xxhash64("class_id").alias("rep"), "words"), threshold, sizes)
     rate = (1 - threshold) / (1 + threshold)
     a = rows.where(F.col("meta").bitwiseAND(1) == 0).select("sig", *(F.col(c).alias("l_" + c) for c in rows.columns[1:]))
@@ -152,8 +152,9 @@ def representative_pairs(classes: DataFrame, members: DataFrame, threshold: floa
     met = a.join(rows, (a["sig"] == rows["sig"]) & near)
     pairs = checkpointed(met.select(F.least("l_rep", "rep").alias("ra"), F.greatest("l_rep", "rep").alias("rb")).distinct(), spark)
     asked = pairs.select(F.col("ra").alias("rep")).union(pairs.select("rb")).distinct()
-    words = join_small(classes.select(F.xxhash64("class_id").alias("rep"), "class_id", "words"), asked, ["rep"])
-    words = words.groupBy("rep", "class_id").agg(F.first("words").alias("words"))
+    one_each = join_small(members.select(F.xxhash64("class_id").alias("rep"), "class_id", "id"), asked, ["rep"]).groupBy("rep", "class_id").agg(F.min("id").alias(id_col))
+    met_rows = join_small(df.select(id_col, text_col), one_each.select(id_col).distinct(), [id_col])
+    words = word_classes(met_rows, id_col, text_col).join(one_each.select("rep", "class_id"), "class_id").groupBy("rep", "class_id").agg(F.first("words").alias("words"))
     both = pairs.join(words.toDF("ra", "class_a", "wa"), "ra").join(words.toDF("rb", "class_b", "wb"), "rb")
     both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb"))).withColumn("size_a", F.size("wa")).withColumn("size_b", F.size("wb"))
     enough = F.col("shared") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("shared")) - F.lit(1e-9)
@@ -164,9 +165,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     """(membership, links): id and class_id of every record with words, and the class pairs at or above the threshold."""
     from spanlake.session import checkpointed
 
-    classes = word_classes(df, id_col, text_col)
-    members = checkpointed(classes.select("id", "class_id", F.size("words").alias("size")).distinct(), df.sparkSession)
-    return members.select("id", "class_id"), representative_pairs(classes, members, threshold)
+    short = F.transform("words", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("short")
+    members = checkpointed(word_classes(df, id_col, text_col).select("id", "class_id", F.size("words").alias("size"), short), df.sparkSession)
+    return members.select("id", "class_id").distinct(), representative_pairs(df, id_col, text_col, members, threshold)
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
