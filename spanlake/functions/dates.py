@@ -21,7 +21,7 @@ def iso_day(x: Column) -> Column:
 
 def mixed_instant(x: Column) -> Column:
     """An instant from epoch seconds or ISO text, whichever the string holds; null otherwise."""
-    number = F.when(x.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.timestamp_seconds(F.expr("double(0)") + x.try_cast("double")))
+    number = F.when(x.rlike(r"^[0-9]+(\.[0-9]+)?([eE]\+?[0-9]+)?$"), F.timestamp_seconds(x.try_cast("double")))
     text = F.try_to_timestamp(F.substring(x, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     return F.coalesce(number, text)
 

@@ -52,8 +52,12 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         chrome = tag in CHROME or (named.get("role") or "").lower() in CHROME_ROLES
-        if tag in ("p", "li") and any(t == tag for t, _ in self._open):  # an unclosed sibling ends here
-            self._close(tag)
+        if tag in BLOCK or chrome:
+            around = [t for t, _ in self._open if t in BLOCK or t in CHROME]
+            if around and around[-1] == "p":  # a paragraph without its end tag ends here
+                self._close("p")
+            if tag == "li" and "li" in around and not {"ul", "ol"} & set(around[len(around) - around[::-1].index("li") :]):
+                self._close("li")
         if tag in BLOCK or chrome:
             if not self._hidden:
                 self._flush()

@@ -222,9 +222,12 @@ def str20_letters(spark: SparkSession, sf: str) -> DataFrame:
     """Names reduced to plain letters, by a vectorised function (accents and marks go)."""
     import unicodedata
 
+    import pandas as pd
+
     def plain(names):
         flat = names.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
         return flat.str.lower().str.replace(r"[^a-z]", "", regex=True)
 
-    letters = F.pandas_udf(plain, "string", F.PandasUDFType.SCALAR)
+    plain.__annotations__ = {"names": pd.Series, "return": pd.Series}
+    letters = F.pandas_udf(plain, "string")
     return _people(spark, sf).select("candidate_id", letters("full_name").alias("letters"))
