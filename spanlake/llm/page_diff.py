@@ -132,6 +132,8 @@ def furniture(ids: list, paths: list[str], texts: list[str], neighbours: int = 1
     for i in range(len(pages)):
         need = votes if partners[i] > 4 else 1
         shared.append({x for x, n in counts[i].items() if n >= need})
+    # a post that other pages list as well is still a title, not furniture of the whole host
+    rare = [{x for x in shared[i] if counts[i][x] * 5 <= partners[i] * 2} for i in range(len(pages))]
     # headings of post lists: shared lines that titles follow, at least on two pages in three
     follows: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for i, (_, _, _, keys) in enumerate(pages):
@@ -140,7 +142,7 @@ def furniture(ids: list, paths: list[str], texts: list[str], neighbours: int = 1
                 continue
             f = follows[keys[x]]
             f[1] += 1
-            f[0] += x + 2 < len(keys) and all(y not in shared[i] and _title_like(keys[y]) for y in (x + 1, x + 2))
+            f[0] += x + 2 < len(keys) and all((y not in shared[i] or y in rare[i]) and _title_like(keys[y]) for y in (x + 1, x + 2))
     out = []
     for i, (r, _, numbers, keys) in enumerate(pages):
         listed: set[int] = set()
@@ -148,7 +150,7 @@ def furniture(ids: list, paths: list[str], texts: list[str], neighbours: int = 1
             yes, of = follows.get(keys[x], (0, 0))
             if of and yes * 3 >= of * 2 and (of > 1 or yes):
                 y = x + 1
-                while y < len(keys) and y not in shared[i] and _title_like(keys[y]):
+                while y < len(keys) and (y not in shared[i] or y in rare[i]) and _title_like(keys[y]):
                     listed.add(y)
                     y += 1
         for x, n in enumerate(numbers):
