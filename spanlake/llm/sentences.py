@@ -283,7 +283,7 @@ def _boundaries() -> Transducer:
             keep = was if c in (CLOSE, CLOSER, RBR, DOT, TERM) else "I"
             to = inside(c, keep, q, b, li)
             return (to or ("I", 0, q, b, li)), 0
-        if c == CLOSE and was in stops:
+        if c in (CLOSE, CLOSER) and was in stops:
             return ("C", 0, q, b, li), 0
         new = {
             "T": True,
@@ -327,6 +327,19 @@ def _mark_classes(cps: np.ndarray, classes: np.ndarray, ends: np.ndarray, lang:
     if lang == "de":
         classes[cps == ord("“")] = CLOSE
     classes[((cps == ord(";")) | (cps == 0x37E)) & (before >= 0x370) & (before <= 0x3FF)] = TERM
+    # a capital says nothing in a word of capitals that follows another one
+    letter = np.isin(classes, (UPPER, LOWER, LETTER))
+    starts = np.flatnonzero(letter & ~np.concatenate(([False], letter[:-1])))
+    if len(starts):
+        stop = np.flatnonzero(letter & ~np.concatenate((letter[1:], [False]))) + 1
+        upper = np.concatenate(([0], np.cumsum(classes == UPPER)))
+        caps = (stop - starts > 1) & (upper[stop] - upper[starts] == stop - starts)
+        doc = np.searchsorted(ends, starts, side="right")
+        after_caps = caps & np.concatenate(([False], caps[:-1] & (doc[1:] == doc[:-1])))
+        edge = np.zeros(len(cps) + 1, dtype=np.int8)
+        edge[starts[after_caps]] += 1
+        edge[stop[after_caps]] -= 1
+        classes[np.cumsum(edge[:-1]).astype(bool)] = LOWER
     # a mark counts only if the next mark of its family within the paragraph is its partner
     hard = np.zeros(len(cps), dtype=bool)
     hard[firsts] = True

@@ -27,6 +27,8 @@ CASES = [
     ("en", 'The sign said "Stop! Think!" and we did. The slogan was "Build it now." Some agreed.', ['The sign said "Stop! Think!" and we did.', 'The slogan was "Build it now."', "Some agreed."]),
     ("en", "We met in May.\n1) First item\n2) Second item\n\n- Jo Reed", ["We met in May.", "First item", "Second item", "Jo Reed"]),
     ("en", "A line that goes\non here. Next one without a blank.Then this", ["A line that goes\non here.", "Next one without a blank.", "Then this"]),
+    ("en", "So it goes. 'FIX IT!' WROTE MR. LOW ON ELM ST. AND THIRD AVE. BEFORE NOON. The end.", ["So it goes.", "'FIX IT!' WROTE MR. LOW ON ELM ST. AND THIRD AVE. BEFORE NOON.", "The end."]),
+    ("fr", "ON ATTEND... ET ON ATTEND. Il dit : Enfin ! » Qui va là ?", ["ON ATTEND... ET ON ATTEND.", "Il dit : Enfin ! »", "Qui va là ?"]),
     ("de", "Am 3. Mai tagte der Rat bis 21.30 Uhr. Das kostet ca. 3.000 Euro usw., doch wir zahlen. „Ist das gut?“, fragte sie.", ["Am 3. Mai tagte der Rat bis 21.30 Uhr.", "Das kostet ca. 3.000 Euro usw., doch wir zahlen.", "„Ist das gut?“, fragte sie."]),
     ("fr", "J.-P. Roy a dit : « Enfin ! » On attend... et on attend. M.\nRoy part.", ["J.-P. Roy a dit : « Enfin ! »", "On attend... et on attend.", "M.\nRoy part."]),
     ("es", "La empresa de EE. UU. dejó la plaza. ¡Bien! —¿Es justo? —preguntó ella.", ["La empresa de EE. UU. dejó la plaza.", "¡Bien!", "—¿Es justo? —preguntó ella."]),
