@@ -1,7 +1,7 @@
 """Records whose text was cut off, by a classifier trained on artificial cuts.
 
-Intact texts are cut at random places and at the lengths that are frequent in
-their source (with and without marks of a cut); hashed logistic regression on
+Intact texts are cut at random places, as if by accident (with and without marks
+of a cut) or at a field's limit (with the counts that frequent lengths have); hashed logistic regression on
 the closing characters, punctuation, the last line's form and how often the
 source has texts of exactly this length learns to tell them from uncut texts.
 Some of the texts taken for intact are cut themselves: after a first fit those
@@ -82,16 +82,17 @@ def features(tail: str, same_length: int, lang: str) -> list[int]:
     return [crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in out]
 
 
-def _cuts(text: str, limits: list[tuple[int, int]], rng: np.random.Generator, cuts: int) -> Iterator[tuple[str, int]]:
-    """(cut text, length count) for a few places inside words or sentences."""
+def _cuts(text: str, limits: list[int], rng: np.random.Generator, cuts: int) -> Iterator[tuple[str, int]]:
+    """(cut text, length count) for a few places inside words or sentences.
+
+    Every second cut stands for one at a field's limit: it gets a count that such
+    lengths have in the collection, as no text of a limited field is longer.
+    """
     for k in range(cuts):
-        fitting = [(n, c) for n, c in limits if n < len(text)]
-        if fitting and k % 2:
-            n, count = fitting[int(rng.integers(len(fitting)))]
-            mark = ""
-        else:
-            n, count = int(rng.integers(max(1, len(text) // 5), max(2, len(text)))), 1
-            mark = MARKS[int(rng.integers(len(MARKS)))] if rng.random() < 0.3 else ""
+        n = int(rng.integers(max(1, len(text) // 5), max(2, len(text))))
+        at_limit = bool(limits) and k % 2 == 1
+        count = limits[int(rng.integers(len(limits)))] if at_limit else 1
+        mark = MARKS[int(rng.integers(len(MARKS)))] if not at_limit and rng.random() < 0.3 else ""
         cut, rest = text[:n], text[n:]
         ended = cut.rstrip()
         if not rest.strip() or not ended or rest[0] == "\n" or cut[-1] == "\n" or (_END.search(ended) and not rest[0].isalnum()):
@@ -99,7 +100,7 @@ def _cuts(text: str, limits: list[tuple[int, int]], rng: np.random.Generator, cu
         yield (ended if mark or rng.random() < 0.5 else cut) + mark, count
 
 
-def _whole(text: str, limits: list[tuple[int, int]], rng: np.random.Generator, wanted: int) -> Iterator[tuple[str, int]]:
+def _whole(text: str, limits: list[int], rng: np.random.Generator, wanted: int) -> Iterator[tuple[str, int]]:
     """(text up to the end of a line or Thai sentence, length count): beginnings that stop at a natural end."""
     ends = [m.start() for m in _THAI_GAP.finditer(text)]
     lines = text.split("\n")
@@ -113,7 +114,7 @@ def _whole(text: str, limits: list[tuple[int, int]], rng: np.random.Generator, w
         at += 1
     for _ in range(wanted if ends else 0):
         n = ends[int(rng.integers(len(ends)))]
-        count = limits[int(rng.integers(len(limits)))][1] if limits and rng.random() < 0.15 else 1
+        count = limits[int(rng.integers(len(limits)))] if limits and rng.random() < 0.05 else 1
         yield text[:n] + ("\n" if rng.random() < 0.1 else ""), count
 
 
@@ -181,26 +182,26 @@ def truncated(
     base = _with_counts(df, id_col, url_col, text_col, lang_col)
     counts = base.groupBy("host", "n", "id").agg(F.lit(1).alias("one")).groupBy("host", "n").agg(F.count("*").alias("same"))
     counts = checkpointed(counts.where("same > 1"), df.sparkSession)
-    limits = counts.where("same >= 4").groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "n")), asc=False), 1, 8).alias("limits"))
+    # what the counts of frequent lengths are; at most 1,000 of them, by hash order
+    limits = [r["same"] for r in counts.where("same >= 4").orderBy(F.xxhash64("host", "n")).limit(1000).collect()]
     # a bounded sample, by hash and so the same whatever the partitions
     total = base.count()
     share = min(1.0, sample_rows / max(1, total))
     sample = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample_rows)
-    sample = sample.join(limits, "host", "left").join(counts, ["host", "n"], "left").select("text", "lang", F.coalesce("same", F.lit(1)).alias("same"), "limits")
+    sample = sample.join(counts, ["host", "n"], "left").select("text", "lang", F.coalesce("same", F.lit(1)).alias("same"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, same, near = (c.to_pylist() for c in batch.columns)
+            texts, langs, same = (c.to_pylist() for c in batch.columns)
             tails, where, out = [], [], []
-            for text, lang, count, lim in zip(texts, langs, same, near):
+            for text, lang, count in zip(texts, langs, same):
                 rng = np.random.default_rng([seed, crc32(text.encode())])
                 where.append((0, count, lang))
                 tails.append(text[-TAIL:])
-                near_ = [(x["n"], x["same"]) for x in lim or []]
-                for end, c in _whole(text, near_, rng, cuts):
+                for end, c in _whole(text, limits, rng, cuts):
                     where.append((0, c, lang))
                     tails.append(end[-TAIL:])
-                for cut, c in _cuts(text, near_, rng, cuts):
+                for cut, c in _cuts(text, limits, rng, cuts):
                     where.append((1, c, lang))
                     tails.append(cut[-TAIL:])
             folded = canonical_array(pa.array(tails, pa.string())).to_pylist()
