@@ -32,6 +32,7 @@ _DATE = re.compile(r"^(?:0[.]? (?:de )?[^\W\d]+\.?(?: de)? 0|[^\W\d]+\.? 0(?:st|
 _TRAIL = re.compile(r" ?[›»>] ?")
 _END = re.compile(r"[.!?…。！？][\"'”»’)]*$")
 _MARK = re.compile(r"^(?:[*•–-]|0[.)]) ")
+_NAME = re.compile(r"[^\W\d_]{5,}")
 _NOTE = re.compile(r" ?\(0 [^\W\d]+\.?\)$")
 
 
@@ -45,6 +46,11 @@ def line_key(line: str) -> str:
     return x
 
 
+def site_key(key: str, host: str) -> str:
+    """key with the words that the host's name holds blanked out, to compare lines of different hosts."""
+    return _NAME.sub(lambda m: "\x02" if m.group() in host else m.group(), key)
+
+
 def _lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Longest common subsequence over match points only (lines hardly repeat within a page)."""
     where: dict[str, list[int]] = defaultdict(list)
@@ -174,7 +180,7 @@ def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, block_pa
             "id": ids.take(pa.array([f[0] for f in found], pa.int64())).combine_chunks(),
             "line_no": pa.array([f[1] for f in found], pa.int32()),
             # only short lines can be looked up on other hosts
-            "line_key": pa.array([f[2] if len(f[2]) <= 160 and f[3] < 2 else None for f in found], pa.string()),
+            "line_key": pa.array([site_key(f[2], host) if len(f[2]) <= 160 and f[3] < 2 else None for f in found], pa.string()),
             "verdict": pa.array([f[3] for f in found], pa.int32()),
             "host": pa.array([host] * len(found), pa.string()),
         })
