@@ -176,6 +176,8 @@ FOUND = [
     ("mailto:ADA [at] site [dot] example is quick", "", [("ADA [at] site [dot] example", "email")]),
     ("ask the clerk @ the desk, follow @talk22 for news", "", []),
     ("Call (250) 555-0177 x12 or +44 7700 900668; 555-0131.", "", [("(250) 555-0177 x12", "phone"), ("+44 7700 900668", "phone"), ("555-0131", "phone")]),
+    ("Text +1 604 555 0190 528 renters did; +44 7700 900668 94 more, +33 1 99 00 64 64 x5.", "", [("+1 604 555 0190", "phone"), ("+44 7700 900668", "phone"), ("+33 1 99 00 64 64 x5", "phone")]),
+    ("I rent at 986 Saller Street. 939 owners. I rent at 12 Ell Rd. 40 more.", "", [("986 Saller Street", "address"), ("12 Ell Rd", "address")]),
     ("电话+１ ２５０ ５５５ ０１２０。", "zh", [("+１ ２５０ ５５５ ０１２０", "phone")]),
     ("Contract 635-471-1713, account 4666 519 2025, parcel identifier is 009-590-676, Tender RFP-2013-347-07", "", []),
     ("Her care card reads 9364-370-686. SIN 071 715 557, Passport QX 232831, licence DL-0268355 was", "", [("9364-370-686", "id_number"), ("071 715 557", "id_number"), ("QX 232831", "id_number"), ("DL-0268355", "id_number")]),
