@@ -19,26 +19,28 @@ def pruned(df: DataFrame, owner: str, category: str, quote: str, official: Colum
     Per owner, passages come in the order spread, official first, longest, position.
     Within a category one is skipped if its text or first 60 characters were kept,
     the cap is reached, or it shares more than ``above`` of the smaller word set
-    with a kept one.  As categories do not see each other, each (owner, category)
-    is folded on its own.  Before the fold, exact repeats and repeated openings
-    are dropped down to the first of their kind that could be kept, so a hot group
-    shrinks to its distinct openings; the fold itself holds at most cap passages.
+    with a kept one.  The greedy choice takes one round for each of the cap places:
+    the best passage left of each (owner, category) by aggregation, then a join
+    that drops what clashes with it; no group is gathered in one task.
     """
-    ranked = spread(df, owner, category, quote).select(
-        owner, category, position, "spread", normal(F.col(quote)).alias("_n"), word_set(F.col(quote)).alias("_w"),
-        F.when(official, 0).otherwise(1).alias("_o"), (-F.length(quote)).alias("_l"),
-    )
-    order = F.struct("spread", "_o", "_l", position)
-    item = F.struct(order.alias("k"), F.substring("_n", 1, 60).alias("open"), F.col("_n").alias("n"), F.col("_w").alias("w"), F.col(position).alias("p"))
-    groups = ranked.groupBy(owner, category).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["n"] == x["n"]) | (k["open"] == x["open"]) | (F.coalesce(containment(k["w"], x["w"]), F.lit(0.0)) > above))
-        return F.when((F.size(kept) >= cap) | clash, kept).otherwise(F.concat(kept, F.array(x)))
+    from spanlake.operators.joins import join_small
+    from spanlake.session import checkpointed
 
-    kind = groups.schema["items"].dataType
-    kept = groups.select(owner, category, F.aggregate("items", F.array().cast(kind), step).alias("kept"))
-    return kept.select(owner, category, F.posexplode("kept").alias("kept_no", "x")).select(owner, category, F.col("x.p").alias(position), "kept_no")
+    spark = df.sparkSession
+    item = F.struct(
+        "spread", F.when(official, 0).otherwise(1).alias("o"), (-F.length(quote)).alias("l"), F.col(position).alias("p"),
+        F.xxhash64(normal(F.col(quote))).alias("n"), F.xxhash64(F.substring(normal(F.col(quote)), 1, 60)).alias("open"), F.transform(word_set(F.col(quote)), lambda w: F.xxhash64(w)).alias("w"),
+    )
+    left = checkpointed(spread(df, owner, category, quote).select(owner, category, item.alias("x")), spark)
+    kept = None
+    for no in range(cap):
+        best = checkpointed(left.groupBy(owner, category).agg(F.min("x").alias("k")), spark)
+        mine = best.select(owner, category, F.col("k.p").alias(position), F.lit(no).alias("kept_no"))
+        kept = mine if kept is None else kept.unionByName(mine)
+        if no + 1 < cap:
+            clash = (F.col("x.n") == F.col("k.n")) | (F.col("x.open") == F.col("k.open")) | (F.coalesce(containment(F.col("x.w"), F.col("k.w")), F.lit(0.0)) > above)
+            left = join_small(left, best, [owner, category]).where(~clash).drop("k")
+    return kept
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:

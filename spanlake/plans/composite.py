@@ -56,12 +56,12 @@ def agg11_headline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT municipality, office, {_OFFICE_RANK} AS place, count(*) AS people, string_agg(candidate_id, ',' ORDER BY surname, given, candidate_id) AS ids FROM candidates GROUP BY 1, 2""")
+SELECT candidate_id, municipality, {_OFFICE_RANK} AS race, row_number() OVER w AS place, count(*) OVER (PARTITION BY municipality, office) AS people FROM candidates WINDOW w AS (PARTITION BY municipality, office ORDER BY surname, given, candidate_id)""")
 def agg09_races(spark: SparkSession, sf: str) -> DataFrame:
-    """People grouped into races, races ranked by office."""
-    listed = F.array_sort(F.collect_list(F.struct("surname", "given", "candidate_id")))
-    grouped = table(spark, sf, "candidates").groupBy("municipality", "office").agg(F.count("*").alias("people"), listed.alias("l"))
-    return grouped.select("municipality", "office", ordering.rank_in(F.col("office"), OFFICES).cast("int").alias("place"), "people", F.array_join(F.transform("l", lambda x: x["candidate_id"]), ",").alias("ids"))
+    """People in their races, races ranked by office."""
+    race = Window.partitionBy("municipality", "office")
+    place = F.row_number().over(race.orderBy("surname", "given", "candidate_id")).cast("bigint")
+    return table(spark, sf, "candidates").select("candidate_id", "municipality", ordering.rank_in(F.col("office"), OFFICES).cast("int").alias("race"), place.alias("place"), F.count("*").over(race).alias("people"))
 
 
 @query(f"""
@@ -137,13 +137,12 @@ def qry07_compare_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT owner_id, category, string_agg(position_id::VARCHAR, ',' ORDER BY CASE WHEN source_type = 'official_statement' THEN 0 ELSE 1 END, -length(quote), position_id) AS ids
-FROM ({_POS}) WHERE kind = 'position' AND owner_id IS NOT NULL GROUP BY 1, 2""")
+SELECT position_id, owner_id, category, row_number() OVER (PARTITION BY owner_id, category ORDER BY CASE WHEN source_type = 'official_statement' THEN 0 ELSE 1 END, -length(quote), position_id) AS place
+FROM ({_POS}) WHERE kind = 'position' AND owner_id IS NOT NULL""")
 def ext25_compare_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages grouped by person and topic in rank order."""
-    rank = F.struct(F.when(F.col("source_type") == "official_statement", 0).otherwise(1).alias("o"), (-F.length("quote")).alias("l"), F.col("position_id").alias("p"))
-    grouped = _spoken(spark, sf).groupBy("owner_id", "category").agg(F.array_sort(F.collect_list(rank)).alias("l"))
-    return grouped.select("owner_id", "category", F.array_join(F.transform("l", lambda x: x["p"].cast("string")), ",").alias("ids"))
+    """Passages by person and topic with their rank."""
+    order = Window.partitionBy("owner_id", "category").orderBy(F.when(F.col("source_type") == "official_statement", 0).otherwise(1), -F.length("quote"), "position_id")
+    return _spoken(spark, sf).select("position_id", "owner_id", "category", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @query(f"""

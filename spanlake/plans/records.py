@@ -320,12 +320,12 @@ def set01_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS ({_CAST}), s AS (SELECT vote_id, list(member_id) FILTER (WHERE decision <> 'absent') AS here, list(member_id) AS called FROM c GROUP BY 1)
-SELECT vote_id, coalesce(len(here), 0)::INT AS present, (len(called) - coalesce(len(here), 0))::INT AS away FROM s""")
+WITH c AS ({_CAST}), called AS (SELECT vote_id, member_id FROM c), here AS (SELECT vote_id, member_id FROM c WHERE decision <> 'absent')
+SELECT vote_id, member_id FROM called EXCEPT SELECT vote_id, member_id FROM here""")
 def set04_attendance(spark: SparkSession, sf: str) -> DataFrame:
     """Set difference of those called and those present."""
-    s = _cast(spark, sf).groupBy("vote_id").agg(F.collect_set(F.when(F.col("decision") != "absent", F.col("member_id"))).alias("here"), F.collect_set("member_id").alias("called"))
-    return s.select("vote_id", F.size("here").alias("present"), F.size(F.array_except("called", "here")).alias("away"))
+    c = _cast(spark, sf)
+    return c.select("vote_id", "member_id").subtract(c.where("decision <> 'absent'").select("vote_id", "member_id"))
 
 
 @query("SELECT category, count(*) AS n FROM positions WHERE category NOT IN (SELECT unnest(['safety', 'shore-and-parks', 'growth', 'getting-around', 'budget', 'care', 'learning', 'open-government', 'homes', 'shops']) UNION SELECT unnest(['held-office', 'service', 'roots', 'study'])) GROUP BY 1")
