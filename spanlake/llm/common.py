@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
+
+from spanlake.operators.joins import join_small  # noqa: F401
 
 BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -19,15 +21,3 @@ def path_of(url: Column) -> Column:
     path = F.regexp_replace(F.coalesce(url, F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     path = F.regexp_replace(F.lower(path), r"[?#].*$", "")
     return F.regexp_replace(path, r"(\.html?|/)+$", "")
-
-
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_rows: int = 200_000) -> DataFrame:
-    """Join; the small side is broadcast only after its rows were counted against a bound."""
-    few = small.limit(most_rows + 1).count() <= most_rows
-    return big.join(F.broadcast(small) if few else small, on, how)
-
-
-def blocks(count: Column, size: int, key: Column) -> Column:
-    """Deterministic block of a member of a group of ``count``: about ``size`` members each."""
-    parts = F.greatest(F.lit(1), F.ceil(count / F.lit(float(size)))).cast("int")
-    return F.pmod(F.xxhash64(key), parts).cast("int")

@@ -7,8 +7,9 @@ furniture.  Lists of other posts carry new titles on every page; they are found
 by their headings, which are shared lines that titles follow.  Rare furniture
 that too few neighbours share is found by the keys deleted on other hosts.
 
-A host with more pages than ``block_pages`` is split by a hash of the path, so a
-host may hold any part of all rows.  Captures of one path are never compared
+A host with more pages than ``block_pages`` is split by a hash of the path, and
+the captures of a path that holds many of them by a hash of the id, so a host or
+a page may hold any part of all rows.  Captures of one path are never compared
 with each other, nor are pages whose long lines are mostly the same.
 
 Null texts, and urls without a host, give no rows.  A page without neighbours
@@ -24,7 +25,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spanlake.llm.common import blocks, host_of, join_small, path_of
+from spanlake.llm.common import host_of, join_small, path_of
 
 _BLANKS = re.compile(r"\s+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -170,7 +171,12 @@ def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, block_pa
     pages = pages.where(F.col("host").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
     large = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > block_pages)
     pages = join_small(pages, large, ["host"], "left")
-    pages = pages.withColumn("block", blocks(F.coalesce(F.col("n"), F.lit(1)), block_pages, F.col("path"))).drop("n")
+    # captures of one path that are a large part of their host are spread over its blocks by id
+    many = pages.groupBy("host", "path").agg(F.count("*").alias("captures")).where(F.col("captures") > block_pages // 4)
+    pages = join_small(pages, many, ["host", "path"], "left")
+    spread = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("captures"), F.lit(1)) / F.lit(block_pages / 4.0)))
+    parts = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(float(block_pages))))
+    pages = pages.withColumn("block", F.pmod(F.pmod(F.xxhash64("path"), F.lit(1 << 40)) + F.pmod(F.xxhash64("id"), spread), parts).cast("int")).drop("n", "captures")
     kind = df.schema[id_col].dataType.simpleString()
 
     def difference(table: pa.Table) -> pa.Table:
