@@ -167,7 +167,17 @@ QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
+
 SQL: dict[str, str] = {
+    "p4_found": f"""
+WITH rows AS (
+  SELECT DISTINCT 'quote' AS field_name, position_id AS id, {_WORDS.format("quote")} AS words FROM positions WHERE kind = 'position' AND lang IN ('en', 'fr', 'de', 'es') AND quote IS NOT NULL
+  UNION SELECT DISTINCT 'text', source_id, {_WORDS.format("text")} FROM source_docs WHERE source_type = 'official_statement' AND lang IN ('en', 'fr', 'de', 'es') AND text IS NOT NULL),
+each AS (SELECT field_name, id, len(words) AS n, unnest(words) AS word FROM rows),
+met AS (SELECT a.field_name, a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM each a JOIN each b ON a.field_name = b.field_name AND a.word = b.word AND a.id < b.id GROUP BY ALL)
+SELECT DISTINCT field_name, id_a, id_b FROM met WHERE k * 10 >= 7 * (na + nb - k)
+""",
     "p5_found": rf"""
 WITH pages AS (
   SELECT DISTINCT source_id, text,
