@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from spanlake.llm.common import pieces
+
 # Letters of other scripts that look like Latin ones (and a few Latin twins), in pairs.
 LOOKALIKES = dict(
     zip(
@@ -157,7 +159,7 @@ def canonical(df: DataFrame, text_col: str, out_col: str = "canonical_text") ->
     where = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, where)):
             cols = batch.columns
             cols[where] = canonical_array(cols[where])
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from spanlake.operators.joins import join_small  # noqa: F401
@@ -21,3 +26,14 @@ def path_of(url: Column) -> Column:
     path = F.regexp_replace(F.coalesce(url, F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     path = F.regexp_replace(F.lower(path), r"[?#].*$", "")
     return F.regexp_replace(path, r"(\.html?|/)+$", "")
+
+
+def pieces(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about most_bytes of text each, so that long texts do not add up; a longer text is alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, base + most_bytes, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from spanlake.llm.common import pieces
 from spanlake.llm.transducer import Transducer
 
 # Abbreviations by language and by what may follow them.
@@ -406,7 +407,7 @@ def sentences(df: DataFrame, id_col: str, text_col: str, lang_col: str, with_tex
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lower(F.coalesce(F.substring(F.col(lang_col), 1, 2), F.lit(""))).alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             texts, langs = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), dtype=object)
             texts = [t or "" for t in texts]
             parts = []
