@@ -33,6 +33,7 @@ _MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…)\]|\.{3,}|…+|�+)\s*$")
 _STOP = re.compile(r"[.!?؟。！？।۔;:]+[\"'”»’)\]」』“]*(?:\s+|$)|[。！？]+[」』”]?")
 _END = re.compile(r"[.!?؟。！？।۔;][\"'”»’)\]」』“]*$")
 _LIST = re.compile(r"^\s*(?:[-*•–—·]\s|\d{1,2}[.)]\s)")
+_NAMED = re.compile(r"[A-ZÀ-Ý][a-zß-ÿ]+(?: [A-ZÀ-Ý][a-zß-ÿ]+){1,2}")
 _THAI_GAP = re.compile(r"(?<=[\u0e00-\u0e7f]) (?=[\u0e00-\u0e7f])")
 _WORD = re.compile(r"\w+|[^\w\s]")
 
@@ -118,6 +119,15 @@ def _whole(text: str, limits: list[int], rng: np.random.Generator, wanted: int)
         yield text[:n] + ("\n" if rng.random() < 0.1 else ""), count
 
 
+def _signed(text: str, rng: np.random.Generator) -> Iterator[tuple[str, int]]:
+    """A finished text closed by a line of two or three of its own capitalised words, as a signature is."""
+    names = _NAMED.findall(text)
+    ended = text.rstrip()
+    if names and rng.random() < 0.3 and _END.search(ended):
+        mark = ("", "", "- ", "— ")[int(rng.integers(4))]
+        yield f"{ended}\n\n{mark}{names[int(rng.integers(len(names)))]}", 1
+
+
 class CutModel:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
@@ -198,7 +208,7 @@ def truncated(
                 rng = np.random.default_rng([seed, crc32(text.encode())])
                 where.append((0, count, lang))
                 tails.append(text[-TAIL:])
-                for end, c in _whole(text, limits, rng, cuts):
+                for end, c in (*_whole(text, limits, rng, cuts), *_signed(text, rng)):
                     where.append((0, c, lang))
                     tails.append(end[-TAIL:])
                 for cut, c in _cuts(text, limits, rng, cuts):
