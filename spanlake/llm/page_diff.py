@@ -32,6 +32,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _DATE = re.compile(r"^(?:0[.]? (?:de )?[^\W\d]+\.?(?: de)? 0|[^\W\d]+\.? 0(?:st|nd|rd|th)?,? 0|0[-./]0[-./]0)(?: ?[|·-] ?0 ?\w+\.?)?$")
 _TRAIL = re.compile(r" ?[›»>] ?")
 _END = re.compile(r"[.!?…。！？][\"'”»’)]*$")
+_CUT = re.compile(r"\s*(?:\[(?:\.\.\.|…)\]|\.{3}|…|\ufffd)\s*$")
 _MARK = re.compile(r"^(?:[*•–-]|0[.)]) ")
 _NAME = re.compile(r"[^\W\d_]{5,}")
 _NOTE = re.compile(r" ?\(0 [^\W\d]+\.?\)$")
@@ -150,9 +151,19 @@ def furniture(ids: list, paths: list[str], texts: list[str], neighbours: int = 1
             f = follows[keys[x]]
             f[1] += 1
             f[0] += x + 2 < len(keys) and all((y not in shared[i] or y in rare[i]) and _title_like(keys[y]) for y in (x + 1, x + 2))
+    whole = sorted({pages[i][3][x] for i in range(len(pages)) for x in shared[i]})
+
+    def begins_furniture(key: str) -> bool:
+        """Is the line, cut off, the beginning of a shared one?"""
+        cut = _CUT.sub("", key).rstrip()
+        at = bisect_left(whole, cut)
+        return len(cut) >= 6 and at < len(whole) and whole[at].startswith(cut) and whole[at] != cut
+
     out = []
     for i, (r, _, numbers, keys) in enumerate(pages):
         listed: set[int] = set()
+        if keys and len(keys) - 1 not in shared[i] and begins_furniture(keys[-1]):
+            listed.add(len(keys) - 1)
         for x in sorted(shared[i]):
             yes, of = follows.get(keys[x], (0, 0))
             if of and yes * 3 >= of * 2 and (of > 1 or yes):
