@@ -28,9 +28,9 @@ from spanlake.llm.transducer import Transducer
 # number that follows.
 ABBREVIATIONS: dict[str, dict[str, str]] = {
     "en": {
-        "never": "mr mrs ms mx dr prof st rt hon mt ft capt col gen gov sen rep rev sr jr vs cf al e.g i.e fig figs vol vols pp p pop app approx sec ch dept ed eds ph viz www messrs",
+        "never": "mr mrs ms mx dr prof st rt hon mt ft capt col gen gov sen rep rev sr jr vs cf al e.g i.e fig figs vol vols pp p pop app approx sec ch dept ed eds ph viz www messrs jan feb mar apr jun jul aug sept sep oct nov dec",
         "sentence": "etc inc ltd co corp a.m p.m ave rd blvd",
-        "capital": "jan feb mar apr jun jul aug sept sep oct nov dec mon tue tues wed thu thur thurs fri sat",
+        "capital": "mon tue tues wed thu thur thurs fri sat",
         "number": "no nos",
     },
     "de": {
@@ -334,7 +334,10 @@ def _mark_classes(cps: np.ndarray, classes: np.ndarray, ends: np.ndarray, lang:
     if len(starts):
         stop = np.flatnonzero(letter & ~np.concatenate((letter[1:], [False]))) + 1
         upper = np.concatenate(([0], np.cumsum(classes == UPPER)))
-        caps = (stop - starts > 1) & (upper[stop] - upper[starts] == stop - starts)
+        full = upper[stop] - upper[starts] == stop - starts
+        caps = (stop - starts > 1) & full
+        # a single capital between two such words is one of them
+        caps[1:-1] |= full[1:-1] & (stop - starts == 1)[1:-1] & caps[:-2] & caps[2:]
         doc = np.searchsorted(ends, starts, side="right")
         after_caps = caps & np.concatenate(([False], caps[:-1] & (doc[1:] == doc[:-1])))
         edge = np.zeros(len(cps) + 1, dtype=np.int8)

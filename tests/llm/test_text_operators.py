@@ -32,6 +32,7 @@ CASES = [
     ("de", "Am 3. Mai tagte der Rat bis 21.30 Uhr. Das kostet ca. 3.000 Euro usw., doch wir zahlen. „Ist das gut?“, fragte sie.", ["Am 3. Mai tagte der Rat bis 21.30 Uhr.", "Das kostet ca. 3.000 Euro usw., doch wir zahlen.", "„Ist das gut?“, fragte sie."]),
     ("fr", "J.-P. Roy a dit : « Enfin ! » On attend... et on attend. M.\nRoy part.", ["J.-P. Roy a dit : « Enfin ! »", "On attend... et on attend.", "M.\nRoy part."]),
     ("es", "La empresa de EE. UU. dejó la plaza. ¡Bien! —¿Es justo? —preguntó ella.", ["La empresa de EE. UU. dejó la plaza.", "¡Bien!", "—¿Es justo? —preguntó ella."]),
+    ("es", "ESPERAMOS... Y SEGUIMOS AQUÍ. Fin.", ["ESPERAMOS... Y SEGUIMOS AQUÍ.", "Fin."]),
     ("ru", "С 2021 г. мы ждём. Это 3 млн руб., т. е. мало. «Нужно ждать», — говорят.", ["С 2021 г. мы ждём.", "Это 3 млн руб., т. е. мало.", "«Нужно ждать», — говорят."]),
     ("el", "Ποιος πληρώνει; Ο κ. Νίκος, π.χ. για το έργο.", ["Ποιος πληρώνει;", "Ο κ. Νίκος, π.χ. για το έργο."]),
     ("zh", "他问：“这公平吗？”然后沉默了。费用升到8.10亿元！“请等。”她说。", ["他问：“这公平吗？”然后沉默了。", "费用升到8.10亿元！", "“请等。”她说。"]),
