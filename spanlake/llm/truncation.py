@@ -1,14 +1,14 @@
 """Records whose text was cut off, by a classifier trained on artificial cuts.
 
 Intact texts are cut at random places, as if by accident (with and without marks
-of a cut) or at a field's limit (with the counts that frequent lengths have); hashed logistic regression on
-the closing characters, punctuation, the last line's form and how often the
-source has texts of exactly this length learns to tell them from uncut texts.
+of a cut) or at a field's limit (with the lifts that frequent lengths have); hashed logistic regression on
+the closing characters, punctuation, the last line's form and how much oftener than
+lengths near it the source has texts of exactly this length learns to tell them from uncut texts.
 Some of the texts taken for intact are cut themselves: after a first fit those
 scored as cut leave the negatives and the model is fitted again.
 
-The training sample is bounded by ``sample_rows``; the length counts cover all
-records and every record is scored.  Null texts are not scored; an empty text is
+The training sample is bounded by ``sample_rows``; the lengths' lifts cover all
+records, each measured against its host at any size, and every record is scored.  Null texts are not scored; an empty text is
 whole.  Rows delivered again have one text and get one score each.
 """
 
@@ -21,10 +21,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from spanlake.llm.canonical import canonical_array
-from spanlake.llm.common import host_of
+from spanlake.llm.common import host_of, pieces
 
 BITS = 18
 TAIL = 320  # closing characters that are looked at
@@ -83,16 +83,26 @@ def features(tail: str, same_length: int, lang: str) -> list[int]:
     return [crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in out]
 
 
-def _cuts(text: str, limits: list[int], rng: np.random.Generator, cuts: int) -> Iterator[tuple[str, int]]:
-    """(cut text, length count) for a few places inside words or sentences.
+def _drawn(limits: list[tuple[int, int]], rng: np.random.Generator) -> int:
+    """A bucket of limits, (bucket, lengths in it), by the share of its lengths."""
+    at = int(rng.integers(sum(n for _, n in limits)))
+    for bucket, n in limits:
+        if at < n:
+            return bucket
+        at -= n
+    raise AssertionError
 
-    Every second cut stands for one at a field's limit: it gets a count that such
+
+def _cuts(text: str, limits: list[tuple[int, int]], rng: np.random.Generator, cuts: int) -> Iterator[tuple[str, int]]:
+    """(cut text, length lift) for a few places inside words or sentences.
+
+    Every second cut stands for one at a field's limit: it gets a lift that such
     lengths have in the collection, as no text of a limited field is longer.
     """
     for k in range(cuts):
         n = int(rng.integers(max(1, len(text) // 5), max(2, len(text))))
         at_limit = bool(limits) and k % 2 == 1
-        count = limits[int(rng.integers(len(limits)))] if at_limit else 1
+        count = _drawn(limits, rng) if at_limit else 1
         mark = MARKS[int(rng.integers(len(MARKS)))] if not at_limit and rng.random() < 0.3 else ""
         cut, rest = text[:n], text[n:]
         ended = cut.rstrip()
@@ -101,8 +111,8 @@ def _cuts(text: str, limits: list[int], rng: np.random.Generator, cuts: int) ->
         yield (ended if mark or rng.random() < 0.5 else cut) + mark, count
 
 
-def _whole(text: str, limits: list[int], rng: np.random.Generator, wanted: int) -> Iterator[tuple[str, int]]:
-    """(text up to the end of a line or Thai sentence, length count): beginnings that stop at a natural end."""
+def _whole(text: str, limits: list[tuple[int, int]], rng: np.random.Generator, wanted: int) -> Iterator[tuple[str, int]]:
+    """(text up to the end of a line or Thai sentence, length lift): beginnings that stop at a natural end."""
     ends = [m.start() for m in _THAI_GAP.finditer(text)]
     lines = text.split("\n")
     at = 0
@@ -115,7 +125,7 @@ def _whole(text: str, limits: list[int], rng: np.random.Generator, wanted: int)
         at += 1
     for _ in range(wanted if ends else 0):
         n = ends[int(rng.integers(len(ends)))]
-        count = limits[int(rng.integers(len(limits)))] if limits and rng.random() < 0.05 else 1
+        count = _drawn(limits, rng) if limits and rng.random() < 0.05 else 1
         yield text[:n] + ("\n" if rng.random() < 0.1 else ""), count
 
 
@@ -176,32 +186,49 @@ def held_out_scores(rows: list[list[int]], labels: np.ndarray, folds: int = 3, s
     return out
 
 
-def _with_counts(df: DataFrame, id_col: str, url_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Each record with how many records of its host have exactly its length, and the host's frequent lengths."""
+def _with_lengths(df: DataFrame, id_col: str, url_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Each record with its host and the length of its text."""
     host = F.coalesce(host_of(F.col(url_col)), F.lit(""))
     slim = df.select(F.col(id_col).alias("id"), host.alias("host"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang")).where(F.col("text").isNotNull())
     return slim.withColumn("n", F.length("text"))
 
 
+def length_lifts(base: DataFrame) -> DataFrame:
+    """(host, n, same) for lengths that more records of a host have than lengths near them let expect.
+
+    same is the count over one more than the count expected, the mean of the other
+    lengths in the bin of a sixteenth of an octave and the bins beside it: near the
+    count where a host has few records, and near 1 for any length met by chance.
+    """
+    counts = base.groupBy("host", "n", "id").agg(F.lit(1).alias("one")).groupBy("host", "n").agg(F.count("*").alias("count"))
+    step = lambda k: F.ceil(F.pow(F.lit(2.0), k / F.lit(16.0)))
+    counts = counts.withColumn("bin", F.floor(F.lit(16.0) * F.log2(F.greatest(F.col("n"), F.lit(1)))))
+    bins = counts.groupBy("host", "bin").agg(F.sum("count").alias("near"))
+    around = bins.withColumn("near", F.sum("near").over(Window.partitionBy("host").orderBy("bin").rangeBetween(-1, 1)))
+    others = F.greatest(F.lit(1), step(F.col("bin") + 2) - step(F.col("bin") - 1) - 1)
+    lift = F.round(F.col("count") / (1 + (F.col("near") - F.col("count")) / others)).cast("int")
+    return counts.join(around, ["host", "bin"]).select("host", "n", lift.alias("same")).where("same > 1")
+
+
 def truncated(
     df: DataFrame, id_col: str, text_col: str, url_col: str, lang_col: str, sample_rows: int = 12000, cuts: int = 3, threshold: float = 0.5, seed: int = 7
 ) -> DataFrame:
     """(id_col, host, score, truncated) for every record with a text."""
     from spanlake.session import checkpointed
 
-    base = _with_counts(df, id_col, url_col, text_col, lang_col)
-    counts = base.groupBy("host", "n", "id").agg(F.lit(1).alias("one")).groupBy("host", "n").agg(F.count("*").alias("same"))
-    counts = checkpointed(counts.where("same > 1"), df.sparkSession)
-    # what the counts of frequent lengths are; at most 1,000 of them, by hash order
-    limits = [r["same"] for r in counts.where("same >= 4").orderBy(F.xxhash64("host", "n")).limit(1000).collect()]
+    base = _with_lengths(df, id_col, url_col, text_col, lang_col)
+    lifts = checkpointed(length_lifts(base), df.sparkSession)
+    # how many lengths that stand for field limits fall in each bucket: at most four rows
+    bucket = F.expr("case when same < 6 then 4 when same < 10 then 6 when same < 30 then 10 else 30 end")
+    limits = sorted((r["bucket"], r["count"]) for r in lifts.where("same >= 4").groupBy(bucket.alias("bucket")).count().collect())
     # a bounded sample, by hash and so the same whatever the partitions
     total = base.count()
     share = min(1.0, sample_rows / max(1, total))
     sample = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample_rows)
-    sample = sample.join(counts, ["host", "n"], "left").select("text", "lang", F.coalesce("same", F.lit(1)).alias("same"))
+    sample = sample.join(lifts, ["host", "n"], "left").select("text", "lang", F.coalesce("same", F.lit(1)).alias("same"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, 0, 500_000)):
             texts, langs, same = (c.to_pylist() for c in batch.columns)
             tails, where, out = [], [], []
             for text, lang, count in zip(texts, langs, same):
@@ -231,7 +258,7 @@ def truncated(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = CutModel(weights, bias)
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, 2, 500_000)):
             tails = canonical_array(batch.column(2)).to_pylist()
             langs, same = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             p = fitted.score([features(t, c, lang) for t, c, lang in zip(tails, same, langs)])
@@ -239,7 +266,7 @@ def truncated(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], ["id", "host", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    slim = base.select("id", "host", F.substring("text", -TAIL, TAIL).alias("tail"), "lang", "n").join(counts, ["host", "n"], "left")
+    slim = base.select("id", "host", F.substring("text", -TAIL, TAIL).alias("tail"), "lang", "n").join(lifts, ["host", "n"], "left")
     scored = slim.select("id", "host", "tail", "lang", F.coalesce("same", F.lit(1)).alias("same")).mapInArrow(score, f"id {kind}, host string, score double")
     return scored.select(F.col("id").alias(id_col), "host", "score", (F.col("score") >= threshold).alias("truncated"))
 

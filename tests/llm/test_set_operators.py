@@ -104,6 +104,15 @@ def test_truncation_on_held_out_cuts(spark):
     assert T.truncated(df.limit(0), "id", "t", "url", "lang").count() == 0
 
 
+def test_length_limits_mean_the_same_at_every_size(spark):
+    for scale in (1, 10, 100):
+        rng = np.random.default_rng(scale)
+        n = np.concatenate([rng.normal(1000, 70, 90 * scale).astype(int), np.full(10 * scale, 800)])
+        base = spark.createDataFrame([(i, "h", int(x)) for i, x in enumerate(n)], "id long, host string, n int")
+        got = {r["n"]: r["same"] for r in T.length_lifts(base).collect()}
+        assert {x for x, k in got.items() if k >= 4} == {800}, scale
+
+
 def test_packing_keeps_every_constraint(spark):
     rng = random.Random(1)
     sizes = [(i, rng.choice([1, 5, 40, 90, 255, 256, 257, 700, 3000])) for i in range(1500)] + [(5000, 0), (5001, None)]
