@@ -7,10 +7,13 @@ furniture.  Lists of other posts carry new titles on every page; they are found
 by their headings, which are shared lines that titles follow.  Rare furniture
 that too few neighbours share is found by the keys deleted on other hosts.
 
-A host with more pages than ``block_pages`` is split by a hash of the path, and
-the captures of a path that holds many of them by a hash of the id, so a host or
-a page may hold any part of all rows.  Captures of one path are never compared
-with each other, nor are pages whose long lines are mostly the same.
+A host with more pages than ``block_pages`` is cut into ranges of its sorted
+paths, each with the nearest paths on either side of it, and the captures of a path
+that holds many of them by a hash of the id, so a host or a page may hold any part
+of all rows; what is learned from a host is summed over its ranges, so the result
+is that of the whole host.  Captures of one path are never compared with each
+other, nor are pages whose long lines are mostly the same: the search goes on
+outward past them, and of pages with the same long lines one is a neighbour.
 
 Null texts, and urls without a host, give no rows.  A page without neighbours
 keeps all its lines.  Rows delivered again give their lines once.
@@ -18,12 +21,16 @@ keeps all its lines.  Rows delivered again give their lines once.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from spanlake.llm.common import host_of, join_small, path_of
 
@@ -98,96 +105,299 @@ def _title_like(key: str) -> bool:
     return 0 < len(key) < 130 and not _MARK.match(key) and (not _END.search(key) or bool(_NOTE.search(key)))
 
 
-def furniture(ids: list, paths: list[str], texts: list[str], neighbours: int = 12, votes: int = 2) -> list[tuple[int, int, str, int]]:
-    """(row, line number, key, verdict) for non-blank lines; verdict 1 shared, 2 listed post, 0 kept."""
-    pages: list[tuple[int, str, list[int], list[str]]] = []
-    seen = set()
-    for r in sorted(range(len(ids)), key=lambda i: (paths[i], ids[i])):
-        if ids[r] in seen:
-            continue
-        seen.add(ids[r])
-        numbered = [(n, line_key(x)) for n, x in enumerate(texts[r].split("\n"), 1) if x.strip()]
-        pages.append((r, paths[r], [n for n, _ in numbered], [k for _, k in numbered]))
-    order = [i for i in range(len(pages)) if not i or pages[i][1] != pages[i - 1][1]]  # one capture stands for its path
-    slot = {pages[i][1]: s for s, i in enumerate(order)}
-    long_keys = [{k for k in p[3] if len(k) > 150} for p in pages]
-    pairs: dict[int, list[int]] = {}
-    counts = [Counter() for _ in pages]
-    partners = [0] * len(pages)
-    for i, (_, path, _, keys) in enumerate(pages):
-        s = slot[path]
-        low, high = s - 1, s + 1
-        near: list[int] = []
-        back = True
-        while len(near) < neighbours and (low >= 0 or high < len(order)):
-            if (back and low >= 0) or high >= len(order):
-                near.append(order[low])
-                low -= 1
-            else:
-                near.append(order[high])
-                high += 1
-            back = not back
-        pairs[i] = near
-    for i, near in pairs.items():
-        for j in near:
-            both = long_keys[i] & long_keys[j]
-            if both and 2 * len(both) >= min(len(long_keys[i]), len(long_keys[j])):
-                continue  # a copy under another address
-            in_a, _ = shared_lines(pages[i][3], pages[j][3])
-            partners[i] += 1
-            counts[i].update(set(in_a))
-    shared = []
-    for i in range(len(pages)):
-        need = votes if partners[i] > 4 else 1
-        shared.append({x for x, n in counts[i].items() if n >= need})
-    # a post that other pages list as well is still a title, not furniture of the whole host
-    rare = [{x for x in shared[i] if counts[i][x] * 5 <= partners[i] * 2} for i in range(len(pages))]
-    # headings of post lists: shared lines that titles follow, at least on two pages in three
-    follows: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for i, (_, _, _, keys) in enumerate(pages):
-        for x in shared[i]:
-            if _END.search(keys[x]) or keys[x][0] == "\x01" or len(keys[x]) > 60:
+def _eligible(key: str) -> bool:
+    """May the line be a heading of a list?"""
+    return not (_END.search(key) or key[0] == "\x01" or len(key) > 60)
+
+
+def _long_keys(keys: list[str]) -> frozenset[str]:
+    return frozenset(k for k in keys if len(k) > 150)
+
+
+def _keys(text: str) -> list[tuple[int, str]]:
+    return [(n, line_key(x)) for n, x in enumerate(text.split("\n"), 1) if x.strip()]
+
+
+class Aligned:
+    """Pages of a range of a host's sorted paths, with the lines that each page shares with its neighbours.
+
+    Only pages that are own are compared.  more tells of either side whether the host has
+    paths beyond those given; ``complete`` is false if a page needed them.
+    """
+
+    def __init__(self, ids: list, paths: list[str], texts: list[str], own: list[bool] | None = None, more: tuple[bool, bool] = (False, False), neighbours: int = 12, votes: int = 2):
+        self.pages: list[tuple[int, str, list[int], list[str]]] = []
+        mine: list[bool] = []
+        slots: dict = {}
+        for r in sorted(range(len(ids)), key=lambda i: (paths[i], ids[i])):
+            if (at := slots.get(ids[r])) is not None:
+                mine[at] = mine[at] or own is None or own[r]
                 continue
-            f = follows[keys[x]]
-            f[1] += 1
-            f[0] += x + 2 < len(keys) and all((y not in shared[i] or y in rare[i]) and _title_like(keys[y]) for y in (x + 1, x + 2))
-    whole = sorted({pages[i][3][x] for i in range(len(pages)) for x in shared[i]})
+            slots[ids[r]] = len(mine)
+            mine.append(own is None or own[r])
+            numbered = _keys(texts[r])
+            self.pages.append((r, paths[r], [n for n, _ in numbered], [k for _, k in numbered]))
+        pages = self.pages
+        order = [i for i in range(len(pages)) if not i or pages[i][1] != pages[i - 1][1]]  # one capture stands for its path
+        slot = {pages[i][1]: s for s, i in enumerate(order)}
+        long_keys = [_long_keys(p[3]) for p in pages]
+        self.own = [i for i in range(len(pages)) if mine[i]]
+        self.complete = True
+        self.shared: dict[int, set[int]] = {}
+        self.rare: dict[int, set[int]] = {}
+        for i in self.own:
+            near: list[int] = []
+            groups: set[frozenset[str]] = set()
 
-    def begins_furniture(key: str) -> bool:
-        """Is the line, cut off, the beginning of a shared one?"""
-        cut = _CUT.sub("", key).rstrip()
-        at = bisect_left(whole, cut)
-        return len(cut) >= 6 and at < len(whole) and whole[at].startswith(cut) and whole[at] != cut
+            def passed(j: int) -> bool:
+                """Is j a copy of the page under another address, or of a neighbour?"""
+                both = long_keys[i] & long_keys[j]
+                return long_keys[j] in groups or bool(both) and 2 * len(both) >= min(len(long_keys[i]), len(long_keys[j]))
 
-    out = []
-    for i, (r, _, numbers, keys) in enumerate(pages):
-        listed: set[int] = set()
-        if keys and len(keys) - 1 not in shared[i] and begins_furniture(keys[-1]):
-            listed.add(len(keys) - 1)
-        for x in sorted(shared[i]):
-            yes, of = follows.get(keys[x], (0, 0))
-            if of and yes * 3 >= of * 2 and (of > 1 or yes):
+            low, high = slot[pages[i][1]] - 1, slot[pages[i][1]] + 1
+            back = True
+            while len(near) < neighbours:
+                while low >= 0 and passed(order[low]):
+                    low -= 1
+                while high < len(order) and passed(order[high]):
+                    high += 1
+                if (low < 0 and more[0]) or (high >= len(order) and more[1]):
+                    self.complete = False
+                    return
+                if low < 0 and high >= len(order):
+                    break
+                if (back and low >= 0) or high >= len(order):
+                    j, low = order[low], low - 1
+                else:
+                    j, high = order[high], high + 1
+                near.append(j)
+                if long_keys[j]:
+                    groups.add(long_keys[j])
+                back = not back
+            counts: Counter = Counter()
+            for j in near:
+                counts.update(set(shared_lines(pages[i][3], pages[j][3])[0]))
+            need = votes if len(near) > 4 else 1
+            self.shared[i] = {x for x, n in counts.items() if n >= need}
+            # a post that other pages list as well is still a title, not furniture of the whole host
+            self.rare[i] = {x for x in self.shared[i] if counts[x] * 5 <= len(near) * 2}
+
+    def _listed(self, i: int, y: int) -> bool:
+        return (y not in self.shared[i] or y in self.rare[i]) and _title_like(self.pages[i][3][y])
+
+    def headings(self) -> dict[str, list[int]]:
+        """Shared lines that may head a list: on how many pages titles follow, and on how many they stand."""
+        follows: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for i in self.own:
+            keys = self.pages[i][3]
+            for x in self.shared[i]:
+                if _eligible(keys[x]):
+                    f = follows[keys[x]]
+                    f[1] += 1
+                    f[0] += x + 2 < len(keys) and all(self._listed(i, y) for y in (x + 1, x + 2))
+        return follows
+
+    def whole(self) -> list[str]:
+        return sorted({self.pages[i][3][x] for i in self.own for x in self.shared[i]})
+
+    def below(self, i: int) -> dict[int, list[str]]:
+        """Lines of a page that may be listed posts, each with the lines that may head their list."""
+        keys = self.pages[i][3]
+        out: dict[int, list[str]] = defaultdict(list)
+        for x in sorted(self.shared[i]):
+            if _eligible(keys[x]):
                 y = x + 1
-                while y < len(keys) and (y not in shared[i] or y in rare[i]) and _title_like(keys[y]):
-                    listed.add(y)
+                while y < len(keys) and self._listed(i, y):
+                    out[y].append(keys[x])
                     y += 1
+        return out
+
+    def ending(self, i: int) -> str | None:
+        """The page's last line without a mark of a cut, if it may be the beginning of a shared line."""
+        keys = self.pages[i][3]
+        if not keys or len(keys) - 1 in self.shared[i]:
+            return None
+        cut = _CUT.sub("", keys[-1]).rstrip()
+        return cut if len(cut) >= 6 else None
+
+
+def _heads(yes: int, of: int) -> bool:
+    """Do titles follow on at least two pages in three?"""
+    return yes * 3 >= of * 2
+
+
+def furniture(ids: list, paths: list[str], texts: list[str], neighbours: int = 12, votes: int = 2) -> list[tuple[int, int, str, int]]:
+    """(row, line number, key, verdict) for non-blank lines; verdict 1 shared, 2 listed post, 0 kept."""
+    found = Aligned(ids, paths, texts, None, (False, False), neighbours, votes)
+    heads = {k for k, (yes, of) in found.headings().items() if _heads(yes, of)}
+    whole = found.whole()
+    out = []
+    for i in found.own:
+        r, _, numbers, keys = found.pages[i]
+        listed = {y for y, above in found.below(i).items() if any(k in heads for k in above)}
+        cut = found.ending(i)
+        if cut is not None:
+            at = bisect_left(whole, cut)
+            if at < len(whole) and whole[at].startswith(cut) and whole[at] != cut:
+                listed.add(len(keys) - 1)
         for x, n in enumerate(numbers):
-            out.append((r, n, keys[x], 1 if x in shared[i] else 2 if x in listed else 0))
+            out.append((r, n, keys[x], 1 if x in found.shared[i] else 2 if x in listed else 0))
     return out
 
 
+def _look(key: str, host: str) -> bytes | None:
+    """What a line is looked up by on other hosts."""
+    if len(key) > 160:
+        return None
+    return hashlib.blake2b(site_key(key, host).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _ranges(large: DataFrame, block_pages: int) -> DataFrame:
+    """(host, path, first_id, sig, captures, rank, block): the paths of large hosts in order, cut where about block_pages pages are full."""
+    spark = large.sparkSession
+    kind = large.schema["id"].dataType.simpleString()
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = []
+            for text in batch.column(3).to_pylist():
+                long = _long_keys([k for _, k in _keys(text)])
+                sig.append(hashlib.blake2b("\n".join(sorted(long)).encode("utf-8", "replace"), digest_size=16).hexdigest() if long else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sig, pa.string())], ["id", "host", "path", "sig"])
+
+    slim = large.select("id", "host", "path", "text").mapInArrow(signed, f"id {kind}, host string, path string, sig string")
+    one = slim.groupBy("host", "path").agg(F.min(F.struct("id", "sig")).alias("first"), F.count("*").alias("captures"))
+    one = one.select("host", "path", F.col("first.id").alias("first_id"), F.coalesce("first.sig", F.concat(F.lit("/"), "path")).alias("sig"), "captures", F.least("captures", F.lit(max(1, block_pages // 4))).alias("w"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rank, full = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            w = batch.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = full + np.cumsum(w) - w
+            extra = [pa.array(np.full(len(w), part), pa.int32()), pa.array(rank + np.arange(len(w)), pa.int64()), pa.array(before, pa.int64())]
+            rank, full = rank + len(w), full + int(w.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "part", "rank", "before"])
+
+    schema = f"host string, path string, first_id {kind}, sig string, captures long, w long, part int, rank long, before long"
+    rows = _settled(one.repartitionByRange("host", "path").sortWithinPartitions("host", "path").mapInArrow(numbered, schema), spark)
+    at = [0, 0]
+    offsets = []
+    for part, n, w in sorted(tuple(r) for r in rows.groupBy("part").agg(F.count("*"), F.sum("w")).collect()):  # one row per partition
+        offsets.append((part, *at))
+        at = [at[0] + n, at[1] + w]
+    offset = spark.createDataFrame(offsets or [(0, 0, 0)], "part int, ranks long, pages long")
+    rows = rows.join(F.broadcast(offset), "part").withColumn("rank", F.col("rank") + F.col("ranks")).withColumn("before", F.col("before") + F.col("pages"))
+    rows = join_small(rows, rows.groupBy("host").agg(F.min("before").alias("base")), ["host"])
+    return _settled(rows.select("host", "path", "first_id", "sig", "captures", "rank", F.floor((F.col("before") - F.col("base")) / block_pages).cast("int").alias("block")), spark)
+
+
+def _halo(ranges: DataFrame, most: int) -> DataFrame:
+    """(host, block, side, rank): the most nearest paths on either side of each range, one of those with the same long lines."""
+
+    def ends(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("rank").to_pylist(), table.column("sig").to_pylist()))
+        out = []
+        for side, line in ((1, rows), (-1, rows[::-1])):  # a range's first paths lie after the ranges before it
+            seen: dict[str, int] = {}
+            for rank, sig in line:
+                if len(seen) == most:
+                    break
+                seen.setdefault(sig, rank)
+            out += [(side, rank, sig) for sig, rank in seen.items()]
+        n = len(out)
+        return pa.table({"host": table.column("host").slice(0, 1).take(pa.array([0] * n)), "block": pa.array([table.column("block")[0].as_py()] * n, pa.int32()), "side": pa.array([o[0] for o in out], pa.int32()), "rank": pa.array([o[1] for o in out], pa.int64()), "sig": pa.array([o[2] for o in out], pa.string())})
+
+    def around(table: pa.Table) -> pa.Table:
+        by: dict[tuple[int, int], list[tuple[int, str]]] = defaultdict(list)
+        for block, side, rank, sig in zip(*(table.column(c).to_pylist() for c in ("block", "side", "rank", "sig"))):
+            by[side, block].append((rank, sig))
+        blocks = sorted({b for _, b in by})
+        out = []
+        for side, line in ((-1, blocks), (1, blocks[::-1])):
+            held: dict[str, int] = {}  # nearest last
+            for block in line:
+                out += [(block, side, rank) for rank in held.values()]
+                for rank, sig in sorted(by[side, block], reverse=side == 1):
+                    held.pop(sig, None)
+                    held[sig] = rank
+                held = dict(list(held.items())[-most:])
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(out), pa.string()), "block": pa.array([o[0] for o in out], pa.int32()), "side": pa.array([o[1] for o in out], pa.int32()), "rank": pa.array([o[2] for o in out], pa.int64())})
+
+    first = ranges.select("host", "block", "rank", "sig").groupBy("host", "block").applyInArrow(ends, "host string, block int, side int, rank long, sig string")
+    return first.groupBy("host").applyInArrow(around, "host string, block int, side int, rank long")
+
+
+def _large_hosts(large: DataFrame, block_pages: int, neighbours: int, votes: int) -> DataFrame:
+    """(id, line_no, look, verdict, host) of hosts that are cut into ranges."""
+    spark = large.sparkSession
+    kind = large.schema["id"].dataType.simpleString()
+    ranges = _ranges(large, block_pages)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("captures") / F.lit(max(1, block_pages // 4))))
+    placed = large.join(ranges, ["host", "path"])
+    # captures of one path that are a large part of a range are spread by id; its first one stays
+    placed = placed.withColumn("first", F.col("id") == F.col("first_id")).withColumn("part", F.when(F.col("first"), 0).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("int"))
+    columns = ["host", "block", "part", "side", "own", "id", "path", "text"]
+    own = placed.withColumn("side", F.lit(0)).withColumn("own", F.lit(True)).select(*columns)
+    firsts = placed.where("first").select("host", "block", "rank", "id", "path", "text")
+    todo = _settled(placed.select("host", "block", "part").distinct(), spark)
+
+    def difference(most: int):
+        def run(table: pa.Table) -> pa.Table:
+            host, block, part = (table.column(c)[0].as_py() for c in ("host", "block", "part"))
+            ids, sides, paths = table.column("id"), table.column("side").to_pylist(), table.column("path").to_pylist()
+            more = tuple(len({p for p, x in zip(paths, sides) if x == side}) >= most for side in (-1, 1))
+            found = Aligned(ids.to_pylist(), paths, table.column("text").to_pylist(), table.column("own").to_pylist(), more, neighbours, votes)
+            rows = []  # (row, line, look, verdict, name, yes, of, heads)
+            if not found.complete:
+                rows.append((None, None, None, -1, None, None, None, None))
+            else:
+                rows += [(None, None, None, 3, k, None, None, None) for k in found.whole()]
+                rows += [(None, None, None, 4, k, yes, of, None) for k, (yes, of) in found.headings().items()]
+                for i in found.own:
+                    r, _, numbers, keys = found.pages[i]
+                    below, cut = found.below(i), found.ending(i)
+                    for x, n in enumerate(numbers):
+                        rows.append((r, n, _look(keys[x], host), int(x in found.shared[i]), cut if x == len(keys) - 1 else None, None, None, below.get(x)))
+            cols = list(zip(*rows)) or [()] * 8
+            types = (pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+            look, verdict, name, yes, of, heads = (pa.array(c, t) for c, t in zip(cols[2:], types))
+            n = len(rows)
+            return pa.table({"id": ids.take(pa.array(cols[0], pa.int64())), "line_no": pa.array(cols[1], pa.int32()), "look": look, "verdict": verdict, "name": name, "yes": yes, "of": of, "heads": heads, "host": pa.array([host] * n, pa.string()), "block": pa.array([block] * n, pa.int32()), "part": pa.array([part] * n, pa.int32())})
+
+        return run
+
+    schema = f"id {kind}, line_no int, look binary, verdict int, name string, yes int, of int, heads array<string>, host string, block int, part int"
+    most, lines = 4 * neighbours, None
+    while True:  # until no page needs a path beyond those beside its range
+        beside = _halo(ranges, most).join(todo, ["host", "block"]).join(firsts.drop("block"), ["host", "rank"]).withColumn("own", F.lit(False)).select(*columns)
+        within = firsts.join(todo.where("part > 0"), ["host", "block"]).withColumn("side", F.lit(0)).withColumn("own", F.lit(False)).select(*columns)
+        tasks = own.join(todo, ["host", "block", "part"], "left_semi").unionByName(within).unionByName(beside)
+        out = _settled(tasks.groupBy("host", "block", "part").applyInArrow(difference(most), schema), spark)
+        done = out.where("verdict >= 0")
+        lines = done if lines is None else lines.unionByName(done)
+        todo = out.where("verdict < 0").select("host", "block", "part")
+        if todo.isEmpty():
+            break
+        most *= 8
+
+    heads = lines.where("verdict = 4").groupBy("host", "name").agg(F.sum("yes").alias("yes"), F.sum("of").alias("of")).where(_heads(F.col("yes"), F.col("of"))).select("host", "name")
+    listed = join_small(lines.where("verdict = 0").select("host", "id", "line_no", F.explode("heads").alias("name")), heads, ["host", "name"]).select("host", "id", "line_no")
+    text = lines.where("verdict in (0, 1) and name is not null")
+    keys = lines.where("verdict = 3").select("host", "name", F.lit(1).alias("key")).distinct().unionByName(text.select("host", "name", F.lit(0).alias("key")).distinct())
+    order = Window.partitionBy("host", F.substring("name", 1, 6)).orderBy(F.desc("name"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    follow = keys.withColumn("next", F.last(F.when(F.col("key") == 1, F.col("name")), ignorenulls=True).over(order))
+    begun = follow.where((F.col("key") == 0) & F.startswith("next", "name") & (F.col("next") != F.col("name"))).select("host", "name")
+    ended = join_small(text.select("host", "id", "line_no", "name"), begun, ["host", "name"]).select("host", "id", "line_no")
+    extra = listed.unionByName(ended).distinct().withColumn("listed", F.lit(True))
+    lines = lines.where("verdict in (0, 1)").join(extra, ["host", "id", "line_no"], "left")
+    return lines.select("id", "line_no", "look", F.when((F.col("verdict") == 0) & F.col("listed"), 2).otherwise(F.col("verdict")).alias("verdict"), "host")
+
+
 def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, block_pages: int = 1024, neighbours: int = 12, votes: int = 2, hosts: int = 3) -> DataFrame:
     """(id_col, line_no, furniture boolean) for each non-blank line of every page."""
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(text_col).alias("text"))
     pages = pages.where(F.col("host").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    large = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > block_pages)
-    pages = join_small(pages, large, ["host"], "left")
-    # captures of one path that are a large part of their host are spread over its blocks by id
-    many = pages.groupBy("host", "path").agg(F.count("*").alias("captures")).where(F.col("captures") > block_pages // 4)
-    pages = join_small(pages, many, ["host", "path"], "left")
-    spread = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("captures"), F.lit(1)) / F.lit(block_pages / 4.0)))
-    parts = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(float(block_pages))))
-    pages = pages.withColumn("block", F.pmod(F.pmod(F.xxhash64("path"), F.lit(1 << 40)) + F.pmod(F.xxhash64("id"), spread), parts).cast("int")).drop("n", "captures")
+    large = _settled(pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > block_pages).select("host", F.lit(True).alias("large")), df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def difference(table: pa.Table) -> pa.Table:
@@ -196,21 +406,23 @@ def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, block_pa
         return pa.table({
             "id": ids.take(pa.array([f[0] for f in found], pa.int64())).combine_chunks(),
             "line_no": pa.array([f[1] for f in found], pa.int32()),
-            # only short lines can be looked up on other hosts
-            "line_key": pa.array([site_key(f[2], host) if len(f[2]) <= 160 and f[3] < 2 else None for f in found], pa.string()),
+            "look": pa.array([_look(f[2], host) for f in found], pa.binary()),
             "verdict": pa.array([f[3] for f in found], pa.int32()),
             "host": pa.array([host] * len(found), pa.string()),
         })
 
-    lines = pages.groupBy("host", "block").applyInArrow(difference, f"id {kind}, line_no int, line_key string, verdict int, host string")
+    marked = join_small(pages, large, ["host"], "left")
+    lines = marked.where("large is null").drop("large").groupBy("host").applyInArrow(difference, f"id {kind}, line_no int, look binary, verdict int, host string")
     lines = _settled(lines, df.sparkSession)
+    if not large.isEmpty():
+        lines = lines.unionByName(_settled(_large_hosts(marked.where("large").drop("large"), block_pages, neighbours, votes), df.sparkSession))
     known = (
-        lines.where((F.col("verdict") == 1) & F.col("line_key").isNotNull())
-        .groupBy("line_key", "host").agg(F.lit(1).alias("one"))
-        .groupBy("line_key").agg(F.count("*").alias("on_hosts")).where(F.col("on_hosts") >= hosts)
-        .select("line_key", F.lit(True).alias("known"))
+        lines.where("verdict = 1")
+        .groupBy("look", "host").agg(F.lit(1).alias("one"))
+        .groupBy("look").agg(F.count("*").alias("on_hosts")).where(F.col("on_hosts") >= hosts)
+        .select("look", F.lit(True).alias("known"))
     )
-    lines = join_small(lines, known, ["line_key"], "left")
+    lines = join_small(lines, known, ["look"], "left")
     return lines.select(F.col("id").alias(id_col), "line_no", ((F.col("verdict") > 0) | F.coalesce(F.col("known"), F.lit(False))).alias("furniture"))
 
 

@@ -130,6 +130,15 @@ def test_page_furniture(spark):
     assert len(small & flagged) > 0.9 * len(flagged)
 
 
+def test_blocks_of_a_host_give_the_lines_of_the_whole(spark):
+    rows = [(i, f"https://a.example/{'news' if i % 3 else 'plans'}/{i:03}", site(i, [f"Side note of part {i // 15} that stands on each of its pages"])) for i in range(60)]
+    rows += [(100 + i, "https://a.example/news/007", site(7 + i % 2)) for i in range(30)]  # captures of one path
+    rows += [(200 + i, f"https://a.example/news/007/print/{i:02}", site(7)) for i in range(40)]  # copies under other addresses
+    df = spark.createDataFrame(rows, "id int, url string, body string")
+    whole, cut = ({(r["id"], r["line_no"]) for r in page_lines(df, "id", "url", "body", block_pages=b).collect() if r["furniture"]} for b in (1024, 8))
+    assert whole == cut and len({i for i, _ in whole}) == len(rows)
+
+
 def test_alignment():
     assert shared_lines(list("abcd"), list("cdab")) == ([0, 1, 2, 3], [2, 3, 0, 1]) or sorted(shared_lines(list("abcd"), list("cdab"))[0]) == [0, 1, 2, 3]
     assert line_key("  12  March 2024 ") == line_key("3 May 2021") == "\x01date"
