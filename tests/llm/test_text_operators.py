@@ -139,6 +139,23 @@ def test_blocks_of_a_host_give_the_lines_of_the_whole(spark):
     assert whole == cut and len({i for i, _ in whole}) == len(rows)
 
 
+def test_copies_take_no_neighbours_place(spark):
+    consent = "We keep small files on your device so that this page works, " * 4 + "as the law of the land asks us to say."
+    rows = [(i, f"https://a.example/a/{i:03}", site(3, [consent])) for i in range(40)] + [(100 + i, f"https://a.example/b/{i:03}", site(20 + i, [consent])) for i in range(14)]
+    df = spark.createDataFrame(rows, "id int, url string, body string")
+    got = {(r["id"], r["line_no"]) for r in page_lines(df, "id", "url", "body").collect() if r["furniture"]}
+    assert {(i, n) for i in range(40) for n in (2, 9, 13, 14)} <= got and not [1 for i, n in got if i < 40 and n in (5, 7)]
+
+
+def test_long_lines_are_looked_up_on_other_hosts(spark):
+    legal = "This site is run by friends of the park and pays for itself with what readers give, none of it from parties. " * 2
+    own = lambda x: "\n".join(f"{x}{k} " * 60 for k in "pqr")
+    rows = [(10 * h + i, f"https://h{h}.example/{i}", f"{own(chr(97 + h) + chr(97 + i))}\n{legal}") for h in range(3) for i in range(8)] + [(99, "https://alone.example/x", f"{own('z')}\n{legal}")]
+    df = spark.createDataFrame(rows, "id int, url string, body string")
+    got = {(r["id"], r["line_no"]) for r in page_lines(df, "id", "url", "body").collect() if r["furniture"]}
+    assert (99, 4) in got and (99, 1) not in got
+
+
 def test_alignment():
     assert shared_lines(list("abcd"), list("cdab")) == ([0, 1, 2, 3], [2, 3, 0, 1]) or sorted(shared_lines(list("abcd"), list("cdab"))[0]) == [0, 1, 2, 3]
     assert line_key("  12  March 2024 ") == line_key("3 May 2021") == "\x01date"
