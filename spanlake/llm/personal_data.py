@@ -7,10 +7,13 @@ of people: given names as listed, family names by the beginnings and endings tha
 listed ones share, joined by a small grammar of initials, particles and either
 order.  Family names that stand in a street, square or firm are left alone.
 
-Every entity gets a surrogate by a keyed hash: of the same kind, script, letter
-case, digit format and (for given names) final sound, the same wherever the same
-entity occurs, distinct from the surrogate of any other entity; collisions are
-found over all entities and hashed again.
+Every entity gets a surrogate by a keyed hash: of the same kind, letter case and
+digit format, the same wherever the same entity occurs, distinct from the surrogate
+of any other entity.  Names are replaced part by part, each part of a name by one
+invented word wherever it stands; collisions are found over all parts and entities
+and hashed again until none is left, invented words growing with each attempt.
+Invented words are in Latin letters whatever the script of the name, and gender is
+not known: a part that ends in a gets a word that does.
 
 Null texts give no rows; overlapping findings keep the earlier kind in the order
 email, address, id_number, phone, name.  Rows with one id twice give rows twice.
@@ -319,36 +322,71 @@ def normal_entity(kind: str, entity: str) -> str:
 _SYLLABLES = (("Ba", "Ce", "Di", "Fo", "Gu", "Ha", "Ke", "Li", "Mo", "Nu", "Pa", "Re", "Si", "To", "Va", "We"), ("bra", "den", "fil", "gor", "lan", "mer", "nis", "pol", "rud", "sta", "tin", "vok"), ("dorf", "ley", "man", "rup", "ster", "vale", "wood", "yard"))
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """A keyed stand-in of the same kind, format, script of digits and letter case."""
+_PARTICLES = {"von", "van", "de", "la", "der", "del", "da", "di", "du", "ní", "nic", "ó", "mac"}
+_PART = re.compile(r"([\s,.\-]+)")
 
-    def stream(label: str) -> Iterator[int]:
-        k = 0
-        while True:
-            yield from hmac.new(key, f"{kind}\x00{label}\x00{attempt}\x00{k}".encode(), hashlib.sha256).digest()
-            k += 1
+
+def _is_part(w: str) -> bool:
+    return len(w) > 1 and w[0].isalpha() and w.lower() not in _PARTICLES
+
+
+def name_parts(entity: str) -> list[str]:
+    """The parts of a name that get a surrogate of their own, folded."""
+    return sorted({w.translate(_FOLD).lower() for w in _PART.split(entity) if _is_part(w)})
+
+
+def _stream(key: bytes, kind: str, label: str, attempt: int) -> Iterator[int]:
+    k = 0
+    while True:
+        yield from hmac.new(key, f"{kind}\x00{label}\x00{attempt}\x00{k}".encode(), hashlib.sha256).digest()
+        k += 1
+
+
+def _word(key: bytes, kind: str, w: str, feminine: bool, attempt: int) -> str:
+    """An invented word; each attempt has one more syllable to choose from."""
+    s = _stream(key, kind, w.lower(), attempt)
+    made = "".join(x[next(s) % len(x)] for x in _SYLLABLES[:2]) + "".join(_SYLLABLES[1][next(s) % 12] for _ in range(1 + attempt))
+    return made + ("a" if feminine else _SYLLABLES[2][next(s) % 8])
+
+
+def _cased(made: str, w: str) -> str:
+    return made.upper() if w.isupper() and len(w) > 1 else made.lower() if w.islower() else made
+
+
+def part_surrogate(key: bytes, part: str, attempt: int = 0) -> str:
+    return _word(key, "name", part, part.endswith("a"), attempt)
+
+
+def _initial(key: bytes, letter: str) -> str:
+    """Another letter of the same alphabet; different letters get different ones."""
+    low = letter.lower()
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"):
+        if low in alphabet:
+            rank = lambda c: hmac.new(key, f"initial\x00{c}".encode(), hashlib.sha256).digest()
+            made = sorted(alphabet, key=rank)[alphabet.index(low)]
+            return made.upper() if letter.isupper() else made
+    return letter
+
+
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, parts: dict[str, str] | None = None) -> str:
+    """A keyed stand-in of the same kind, format, script of digits and letter case; parts are the settled words of a name's parts."""
 
     def word(w: str, feminine: bool) -> str:
-        s = stream(w.lower())
-        made = "".join(x[next(s) % len(x)] for x in _SYLLABLES[:2]) + _SYLLABLES[1][next(s) % 12]
-        made += "a" if feminine else _SYLLABLES[2][next(s) % 8]
-        return made.upper() if w.isupper() and len(w) > 1 else made.lower() if w.islower() else made
+        return _cased(_word(key, kind, w, feminine, attempt), w)
 
     if kind == "name":
-        particle = {"von", "van", "de", "la", "der", "del", "da", "di", "du", "ní", "nic", "ó", "mac"}
         out = []
-        for w in re.split(r"([\s,.\-]+)", entity):
-            if not w or not w[0].isalpha() or w.lower() in particle:
-                out.append(w)
-            elif len(w) == 1:
-                out.append(chr(65 + next(stream(w.lower())) % 26))
+        for w in _PART.split(entity):
+            if _is_part(w):
+                low = w.translate(_FOLD).lower()
+                out.append(_cased(parts[low] if parts else part_surrogate(key, low, attempt), w))
             else:
-                out.append(word(w, w.lower().endswith("a")))
+                out.append(_initial(key, w) if len(w) == 1 and w.isalpha() else w)
         return "".join(out)
     if kind == "email":
-        s = stream(normal_entity(kind, entity))
+        s = _stream(key, kind, normal_entity(kind, entity), attempt)
         return re.sub(r"[A-Za-z]+|\d", lambda m: m.group() if m.group().lower() in ("at", "dot", "example", "com", "org", "net") else (str(next(s) % 10) if m.group().isdigit() else word(m.group() + str(next(s)), False).lower()), entity)
-    s = stream(normal_entity(kind, entity))
+    s = _stream(key, kind, normal_entity(kind, entity), attempt)
 
     def digit(m: re.Match) -> str:
         zero = ord(m.group()) - int(m.group())
@@ -364,32 +402,58 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     return out
 
 
-def surrogates(found: DataFrame, key: str, rounds: int = 6) -> DataFrame:
+def _settle(rows: DataFrame, by: list[str], make, idle: int = 12) -> DataFrame:
+    """rows with attempt and surrogate such that no two entities (by) of a kind share one; raises if that cannot be reached.
+
+    An entity keeps its surrogate against those of later attempts; ``idle`` rounds in
+    which no fewer entities collide end the search.
+    """
+    from spanlake.session import checkpointed
+
+    spark = rows.sparkSession
+    folded = F.udf(lambda kind, x: normal_entity(kind, x), "string")
+    rows = checkpointed(rows.withColumn("attempt", F.lit(0)).withColumn("surrogate", make("attempt")), spark)
+    least, still = None, 0
+    while True:
+        seen = rows.select(*by, "attempt", folded("pii_kind", "surrogate").alias("s")).distinct()
+        rank = F.row_number().over(Window.partitionBy("pii_kind", "s").orderBy("attempt", *by[1:]))
+        # spellings of one entity keep one surrogate, so an entity is as bad as its worst
+        bad = checkpointed(seen.withColumn("rank", rank).where("rank > 1").select(*by, F.lit(1).alias("again")).distinct(), spark)
+        n = bad.count()
+        if not n:
+            return rows
+        least, still = (n, 0) if least is None or n < least else (least, still + 1)
+        if still >= idle:
+            raise ValueError(f"{n} entities have no surrogate of their own in their format")
+        again = rows.join(bad, by, "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
+        rows = checkpointed(again.withColumn("surrogate", F.when(F.col("again").isNull(), F.col("surrogate")).otherwise(make("attempt"))).drop("again"), spark)
+
+
+def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(pii_kind, normal, entity, surrogate) for each distinct spelling.
 
     The surrogates of different entities are held against each other over all
-    entities; those that collide are hashed again until none do.
+    entities; those that collide are hashed again until none do, and if none can
+    be found, as there are more entities than values of their format, it raises.
     """
     from spanlake.session import checkpointed
 
-    spark = found.sparkSession
     secret = key.encode()
-
     normal = F.udf(lambda kind, entity: normal_entity(kind, entity), "string")
+    split = F.udf(name_parts, "array<string>")
     make = F.udf(lambda kind, entity, attempt: surrogate(secret, kind, entity, attempt), "string")
-
-    rows = found.select("pii_kind", "entity").distinct().withColumn("normal", normal("pii_kind", "entity"))
-    rows = checkpointed(rows.withColumn("attempt", F.lit(0)).withColumn("surrogate", make("pii_kind", "entity", "attempt")), spark)
-    for _ in range(rounds):
-        seen = rows.select("pii_kind", "normal", F.lower("surrogate").alias("s")).distinct()
-        rank = F.row_number().over(Window.partitionBy("pii_kind", "s").orderBy("normal"))
-        bad = checkpointed(seen.withColumn("rank", rank).where("rank > 1").groupBy("pii_kind", "normal").agg(F.max("rank").alias("rank")), spark)
-        if bad.isEmpty():
-            break
-        again = rows.join(bad, ["pii_kind", "normal"], "left")
-        again = again.withColumn("attempt", F.col("attempt") + F.coalesce("rank", F.lit(0)))
-        rows = checkpointed(again.withColumn("surrogate", F.when(F.col("rank").isNull(), F.col("surrogate")).otherwise(make("pii_kind", "entity", "attempt"))).drop("rank"), spark)
-    return rows.select("pii_kind", "normal", "entity", "surrogate")
+    invent = F.udf(lambda part, attempt: part_surrogate(secret, part, attempt), "string")
+    named = F.udf(lambda entity, parts: surrogate(secret, "name", entity, 0, parts or {}), "string")
+
+    rows = checkpointed(found.select("pii_kind", "entity").distinct().withColumn("normal", normal("pii_kind", "entity")), found.sparkSession)
+    names = rows.where("pii_kind = 'name'")
+    each = names.select("entity", F.explode(split("entity")).alias("part"))
+    parts = _settle(each.select(F.lit("name").alias("pii_kind"), "part").distinct(), ["pii_kind", "part"], lambda attempt: invent("part", attempt))
+    words = each.join(parts.select("part", "surrogate"), "part").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("parts"))
+    names = names.join(words, "entity", "left").select("pii_kind", "entity", "normal", named("entity", "parts").alias("surrogate"))
+    rest = _settle(rows.where("pii_kind <> 'name'"), ["pii_kind", "normal"], lambda attempt: make("pii_kind", "entity", attempt))
+    columns = ["pii_kind", "normal", "entity", "surrogate"]
+    return names.select(*columns).unionByName(rest.select(*columns))
 
 
 def with_surrogates(df: DataFrame, id_col: str, text_col: str, found: DataFrame, key: str) -> DataFrame:

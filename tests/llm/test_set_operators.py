@@ -231,3 +231,12 @@ def test_placeholders_and_surrogates(spark):
     assert surrogate(b"a", "phone", "250-555-0177") != surrogate(b"b", "phone", "250-555-0177")
     assert normal_entity("email", "a [at] b [dot] c") == "a@b.c" and normal_entity("name", "TARMERE, Bo") == "bo tarmere"
     assert personal_data(df.limit(0), "id", "text", NAMES).count() == 0
+
+
+def test_surrogates_of_many_names_are_distinct_and_keep_their_parts(spark):
+    family = [f"Fam{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'a' if i % 2 else 'en'}" for i in range(6000)]
+    entities = [f"Ada {f}" for f in family] + family + [f"{a}. Tarmere" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    found = spark.createDataFrame([("name", e) for e in entities] + [("phone", f"555-{i:04}") for i in range(3000)], "pii_kind string, entity string")
+    got = {r["entity"]: r["surrogate"] for r in surrogates(found, "key").collect()}
+    assert len(got) == len({x.lower() for x in got.values()}) == len(entities) + 3000
+    assert all(got[f"Ada {f}"].split(" ")[1] == got[f] for f in family)
