@@ -39,7 +39,7 @@ _FOLD = (
 )
 _BEFORE = r"(?<![0-9A-Za-z])"
 
-_LETTERS = re.compile(r"[A-Za-zÀ-ÿ]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|arroba)\s?[\])}]\s?|\s(?:at|AT)\s(?=[A-Za-z0-9-]+\s(?:dot|DOT)\s))"
@@ -81,16 +81,30 @@ def _phone_end(found: str) -> int:
 
 
 # what stands before a number and says what it is
-ID_LABEL = re.compile(
-    r"(?:insurance (?:number|no\.?)|\bSIN|\bSSN|care ?card(?: reads| number)?|health (?:card|number)(?: reads)?|PHN|passports?(?: (?:no\.?|number))?|licen[cs]e(?: (?:no\.?|number))?"
+_LABELS = (
+    r"insurance (?:number|no\.?)|\bSIN|\bSSN|care ?card(?: reads| number)?|health (?:card|number)(?: reads)?|PHN|passports?(?: (?:no\.?|number))?|licen[cs]e(?: (?:no\.?|number))?"
     r"|identity card|national card|num[ée]ro de s[ée]curit[ée](?: sociale)?|s[ée]curit[ée] sociale|passeport(?: n[o°]\.?)?|permis(?: de conduire)?|carte (?:soleil|d'identit[ée])"
     r"|\bDNI|\bNIE|\bNIF|pasaporte|seguridad social|c[ée]dula|Ausweis(?: ?-?Nr\.?)?|Reisepass(?: Nr\.?)?|Personalausweis(?: Nr\.?)?|F[üu]hrerschein(?: Nr\.?)?|(?:Sozial)?versicherungsnummer"
-    r"|护照号码?|身份证号码?|社保号码?|驾照号码?|паспорт|СНИЛС|여권번호|주민등록번호)\s*(?:is|:|：|no\.?|Nr\.?|number|reads|n\.?º)?\s*",
-    re.I,
+    r"|护照号码?|身份证号码?|社保号码?|驾照号码?|паспорт|СНИЛС|여권번호|주민등록번호"
 )
+ID_LABEL = re.compile(rf"(?:{_LABELS})\s*(?:is|:|：|no\.?|Nr\.?|number|reads|n\.?º)?\s*", re.I)
 ID_VALUE = re.compile(r"(?:[A-Z]{1,3}[- ]?|[a-z]{1,2}[- ]?)?\d(?:[ .-]?\d){4,16}(?:-?[A-Za-z](?![A-Za-z]))?(?![0-9])|[A-Z]\d[0-9A-Z]{5,9}(?![0-9A-Za-z])")
+
+
+def _caseless(text: str) -> str:
+    """text as the patterns that ignore case see it."""
+    return text.translate({0x130: "i", 0x131: "i"}).casefold()
+
+
+def _label_pieces(labels: str) -> tuple[str, ...]:
+    """Of each alternative, the longest run of letters that every match of it holds."""
+    bare = re.sub(r"\(\?:[^()]*\)\??", "#", labels)
+    runs = [re.findall(r"[^\W\d_]+", re.sub(r"\\b|\[[^\]]*\]\??|.\?", "#", x)) for x in bare.split("|")]
+    return tuple(sorted({_caseless(max(r, key=len)) for r in runs}))
+
+
 # a text without any of these has no label; looked up before the pattern is run
-_LABEL_PIECES = ("nsurance", "are card", "arecard", "ealth", "PHN", "phn", "assport", "ASSPORT", "icen", "ICEN", "dentity", "ational card", "curit", "assepor", "ermis", "carte", "SIN", "SSN", "DNI", "NIE", "NIF", "dni", "asaporte", "dula", "usweis", "eisepass", "hrerschein", "ersicherungsnummer", "护照", "身份证", "社保", "驾照", "паспорт", "Паспорт", "СНИЛС", "여권", "주민등록")
+_LABEL_PIECES = _label_pieces(_LABELS)
 NOT_PHONE = re.compile(
     r"(?:contract|account|acct|parcel|identifier|bylaw|by-law|tender|meter|reading|part|file|invoice|permit|plan|resolution|item|coordinates|route|reference|ref|docket|serial"
     r"|contrato|cuenta|expediente|contrat|compte|dossier|vertrag|konto|akte|合同|账户|档案)[\w.]*(?: (?:is|no\.?|number|nr\.?|#))?[\s:#]*$",
@@ -193,7 +207,9 @@ class Finder:
             re.I,
         )
         self.hints = bool(token or names.given)
-        self._given = {x.lower() for x in names.given}
+        # a name of several runs of letters is looked up by its first and last
+        runs = [_LETTERS.findall(_caseless(x)) for x in (*names.given, *names.whole)]
+        self._given = {r[k] for r in runs if r for k in (0, -1)}
         self._family = re.compile(rf".*?(?:{'|'.join(token)})$") if token else re.compile(r"(?!)")
         self._seen: dict[str, bool] = {}
 
@@ -204,7 +220,7 @@ class Finder:
             if known is None:
                 if len(self._seen) > 200_000:
                     self._seen.clear()
-                low = w.lower()
+                low = _caseless(w)
                 known = self._seen[w] = low in self._given or bool(self._family.match(low))
             if known:
                 return True
@@ -215,6 +231,7 @@ class Finder:
         if not text:
             return []
         flat = text.translate(_FOLD)
+        low = _caseless(flat)
         found: list[tuple[int, int, str]] = []
 
         def free(a: int, z: int) -> bool:
@@ -232,7 +249,7 @@ class Finder:
                 if pattern is ADDRESS_DE and not m.group()[:1].isupper():
                     continue
                 take(a, z, "address")
-        for label in ID_LABEL.finditer(flat) if any(p in flat for p in _LABEL_PIECES) else ():
+        for label in ID_LABEL.finditer(flat) if any(p in low for p in _LABEL_PIECES) else ():
             m = ID_VALUE.match(flat, label.end())
             if m:
                 take(m.start(), m.end(), "id_number")

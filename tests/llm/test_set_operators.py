@@ -240,3 +240,15 @@ def test_surrogates_of_many_names_are_distinct_and_keep_their_parts(spark):
     got = {r["entity"]: r["surrogate"] for r in surrogates(found, "key").collect()}
     assert len(got) == len({x.lower() for x in got.values()}) == len(entities) + 3000
     assert all(got[f"Ada {f}"].split(" ")[1] == got[f] for f in family)
+
+
+@pytest.mark.parametrize("label", ["HEALTH CARD", "INSURANCE NUMBER", "CARE CARD", "IDENTITY CARD", "ssn", "Sin", "nie", "CARTE SOLEIL", "passport no.", "FÜHRERSCHEIN", "Sozialversicherungsnummer"])
+def test_labels_are_found_in_any_case(label):
+    text = f"{label} 071 715 557 y"
+    assert [(text[a:z], k) for a, z, k in Finder(NAMES).find(text)] == [("071 715 557", "id_number")]
+
+
+def test_names_of_several_parts_or_other_letters_are_looked_up():
+    names = NameLexicon(("Jean-Luc", "Mary Ann", "Łucja"), (), (), ())
+    for name in names.given:
+        assert [(a, z) for a, z, _ in Finder(names).find(f"so {name} said")] == [(3, 3 + len(name))]
