@@ -26,7 +26,7 @@ import hmac
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -143,12 +143,17 @@ _PLACE_AFTER = re.compile(
 
 @dataclass(frozen=True)
 class NameLexicon:
-    """Given names, and the beginnings and endings of family names; all bounded in number."""
+    """Given names, and the beginnings and endings of family names; all bounded in number.
+
+    rest (kind, name, run) holds the names beyond the bound, each with the first run of
+    letters by which it is joined with the texts.
+    """
 
     given: tuple[str, ...]
     starts: tuple[str, ...]
     ends: tuple[str, ...]
     whole: tuple[str, ...]
+    rest: DataFrame | None = field(default=None, compare=False)
 
 
 def shared_affixes(words: list[str], share: float = 0.01, sure: float = 0.95, longest: int = 7) -> set[str]:
@@ -167,19 +172,94 @@ def shared_affixes(words: list[str], share: float = 0.01, sure: float = 0.95, lo
     return out
 
 
+def _family_parts(surname: str) -> list[str]:
+    parts = (re.sub(r"^(?:o['’]|mc|mac|d['’])", "", p) for p in re.split(r"[-\s]", surname.lower()))
+    return [p for p in parts if len(p) > 4]
+
+
 def learn_names(people: DataFrame, given_col: str, surname_col: str, most: int = 20_000) -> NameLexicon:
-    """A lexicon from a table of people.  At most ``most`` distinct names of either kind are read, by hash order."""
+    """A lexicon from a table of people.
+
+    The beginnings and endings are learned from at most ``most`` distinct family names,
+    by hash order.  Names beyond ``most`` of either kind are not collected but stay in
+    ``rest``, so every listed name is found.
+    """
+
+    def distinct(col: str) -> DataFrame:
+        return people.select(F.initcap(F.trim(col)).alias("x")).where("x is not null and x <> ''").distinct()
 
-    def distinct(col: str) -> list[str]:
-        rows = people.select(F.initcap(F.trim(col)).alias("x")).where("x is not null and x <> ''").distinct()
-        return sorted(r["x"] for r in rows.orderBy(F.xxhash64("x")).limit(most).collect())
+    def first(col: str) -> tuple[list[str], bool]:
+        read = [r["x"] for r in distinct(col).orderBy(F.xxhash64("x"), "x").limit(most + 1).collect()]
+        return sorted(read[:most]), len(read) > most
 
-    given = [x for x in distinct(given_col) if len(x) > 1]
-    parts = [re.sub(r"^(?:o['’]|mc|mac|d['’])", "", p) for x in distinct(surname_col) for p in re.split(r"[-\s]", x.lower())]
-    parts = [p for p in parts if len(p) > 4]
+    (given, more_given), (surnames, more_family) = first(given_col), first(surname_col)
+    given = [x for x in given if len(x) > 1]
+    parts = [p for x in surnames for p in _family_parts(x)]
     starts, ends = shared_affixes(parts), {e[::-1] for e in shared_affixes([p[::-1] for p in parts])}
-    whole = [p for p in parts if not any(p.startswith(e) for e in starts) or not any(p.endswith(e) for e in ends)]
-    return NameLexicon(tuple(given), tuple(sorted(starts)), tuple(sorted(ends)), tuple(sorted(set(whole))[:most]))
+
+    by_affix = re.compile(rf"(?:{'|'.join(map(re.escape, sorted(starts)))})[a-z]{{0,9}}(?:{'|'.join(map(re.escape, sorted(ends)))})") if starts and ends else re.compile(r"(?!)")
+
+    def apart(p: str) -> bool:
+        """Is the name none that its beginning and ending give?"""
+        return not by_affix.fullmatch(p)
+
+    whole = sorted({p for p in parts if apart(p)})
+    # hyphenated names may have more parts than there are names
+    held_given, held_whole = set(given), set(whole[:most])
+
+    def beyond(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                if kind == "given":
+                    left = [x for x in names if len(x) > 1 and x not in held_given]
+                else:
+                    left = [p for x in names for p in _family_parts(x) if p not in held_whole and apart(p)]
+                runs = [_LETTERS.findall(_caseless(x.translate(_FOLD))) for x in left]
+                kept = [(kind, x, r[0]) for x, r in zip(left, runs) if r]
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.string()) for i in range(3)], ["kind", "name", "run"])
+
+        return run
+
+    rest = None
+    for kind, col, more in (("given", given_col, more_given), ("whole", surname_col, more_family or len(whole) > most)):
+        if more:
+            listed = distinct(col).mapInArrow(beyond(kind), "kind string, name string, run string").distinct()
+            rest = listed if rest is None else rest.unionByName(listed)
+    return NameLexicon(tuple(given), tuple(sorted(starts)), tuple(sorted(ends)), tuple(whole[:most]), rest)
+
+
+def _met(texts: DataFrame, text_col: str, names: NameLexicon) -> DataFrame:
+    """texts with _rest: the names beyond the lexicon whose first run of letters a text holds, as kind and name."""
+    kinds = "array<struct<kind:string,name:string>>"
+    if names.rest is None:
+        return texts.withColumn("_rest", F.lit(None).cast(kinds))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, words = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                # prefixes that the pattern of family names allows before a listed one
+                for w in {x for w in _LETTERS.findall(_caseless(text.translate(_FOLD))) for x in (w, w[2:] if w.startswith("mc") else w, w[3:] if w.startswith("mac") else w)}:
+                    row.append(i)
+                    words.append(w)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(words, pa.string())], ["_key", "run"])
+
+    keyed = texts.withColumn("_key", F.sha2(text_col, 256))
+    held = keyed.where(F.col(text_col).isNotNull()).select("_key", F.col(text_col).alias("_t")).dropDuplicates(["_key"]).mapInArrow(runs, "_key string, run string")
+    met = held.join(names.rest, "run").groupBy("_key").agg(F.collect_set(F.struct("kind", "name")).alias("_rest"))
+    return keyed.join(met, "_key", "left").drop("_key")
+
+
+def _finder(finder: Finder, names: NameLexicon, texts: list, rest: list) -> Finder:
+    """The finder of a batch: finder, or one of the names that its texts can hold if any is beyond the lexicon."""
+    extra = {(m["kind"], m["name"]) for r in rest if r for m in r}
+    if not extra:
+        return finder
+    words = {w for t in texts if t for w in _LETTERS.findall(_caseless(t.translate(_FOLD)))}
+    given = [x for x in names.given if (r := _LETTERS.findall(_caseless(x))) and r[0] in words]
+    pick = lambda kind: {x.translate(_FOLD) for k, x in extra if k == kind}
+    return Finder(replace(names, given=tuple(sorted({*given, *pick("given")})), whole=tuple(sorted({*names.whole, *pick("whole")}))))
 
 
 class Finder:
@@ -277,10 +357,12 @@ def personal_data(df: DataFrame, id_col: str, text_col: str, names: NameLexicon,
     """(id_col, char_start, char_end, pii_kind, entity) of every occurrence."""
     lang = F.lower(F.substring(F.coalesce(F.col(lang_col), F.lit("")), 1, 2)) if lang_col else F.lit("")
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang__")).where(F.col("_text").isNotNull())
+    slim, held = _met(slim, "_text", names), replace(names, rest=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(names)
+        usual = Finder(held)
         for batch in batches:
+            finder = _finder(usual, held, batch.column(1).to_pylist(), batch.column(3).to_pylist())
             row, out = [], []
             for i, (text, lang) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 for a, z, kind in finder.find(text, lang):
@@ -296,12 +378,13 @@ def personal_data(df: DataFrame, id_col: str, text_col: str, names: NameLexicon,
 def with_placeholders(df: DataFrame, id_col: str, text_col: str, names: NameLexicon, lang_col: str | None = None) -> DataFrame:
     """df with text_col's entities as [KIND_n], n counting the distinct entities of a kind within the text; no shuffle."""
     lang = F.lower(F.substring(F.coalesce(F.col(lang_col), F.lit("")), 1, 2)) if lang_col else F.lit("")
-    shaped = df.withColumn("_lang__", lang)
-    at, lang_at = shaped.columns.index(text_col), len(shaped.columns) - 1
+    shaped, held = _met(df.withColumn("_lang__", lang), text_col, names), replace(names, rest=None)
+    at, lang_at, rest_at = (shaped.columns.index(c) for c in (text_col, "_lang__", "_rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(names)
+        usual = Finder(held)
         for batch in batches:
+            finder = _finder(usual, held, batch.column(at).to_pylist(), batch.column(rest_at).to_pylist())
             out = []
             for text, lang in zip(batch.column(at).to_pylist(), batch.column(lang_at).to_pylist()):
                 if text is None:
@@ -319,7 +402,7 @@ def with_placeholders(df: DataFrame, id_col: str, text_col: str, names: NameLexi
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
-    return shaped.mapInArrow(run, shaped.schema).drop("_lang__")
+    return shaped.mapInArrow(run, shaped.schema).drop("_lang__", "_rest")
 
 
 def normal_entity(kind: str, entity: str) -> str:

@@ -252,3 +252,15 @@ def test_names_of_several_parts_or_other_letters_are_looked_up():
     names = NameLexicon(("Jean-Luc", "Mary Ann", "Łucja"), (), (), ())
     for name in names.given:
         assert [(a, z) for a, z, _ in Finder(names).find(f"so {name} said")] == [(3, 3 + len(name))]
+
+
+def test_names_beyond_the_bound_are_found(spark):
+    people = spark.createDataFrame([(f"{a}{b}e", f"{b}unt{a.lower()}rk") for a in "BCDFG" for b in ("al", "or", "un")], "given string, surname string")
+    rows = [(i, f"so {r['given']} {r['surname'].title()} said; Mc{r['surname'].title()} too") for i, r in enumerate(people.collect())] + [(99, None)]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    all_, few = (learn_names(people, "given", "surname", most=m) for m in (100, 4))
+    assert all_.rest is None and len(few.given) == 4
+    want, got = ({tuple(r) for r in personal_data(docs, "id", "t", n).collect()} for n in (all_, few))
+    assert want == got and len(want) == 30
+    held = with_placeholders(docs, "id", "t", few).collect()
+    assert {r["t"] for r in held} == {"so [NAME_1] said; [NAME_2] too", None} and held[0].asDict().keys() == {"id", "t"}
