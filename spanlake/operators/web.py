@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -141,11 +142,77 @@ def listing_rows(html: Column, pattern: str) -> Column:
     return F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " ")))
 
 
-def rich_text(nodes: Column, depth: int = 4) -> Column:
-    """The text of a VARIANT tree of {text, content: [...]} nodes, down to a fixed depth."""
-    out = F.coalesce(F.try_variant_get(nodes, "$.text", "string"), F.lit(""))
-    if not depth:
-        return out
-    children = F.try_variant_get(nodes, "$.content", "array<variant>")
-    below = F.transform(F.coalesce(children, F.array().cast("array<variant>")), lambda n: rich_text(n, depth - 1))
-    return F.concat(out, F.array_join(below, ""))
+def node_text(node) -> str:
+    """The text of a tree of {type, text, content: [...]} nodes, at any depth."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, dict):
+            if x.get("type") == "text":
+                out.append(x.get("text") or "")
+            else:
+                todo += reversed(x.get("content") or [])
+    return "".join(out)
+
+
+def marks_of(node, kind: str) -> list[tuple[str, dict]]:
+    """(text, attributes) of the marks of a kind in a tree, in order, at any depth."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, dict):
+            out += [(x.get("text") or "", m.get("attrs") or {}) for m in x.get("marks") or [] if m.get("type") == kind]
+            todo += reversed(x.get("content") or [])
+    return out
+
+
+def _parsed(tree: str):
+    """A tree from JSON; one deeper than the parser's stack allows is read without recursion."""
+    try:
+        return json.loads(tree)
+    except RecursionError:
+        return _deep(tree)
+
+
+def _deep(tree: str):
+    """json.loads without recursion."""
+    scan, at = json.JSONDecoder().raw_decode, 0
+    root: list = []
+    stack: list = [root]
+    keys: list = [None]
+    while at < len(tree):
+        c = tree[at]
+        if c in " \t\n\r,:":
+            at += 1
+            continue
+        if c in "]}":
+            stack.pop()
+            keys.pop()
+            at += 1
+            continue
+        if isinstance(stack[-1], dict) and keys[-1] is None:
+            keys[-1], at = scan(tree, at)
+            continue
+        value, at = ([], at + 1) if c == "[" else ({}, at + 1) if c == "{" else scan(tree, at)
+        if isinstance(stack[-1], dict):
+            stack[-1][keys[-1]] = value
+            keys[-1] = None
+        else:
+            stack[-1].append(value)
+        if isinstance(value, (dict, list)) and c in "[{":
+            stack.append(value)
+            keys.append(None)
+    return root[0]
+
+
+def rich_text(nodes: Column) -> Column:
+    """The text of a VARIANT tree of {type, text, content: [...]} nodes, at any depth; empty if null."""
+
+    def flat(trees: pa.Array) -> pa.Array:
+        return pa.array(["" if t is None else node_text(_parsed(t)) for t in trees.to_pylist()], pa.string())
+
+    return F.arrow_udf(flat, "string")(F.to_json(nodes))

@@ -90,5 +90,8 @@ def ext05_rich_text(spark: SparkSession, sf: str) -> DataFrame:
     """Text of a nested rich-text tree."""
     docs = table(spark, sf, "source_docs").where("title is not null").groupBy("source_id").agg(F.first("title").alias("title"), F.first("url").alias("url"))
     leaf = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
-    tree = F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("paragraph").alias("type"), F.array(leaf(F.concat("title", F.lit(" "))), leaf(F.col("url"))).alias("content"))).alias("content"))
+    node = lambda kind, *below: F.struct(F.lit(kind).alias("type"), F.array(*below).alias("content"))
+    tree = node("paragraph", leaf(F.concat("title", F.lit(" "))), leaf(F.col("url")))
+    for kind in ("item", "list", "item", "list", "item", "list", "doc"):
+        tree = node(kind, tree)
     return docs.select("source_id", F.substring(web.rich_text(F.parse_json(F.to_json(tree))), 1, 200).alias("said"))

@@ -1,5 +1,6 @@
 """Operators on small invented rows and against plain models."""
 
+import json
 import random
 import re
 
@@ -183,3 +184,19 @@ def test_weblog(spark):
     assert (total["views"], total["networks"], total["bots"]) == (3, 2, 1)
     assert {str(r["day"]): r["views"] for r in weblog.daily(weblog.views(reqs)).collect()} == {"2023-12-31": 2, "2024-01-01": 1}
     assert tuple(weblog.returning(weblog.views(reqs)).first()) == (2, 1, 0)
+
+
+def test_rich_text_has_no_depth(spark):
+    leaf = {"type": "text", "text": "deep", "marks": [{"type": "link", "attrs": {"href": "x"}}]}
+    trees = [{"type": "doc", "content": [{"type": "text", "text": "a "}, leaf, {"type": "text", "text": " z"}]}, [leaf, leaf], {"type": "doc"}]
+    for depth in (5, 6, 60):
+        tree = leaf
+        for _ in range(depth):
+            tree = {"type": "item", "content": [{"type": "text", "text": "-"}, tree]}
+        trees.append(tree)
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)] + [(9, None)], "i int, t string")
+    got = {r["i"]: r["x"] for r in df.select("i", web.rich_text(F.parse_json("t")).alias("x")).collect()}
+    assert got == {0: "a deep z", 1: "deepdeep", 2: "", 3: "-" * 5 + "deep", 4: "-" * 6 + "deep", 5: "-" * 60 + "deep", 9: ""}
+    assert web.marks_of(trees, "link") == [("deep", {"href": "x"})] * 6
+    nested = '{"content": [' * 100_000 + '{"type": "text", "text": "a\\"]}"}' + "]}" * 100_000
+    assert web.node_text(web._parsed(nested)) == 'a"]}'
