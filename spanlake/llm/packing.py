@@ -16,6 +16,8 @@ Texts without tokens are in no container.  Ids must be unique.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -58,22 +60,26 @@ def vector_best_fit(size: np.ndarray, capacity: int, documents: int, attention:
     return out
 
 
-def _items(sized: DataFrame, id_col: str, tokens_col: str, profiles: list[tuple[int, int]]) -> DataFrame:
-    """Each text as pieces, for each profile; only texts above the capacity have several."""
-    each = F.array(*(F.struct(F.lit(p).alias("profile_id"), F.lit(c).alias("capacity_tokens")) for p, c in profiles))
+def _items(sized: DataFrame, id_col: str, tokens_col: str, profiles: list[tuple[int, int]], attention_share: float = 1.0) -> DataFrame:
+    """Each text as pieces, for each profile; only texts above a capacity have several."""
+    longest = lambda c: max(1, min(c, math.isqrt(int(attention_share * c * c))))
+    each = F.array(*(F.struct(F.lit(p).alias("profile_id"), F.lit(c).alias("capacity_tokens"), F.lit(longest(c)).alias("longest")) for p, c in profiles))
     both = sized.select(F.col(id_col).cast("long").alias("item_id"), F.col(tokens_col).alias("n")).where("n > 0").select("*", F.inline(each))
-    pieces = both.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("capacity_tokens")).cast("int"))))
-    start = F.col("piece_no") * F.col("capacity_tokens").cast("long")
-    return pieces.select("profile_id", "capacity_tokens", "item_id", "piece_no", start.alias("token_start"), F.least(F.col("n"), start + F.col("capacity_tokens")).alias("token_end"))
+    pieces = both.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("longest")).cast("int"))))
+    start = F.col("piece_no") * F.col("longest").cast("long")
+    return pieces.select("profile_id", "capacity_tokens", "item_id", "piece_no", start.alias("token_start"), F.least(F.col("n"), start + F.col("longest")).alias("token_end"))
 
 
 def packed(
-    sized: DataFrame, id_col: str, tokens_col: str, profiles: DataFrame, block_items: int = 8192, settled: float = 0.95, rule: str = "norm", documents_per_token: float = 1 / 16
+    sized: DataFrame, id_col: str, tokens_col: str, profiles: DataFrame, block_items: int = 8192, settled: float = 0.95, rule: str = "norm", documents_per_token: float = 1 / 16,
+    attention_share: float = 1.0,
 ) -> DataFrame:
     """(profile_id, container_id, item_id, piece_no, token_start, token_end).
 
     profiles (profile_id, capacity_tokens) is a short list of settings; more than
-    1,000 rows are refused.
+    1,000 rows are refused.  The attention capacity is attention_share of the token
+    capacity's square.  At 1, the least that takes a piece of full capacity, it excludes
+    no container that holds the tokens; below 1, texts are split into pieces that fit.
     """
     from spanlake.session import checkpointed
 
@@ -81,6 +87,8 @@ def packed(
     settings = sorted((r["profile_id"], r["capacity_tokens"]) for r in profiles.select("profile_id", "capacity_tokens").limit(1001).collect())
     if not 0 < len(settings) <= 1000:
         raise ValueError("profiles must be a short list of settings")
+    if not 0 < attention_share or min(c for _, c in settings) ** 2 * attention_share < 1:
+        raise ValueError("the attention capacity must take one token")
 
     def pack(table: pa.Table) -> pa.Table:
         start, end = (np.asarray(table.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("token_start", "token_end"))
@@ -88,7 +96,7 @@ def packed(
         order = np.lexsort((piece, ids))  # the result does not depend on the order of arrival
         size, capacity = (end - start)[order], table.column("capacity_tokens")[0].as_py()
         bins = np.empty(len(order), dtype=np.int64)
-        bins[order] = vector_best_fit(size, capacity, max(1, int(capacity * documents_per_token)), float(capacity) ** 2, rule)
+        bins[order] = vector_best_fit(size, capacity, max(1, int(capacity * documents_per_token)), attention_share * float(capacity) ** 2, rule)
         fill = np.bincount(bins, weights=end - start)[bins] / capacity
         out = {c: table.column(c) for c in ("profile_id", "capacity_tokens", "block", "item_id", "piece_no", "token_start", "token_end")}
         return pa.table(out | {"bin": pa.array(bins, pa.int64()), "fill": pa.array(fill, pa.float64())})
@@ -105,7 +113,7 @@ def packed(
 
     columns = ["profile_id", "container_id", "item_id", "piece_no", "token_start", "token_end"]
     name = lambda r: F.concat_ws("-", F.lit(r), F.col("block"), F.col("bin")).alias("container_id")
-    first = one_round(_items(sized, id_col, tokens_col, settings), 1)
+    first = one_round(_items(sized, id_col, tokens_col, settings, attention_share), 1)
     second = one_round(first.where(F.col("fill") < settled).drop("block", "bin", "fill"), 2)
     done = first.where(F.col("fill") >= settled).select("profile_id", name(1), *columns[2:])
     return done.unionByName(second.select("profile_id", name(2), *columns[2:]))

@@ -264,3 +264,12 @@ def test_names_beyond_the_bound_are_found(spark):
     assert want == got and len(want) == 30
     held = with_placeholders(docs, "id", "t", few).collect()
     assert {r["t"] for r in held} == {"so [NAME_1] said; [NAME_2] too", None} and held[0].asDict().keys() == {"id", "t"}
+
+
+def test_attention_capacity_of_packed_binds(spark):
+    df = spark.createDataFrame([(i, 100) for i in range(40)] + [(99, 600)], "doc long, n long")
+    profiles = spark.createDataFrame([(1, 1000)], "profile_id int, capacity_tokens int")
+    cost = {}
+    for r in packed(df, "doc", "n", profiles, attention_share=0.05, documents_per_token=1.0).collect():
+        cost.setdefault(r["container_id"], []).append((r["token_end"] - r["token_start"]) ** 2)
+    assert max(map(sum, cost.values())) <= 50_000 and sum(map(len, cost.values())) == 43
