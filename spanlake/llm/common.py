@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from spanlake.operators.joins import join_small  # noqa: F401
+from spanlake.operators.joins import join_large, join_small  # noqa: F401
 
 BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -37,3 +37,13 @@ def pieces(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> I
         end = max(at + 1, int(np.searchsorted(size, base + most_bytes, side="right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+def list_pieces(batch: pa.RecordBatch, column: int, most_items: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists hold about most_items together; a longer list is alone."""
+    end = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most_items, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

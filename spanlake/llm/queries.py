@@ -64,13 +64,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per record: its class, its group and the number of classes linked to its own."""
+    """One row per record: the first record of its class and of its group, and the number of classes linked to its own."""
     from spanlake.llm.parity_join import groups
 
     quotes, texts = _edited(spark, sf)
     a = groups(*_near(quotes, "position_id", "quote")).withColumn("field_name", F.lit("quote"))
     b = groups(*_near(texts, "source_id", "text")).withColumn("field_name", F.lit("text"))
-    return a.unionByName(b).select("field_name", F.col("id").alias("record_id"), "class_id", "group_id", F.col("links").cast("bigint").alias("linked_classes"))
+    return a.unionByName(b).select("field_name", F.col("id").alias("record_id"), "class_id", "group_id", F.col("links").cast("bigint").alias("linked_classes")).distinct()
 
 
 def _cut(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,14 +169,28 @@ _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}
 
 _WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
 
-SQL: dict[str, str] = {
-    "p4_found": f"""
-WITH rows AS (
+_EDITED = f"""
+rows AS (
   SELECT DISTINCT 'quote' AS field_name, position_id AS id, {_WORDS.format("quote")} AS words FROM positions WHERE kind = 'position' AND lang IN ('en', 'fr', 'de', 'es') AND quote IS NOT NULL
   UNION SELECT DISTINCT 'text', source_id, {_WORDS.format("text")} FROM source_docs WHERE source_type = 'official_statement' AND lang IN ('en', 'fr', 'de', 'es') AND text IS NOT NULL),
 each AS (SELECT field_name, id, len(words) AS n, unnest(words) AS word FROM rows),
-met AS (SELECT a.field_name, a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM each a JOIN each b ON a.field_name = b.field_name AND a.word = b.word AND a.id < b.id GROUP BY ALL)
-SELECT DISTINCT field_name, id_a, id_b FROM met WHERE k * 10 >= 7 * (na + nb - k)
+met AS (SELECT a.field_name, a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM each a JOIN each b ON a.field_name = b.field_name AND a.word = b.word AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT DISTINCT field_name, id_a, id_b FROM met WHERE k * 10 >= 7 * (na + nb - k))"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"WITH {_EDITED} SELECT field_name, id_a, id_b FROM pairs",
+    "p4_groups": f"""
+WITH RECURSIVE {_EDITED},
+worded AS (SELECT field_name, id, list_sort(words)::VARCHAR AS w FROM rows WHERE len(words) > 0),
+classes AS (SELECT field_name, w, min(id) AS class_id FROM worded GROUP BY ALL),
+member AS (SELECT field_name, id, class_id FROM worded JOIN classes USING (field_name, w)),
+link AS (SELECT DISTINCT p.field_name, a.class_id AS u, b.class_id AS v FROM pairs p JOIN member a ON a.field_name = p.field_name AND a.id = p.id_a JOIN member b ON b.field_name = p.field_name AND b.id = p.id_b WHERE a.class_id <> b.class_id),
+edge AS (SELECT field_name, u, v FROM link UNION SELECT field_name, v, u FROM link),
+reach AS (SELECT field_name, class_id AS u, class_id AS v FROM classes UNION SELECT r.field_name, r.u, e.v FROM reach r JOIN edge e ON e.field_name = r.field_name AND e.u = r.v),
+groups AS (SELECT field_name, u, min(v) AS group_id FROM reach GROUP BY ALL),
+degree AS (SELECT field_name, u, count(*) AS n FROM edge GROUP BY ALL)
+SELECT DISTINCT m.field_name, m.id AS record_id, m.class_id, g.group_id, coalesce(d.n, 0) AS linked_classes
+FROM member m JOIN groups g ON g.field_name = m.field_name AND g.u = m.class_id LEFT JOIN degree d ON d.field_name = m.field_name AND d.u = m.class_id
 """,
     "p5_found": rf"""
 WITH pages AS (

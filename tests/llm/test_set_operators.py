@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanlake.llm import truncation as T
 from spanlake.llm.mixing import mixed, reached_shares
 from spanlake.llm.packing import fill_report, packed, vector_best_fit
-from spanlake.llm.parity_join import bit_sketches, expand_pairs, groups, near_duplicates
+from spanlake.llm.parity_join import _mix, bit_sketches, expand_pairs, groups, near_duplicates, signatures
 from spanlake.llm.personal_data import Finder, NameLexicon, learn_names, normal_entity, personal_data, surrogate, surrogates, with_placeholders, with_surrogates
 
 
@@ -57,6 +57,55 @@ def test_near_duplicates_against_brute_force(spark, threshold):
     assert all(group[a] == group[b] for a, b in want)
 
 
+@pytest.mark.parametrize("threshold,per_part", [(0.7, 2), (0.7, 3), (0.8, 2)])
+def test_signatures_miss_no_pair_and_none_is_empty(threshold, per_part):
+    rng = random.Random(per_part)
+    sets = set()
+    for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 17, 20, 25, 30, 40, 60, 90, 150] * 4:
+        base = {rng.randrange(10**9) for _ in range(n)}
+        sets.add(frozenset(base))
+        for _ in range(6):
+            x = set(base)
+            for _ in range(rng.randint(0, max(1, n // 4))):
+                if rng.random() < 0.6 and len(x) > 1:
+                    x.discard(rng.choice(sorted(x)))
+                if rng.random() < 0.6:
+                    x.add(rng.randrange(10**9))
+            sets.add(frozenset(x))
+    sets = sorted(sets, key=sorted)
+    size = np.array([len(x) for x in sets])
+    hashed = _mix(np.array([w for x in sets for w in sorted(x)], dtype=np.uint64))
+    at, sig, gone, level = signatures(hashed, np.repeat(np.arange(len(sets)), size), size, threshold, np.unique(size), per_part)
+    held = {}
+    for row in zip(at.tolist(), sig.tolist(), gone.tolist(), level.tolist()):
+        held.setdefault(row[1], []).append(row)
+    met = {(min(a[0], b[0]), max(a[0], b[0])) for rows in held.values() for a, b in itertools.combinations(rows, 2) if a[2] + b[2] <= min(a[3], b[3])}
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9}
+    assert want <= met and len(want) > 200
+    empty = {int(_mix(_mix(np.array([p + (parts << 20)], dtype=np.uint64)))[0].view(np.int64)) for parts in (2**k for k in range(8)) for p in range(parts)}
+    few = {a for a, s, _, _ in zip(at.tolist(), sig.tolist(), gone, level) if s in empty}
+    assert len(few) * 50 < len(sets)  # only records whose words lie in too few parts
+
+
+def test_no_side_of_the_signature_join_is_broadcast(spark):
+    from pyspark.sql import DataFrame
+
+    from spanlake import session
+
+    plans = []
+    real = session.checkpointed
+    texts = edited(random.Random(4), 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    try:
+        session.checkpointed = lambda d, s=None: (plans.append(d._jdf.queryExecution().executedPlan().toString()), real(d, s))[1]
+        members, links = near_duplicates(df, "id", "t", 0.7)
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+    finally:
+        session.checkpointed = real
+    assert isinstance(links, DataFrame) and any("MapInArrow" in p and "SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastHashJoin" in p for p in plans if "MapInArrow" in p) and "Broadcast" not in plans[-1]
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, t string")
     members, links = near_duplicates(empty, "id", "t")
