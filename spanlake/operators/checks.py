@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanlake.operators.joins import join_large
 from spanlake.operators.spans import verified
 
 
@@ -24,7 +25,7 @@ def wrong_counts(df: DataFrame, keys: list[str], expected: DataFrame) -> DataFra
 
 def unverified_spans(spans: DataFrame, sources: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Spans whose source is missing or does not hold the quote at its place; reason says which."""
-    joined = spans.join(sources.select(key, F.col(text_col).alias("_text")), key, "left")
+    joined = join_large(spans, sources.select(key, F.col(text_col).alias("_text")), key, "left")
     good = verified(F.col("_text"), F.col("quote"), F.col("char_start"), F.col("char_end"))
     reason = F.when(F.col("_text").isNull(), "no source").when(F.trim("quote") == "", "empty").when(~good, "not at its place")
     return joined.withColumn("reason", reason).where("reason is not null").drop("_text")

@@ -24,15 +24,17 @@ def _topics(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(listed))
 
 
-def _spoken(spark: SparkSession, sf: str) -> DataFrame:
-    return _positions(spark, sf).where("kind = 'position' and owner_id is not null")
+def _spoken(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Statements of known people, once each, with the columns asked for."""
+    spoken = table(spark, sf, "positions").where("kind = 'position' and owner_id is not null")
+    return spoken.select("position_id", "owner_id", *columns).distinct()
 
 
 @query(f"""
 SELECT t.category, t.label, count(DISTINCT p.owner_id) AS people, count(p.position_id) AS passages FROM {_TOPICS} t LEFT JOIN (SELECT * FROM ({_POS}) WHERE kind = 'position' AND owner_id IS NOT NULL) p USING (category) GROUP BY 1, 2""")
 def agg05_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """People and passages per topic, topics without any included."""
-    n = _spoken(spark, sf).groupBy("category").agg(F.countDistinct("owner_id").alias("people"), F.count("*").alias("passages"))
+    n = _spoken(spark, sf, "category").groupBy("category").agg(F.countDistinct("owner_id").alias("people"), F.count("*").alias("passages"))
     return _topics(spark).join(n, "category", "left").select("category", "label", F.coalesce("people", F.lit(0)).alias("people"), F.coalesce("passages", F.lit(0)).alias("passages"))
 
 
@@ -70,7 +72,7 @@ SELECT t.category, c.candidate_id, CASE WHEN p.owner_id IS NOT NULL THEN 'speaks
 FROM {_TOPICS} t CROSS JOIN candidates c LEFT JOIN p ON p.category = t.category AND p.owner_id = c.candidate_id LEFT JOIN s ON s.owner_id = c.candidate_id""")
 def jon27_partition(spark: SparkSession, sf: str) -> DataFrame:
     """Every person's part in every topic: speaks, silent though sourced, or without a source."""
-    p = _spoken(spark, sf).select(F.col("owner_id").alias("candidate_id"), "category", F.lit(1).alias("p")).distinct()
+    p = _spoken(spark, sf, "category").select(F.col("owner_id").alias("candidate_id"), "category", F.lit(1).alias("p")).distinct()
     s = table(spark, sf, "source_docs").where("owner_id is not null").select(F.col("owner_id").alias("candidate_id"), F.lit(1).alias("s")).distinct()
     people = table(spark, sf, "candidates").select("candidate_id", F.explode(F.array(*(F.lit(t) for t in TOPICS))).alias("category")).join(s, "candidate_id", "left")
     return people.join(p, ["candidate_id", "category"], "left").select("category", "candidate_id", F.when(F.col("p").isNotNull(), "speaks").when(F.col("s").isNotNull(), "silent").otherwise("no source").alias("part"))
@@ -85,7 +87,7 @@ SELECT k.member_id, k.category, coalesce(quotes, 0) AS quotes, coalesce(replies,
 FROM k JOIN rosters m ON m.member_id = k.member_id LEFT JOIN q ON q.member_id = k.member_id AND q.category = k.category LEFT JOIN r ON r.member_id = k.member_id AND r.category = k.category LEFT JOIN b ON b.member_id = k.member_id AND b.category = k.category""")
 def jon26_issue_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes, replies and votes of each member by topic, rows without any left out; one shuffle on the key by union and sum."""
-    spoken = _spoken(spark, sf)
+    spoken = _spoken(spark, sf, "category", "source_type")
     reply = (F.col("source_type") == "questionnaire_reply").cast("long")
     said = spoken.select(F.col("owner_id").alias("member_id"), "category", (1 - reply).alias("quotes"), reply.alias("replies"), F.lit(0).cast("long").alias("votes"))
     topics = _votes(spark, sf).select("vote_id", F.explode(F.array_distinct("district_categories")).alias("category"))
@@ -109,7 +111,7 @@ WITH p AS (SELECT position_id, owner_id, quote, 10 * ({_HITS}) + CASE WHEN sourc
 
 def _search(spark: SparkSession, sf: str) -> DataFrame:
     terms = tx.search_tokens(F.lit(SEARCH))
-    p = _positions(spark, sf).withColumn("score", tx.search_score(F.col("quote"), terms, F.col("source_type") == "official_statement"))
+    p = _positions(spark, sf, "owner_id", "quote", "source_type").withColumn("score", tx.search_score(F.col("quote"), terms, F.col("source_type") == "official_statement"))
     return p.where("score >= 10")
 
 
@@ -133,7 +135,7 @@ _PIVOT = ", ".join(f"count(*) FILTER (WHERE category = '{t}') AS \"{t}\"" for t
 @query(f"SELECT owner_id, {_PIVOT} FROM ({_POS}) WHERE kind = 'position' AND owner_id IS NOT NULL GROUP BY 1")
 def qry07_compare_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """People against topics."""
-    return _spoken(spark, sf).groupBy("owner_id").agg(*(F.count_if(F.col("category") == t).alias(t) for t in TOPICS))
+    return _spoken(spark, sf, "category").groupBy("owner_id").agg(*(F.count_if(F.col("category") == t).alias(t) for t in TOPICS))
 
 
 @query(f"""
@@ -141,8 +143,8 @@ SELECT position_id, owner_id, category, row_number() OVER (PARTITION BY owner_id
 FROM ({_POS}) WHERE kind = 'position' AND owner_id IS NOT NULL""")
 def ext25_compare_payload(spark: SparkSession, sf: str) -> DataFrame:
     """Passages by person and topic with their rank."""
-    order = Window.partitionBy("owner_id", "category").orderBy(F.when(F.col("source_type") == "official_statement", 0).otherwise(1), -F.length("quote"), "position_id")
-    return _spoken(spark, sf).select("position_id", "owner_id", "category", F.row_number().over(order).cast("bigint").alias("place"))
+    order = Window.partitionBy("owner_id", "category").orderBy(F.when(F.col("source_type") == "official_statement", 0).otherwise(1), -F.col("n"), "position_id")
+    return _spoken(spark, sf, "category", "source_type", F.length("quote").alias("n")).select("position_id", "owner_id", "category", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @query(f"""
@@ -151,7 +153,7 @@ FROM p LEFT JOIN {_TOPICS} t USING (category) LEFT JOIN candidates c ON c.candid
 def ext24_search_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The slim rows that a search serves from; the quote is attached last."""
     people = table(spark, sf, "candidates").select(F.col("candidate_id").alias("owner_id"), F.col("full_name").alias("name"), "incumbent")
-    rows = _positions(spark, sf).select("position_id", "owner_id", "kind", "category")
+    rows = _positions(spark, sf, "owner_id", "kind", "category")
     both = rows.join(F.broadcast(_topics(spark)), "category", "left").join(people, "owner_id", "left")
     return both.select("position_id", "kind", "category", F.coalesce("label", "category").alias("label"), "name", F.coalesce("incumbent", F.lit(False)).alias("incumbent"))
 
@@ -164,7 +166,7 @@ def qry01_issue_page(spark: SparkSession, sf: str) -> DataFrame:
     """Speakers of each race on each topic, out of how many."""
     people = table(spark, sf, "candidates").select(F.col("candidate_id").alias("owner_id"), "municipality", "office")
     races = people.groupBy("municipality", "office").agg(F.count("*").alias("in_race"))
-    said = _spoken(spark, sf).join(people, "owner_id").groupBy("category", "municipality", "office").agg(F.countDistinct("owner_id").alias("speakers"), F.count("*").alias("passages"))
+    said = _spoken(spark, sf, "category").join(people, "owner_id").groupBy("category", "municipality", "office").agg(F.countDistinct("owner_id").alias("speakers"), F.count("*").alias("passages"))
     return said.join(races, ["municipality", "office"]).select("category", "municipality", "office", "speakers", "in_race", "passages")
 
 
@@ -181,7 +183,7 @@ SELECT c.candidate_id, t.category FROM candidates c CROSS JOIN {_TOPICS} t WHERE
 def qry03_uncovered(spark: SparkSession, sf: str) -> DataFrame:
     """Topics that a person says nothing on."""
     all_ = table(spark, sf, "candidates").select("candidate_id", F.explode(F.array(*(F.lit(t) for t in TOPICS))).alias("category"))
-    return all_.join(_spoken(spark, sf).select(F.col("owner_id").alias("candidate_id"), "category").distinct(), ["candidate_id", "category"], "left_anti")
+    return all_.join(_spoken(spark, sf, "category").select(F.col("owner_id").alias("candidate_id"), "category").distinct(), ["candidate_id", "category"], "left_anti")
 
 
 @query(f"""
@@ -189,7 +191,7 @@ SELECT c.candidate_id, count(DISTINCT p.category) AS topics FROM candidates c LE
 WHERE contains(lower(c.full_name), 'a') GROUP BY 1 HAVING count(*) FILTER (WHERE p.category = 'homes') > 0""")
 def flt22_people_filter(spark: SparkSession, sf: str) -> DataFrame:
     """People by part of a name and a topic they speak on."""
-    said = _spoken(spark, sf).groupBy(F.col("owner_id").alias("candidate_id")).agg(F.collect_set("category").alias("c"))
+    said = _spoken(spark, sf, "category").groupBy(F.col("owner_id").alias("candidate_id")).agg(F.collect_set("category").alias("c"))
     people = table(spark, sf, "candidates").where(F.contains(F.lower("full_name"), F.lit("a")))
     return people.join(said, "candidate_id").where(F.array_contains("c", "homes")).select("candidate_id", F.size("c").cast("bigint").alias("topics"))
 

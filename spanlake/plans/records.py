@@ -28,8 +28,9 @@ def _cast(spark: SparkSession, sf: str) -> DataFrame:
     return records.ballot_maps(table(spark, sf, "ballots")).select("vote_id", F.explode("members").alias("member_id", "decision"))
 
 
-def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "positions").drop("flashpoints").distinct()
+def _positions(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Passages once, with the columns asked for: nothing else is read or shuffled."""
+    return table(spark, sf, "positions").select("position_id", *columns).distinct()
 
 
 @query(f"""
@@ -64,7 +65,7 @@ SELECT p.position_id, d.source_id FROM ({_POS}) p JOIN d ON d.owner_id = p.owner
 def jon05_span_source(spark: SparkSession, sf: str) -> DataFrame:
     """Each passage's source by owner and address, the first loaded."""
     docs = dedupe.first_by(table(spark, sf, "source_docs").where("owner_id is not null"), ["owner_id", "url"], ["loaded_at", "source_id"])
-    return _positions(spark, sf).select("position_id", "owner_id", F.col("source_url").alias("url")).join(docs.select("owner_id", "url", "source_id"), ["owner_id", "url"]).select("position_id", "source_id")
+    return _positions(spark, sf, "owner_id", "source_url").withColumnRenamed("source_url", "url").join(docs.select("owner_id", "url", "source_id"), ["owner_id", "url"]).select("position_id", "source_id")
 
 
 @query("""
@@ -195,7 +196,7 @@ WITH p AS ({_POS}), a AS (SELECT owner_id, count(*) AS had FROM p GROUP BY 1), b
 SELECT owner_id, had FROM a WHERE owner_id IS NOT NULL AND owner_id NOT IN (SELECT owner_id FROM b WHERE owner_id IS NOT NULL)""")
 def jon29_snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Owners with passages before and none in the later snapshot (here: the background ones)."""
-    p = _positions(spark, sf).where("owner_id is not null")
+    p = _positions(spark, sf, "owner_id", "kind").where("owner_id is not null")
     return records.snapshot_emptied(p, p.where("kind = 'background'"), "owner_id")
 
 
@@ -293,7 +294,8 @@ r AS (SELECT position_id, CASE WHEN text IS NULL THEN 'no source' WHEN trim(quot
 SELECT position_id, reason FROM r WHERE reason IS NOT NULL""")
 def dq03_unverified(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "source_docs").select("source_id", "text").distinct()
-    return checks.unverified_spans(_positions(spark, sf), docs, "source_id").select("position_id", "reason")
+    spans = table(spark, sf, "positions").select("position_id", "source_id", "quote", "char_start", "char_end")
+    return checks.unverified_spans(spans, docs, "source_id").select("position_id", "reason").distinct()
 
 
 @query("""SELECT owner_id FROM (SELECT DISTINCT owner_id FROM source_docs WHERE owner_id IS NOT NULL) s WHERE owner_id NOT IN (SELECT owner_id FROM positions WHERE owner_id IS NOT NULL)""")
@@ -310,7 +312,7 @@ def dq10_unknown_decision(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT owner_id FROM (SELECT DISTINCT owner_id FROM source_docs WHERE owner_id IS NOT NULL) EXCEPT SELECT candidate_id FROM candidates")
 def set03_difference(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "source_docs").where("owner_id is not null").select("owner_id")
-    return docs.exceptAll(docs.limit(0)).distinct().subtract(table(spark, sf, "candidates").select(F.col("candidate_id").alias("owner_id")))
+    return docs.subtract(table(spark, sf, "candidates").select(F.col("candidate_id").alias("owner_id")))
 
 
 @query("SELECT 'person' AS kind, municipality, candidate_id AS id FROM candidates UNION ALL SELECT 'member', municipality, member_id FROM rosters")

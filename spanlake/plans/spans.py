@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanlake.functions.text import drop_heading, normal, opening, overlaps, trim_quote, word_count, word_set
 from spanlake.operators import dedupe, spans, tagging
+from spanlake.operators.joins import join_large
 from spanlake.plans.registry import query
 from spanlake.sources.readers import table
 
@@ -25,8 +26,9 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.latest(docs, ["source_id"], "loaded_at", "url")
 
 
-def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "positions").drop("flashpoints").distinct()
+def _positions(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Passages with the columns asked for; rows delivered again are still there."""
+    return table(spark, sf, "positions").select("position_id", *columns)
 
 
 def _case(pairs: dict[str, tuple[str, ...]], text: str) -> str:
@@ -77,8 +79,9 @@ SELECT position_id, coalesce(char_start >= 0 AND char_start < char_end AND char_
 FROM p LEFT JOIN d USING (source_id)""")
 def flt01_span_verify(spark: SparkSession, sf: str) -> DataFrame:
     """Does each quote stand at its place in its source?"""
-    joined = _positions(spark, sf).join(_docs(spark, sf).select("source_id", "text"), "source_id", "left")
-    return joined.select("position_id", spans.verified(F.col("text"), F.col("quote"), F.col("char_start"), F.col("char_end")).alias("verified"))
+    quoted = _positions(spark, sf, "source_id", "quote", "char_start", "char_end")
+    joined = join_large(quoted, _docs(spark, sf).select("source_id", "text"), "source_id", "left")
+    return joined.select("position_id", spans.verified(F.col("text"), F.col("quote"), F.col("char_start"), F.col("char_end")).alias("verified")).distinct()
 
 
 _WC = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_](?:[\\p{{L}}\\p{{N}}_''-]*[\\p{{L}}\\p{{N}}_])?'))"
@@ -96,9 +99,9 @@ k AS (SELECT position_id, quote, (b = '' OR ends_with(b, chr(10))) AND (a = '' O
 SELECT position_id, standalone, {_WC.format('quote')} >= CASE WHEN standalone THEN 8 ELSE 15 END AS long_enough FROM k""")
 def flt02_word_floor(spark: SparkSession, sf: str) -> DataFrame:
     """Standalone lines and the word floor of each passage."""
-    joined = _positions(spark, sf).join(_docs(spark, sf).select("source_id", "text"), "source_id")
+    joined = join_large(_positions(spark, sf, "source_id", "quote", "char_start", "char_end"), _docs(spark, sf).select("source_id", "text"), "source_id")
     flagged = joined.withColumn("standalone", spans.standalone_line(F.col("text"), F.col("char_start"), F.col("char_end")))
-    return flagged.select("position_id", "standalone", spans.long_enough(F.col("quote"), F.col("standalone")).alias("long_enough"))
+    return flagged.select("position_id", "standalone", spans.long_enough(F.col("quote"), F.col("standalone")).alias("long_enough")).distinct()
 
 
 @query(f"SELECT source_id, sent_no, unnest({_case(tagging.TAXONOMY, 'text')}) AS category FROM (SELECT DISTINCT source_id, sent_no, text FROM sentences WHERE text IS NOT NULL)")
@@ -117,7 +120,7 @@ _FLASH = (
 
 @query(f"SELECT position_id, array_to_string({_FLASH}, ',') AS flashpoints FROM ({_ONE_POS})")
 def flt04_flashpoint(spark: SparkSession, sf: str) -> DataFrame:
-    return _positions(spark, sf).select("position_id", F.array_join(tagging.flashpoints_in(F.col("quote")), ",").alias("flashpoints"))
+    return _positions(spark, sf, "quote").select("position_id", F.array_join(tagging.flashpoints_in(F.col("quote")), ",").alias("flashpoints")).distinct()
 
 
 def tagged_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,14 +167,14 @@ _NORM = "lower(trim(regexp_replace({}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')))"
 @query(f"SELECT owner_id, {_NORM.format('quote')} AS quote_text, count(DISTINCT category) AS spread FROM ({_ONE_POS}) GROUP BY 1, 2")
 def agg03_spread(spark: SparkSession, sf: str) -> DataFrame:
     """Categories per normalised quote of an owner."""
-    return _positions(spark, sf).groupBy("owner_id", normal(F.col("quote")).alias("quote_text")).agg(F.countDistinct("category").alias("spread"))
+    return _positions(spark, sf, "owner_id", "quote", "category").groupBy("owner_id", normal(F.col("quote")).alias("quote_text")).agg(F.countDistinct("category").alias("spread"))
 
 
 @query("""SELECT DISTINCT position_id, list_sort(list_distinct(regexp_extract_all(lower(quote), '[a-z'']+')))::VARCHAR AS words FROM positions""")
 def str07_word_set(spark: SparkSession, sf: str) -> DataFrame:
     words = F.array_sort(word_set(F.col("quote")))
     text = F.concat(F.lit("["), F.array_join(F.transform(words, lambda w: F.when(F.contains(w, F.lit("'")), F.concat(F.lit("'"), F.replace(w, F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(w)), ", "), F.lit("]"))
-    return _positions(spark, sf).select("position_id", text.alias("words")).distinct()
+    return _positions(spark, sf, "quote").select("position_id", text.alias("words")).distinct()
 
 
 @query(f"""
@@ -182,7 +185,7 @@ WITH p AS (SELECT position_id, list_distinct(regexp_extract_all(lower(quote), '[
 SELECT position_id, best_id, len(w) > 0 AND len(best) > 0 AND len(list_intersect(w, best)) > 0.7 * least(len(w), len(best)) AS overlaps FROM p WHERE position_id <> best_id""")
 def str08_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Does a passage share most of the smaller word set with the longest of its owner and category?"""
-    p = _positions(spark, sf).where("owner_id is not null").select("position_id", "owner_id", "category", word_set(F.col("quote")).alias("w"), F.length("quote").alias("n"))
+    p = _positions(spark, sf, "owner_id", "category", "quote").where("owner_id is not null").distinct().select("position_id", "owner_id", "category", word_set(F.col("quote")).alias("w"), F.length("quote").alias("n"))
     best = p.groupBy("owner_id", "category").agg(F.max_by(F.struct(F.col("position_id").alias("best_id"), F.col("w").alias("best")), F.struct("n", (-F.col("position_id")).alias("p"))).alias("b"))
     both = p.join(best, ["owner_id", "category"]).where("position_id <> b.best_id")
     return both.select("position_id", F.col("b.best_id").alias("best_id"), overlaps(F.col("w"), F.col("b.best")).alias("overlaps"))
@@ -199,7 +202,7 @@ d AS (SELECT *, CASE WHEN stop < 133 THEN {_last('w', ' ')} ELSE stop END AS cut
 SELECT position_id, CASE WHEN length(quote) <= 400 OR cut <= 0 THEN quote ELSE rtrim(substring(quote, 1, cut + 1)) END AS trimmed FROM d""")
 def str09_trim(spark: SparkSession, sf: str) -> DataFrame:
     """Passages cut at the last sentence break within 400 characters."""
-    return _positions(spark, sf).select("position_id", trim_quote(F.col("quote"), 400).alias("trimmed"))
+    return _positions(spark, sf, "quote").distinct().select("position_id", trim_quote(F.col("quote"), 400).alias("trimmed"))
 
 
 @query(f"""
@@ -213,13 +216,13 @@ def str10_dangling_heading(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT position_id, substring({_NORM.format('quote')}, 1, 60) AS opening FROM ({_ONE_POS})")
 def str12_opening(spark: SparkSession, sf: str) -> DataFrame:
-    return _positions(spark, sf).select("position_id", opening(F.col("quote")).alias("opening"))
+    return _positions(spark, sf, "quote").select("position_id", opening(F.col("quote")).alias("opening")).distinct()
 
 
 @query()
 def win05_prune(spark: SparkSession, sf: str) -> DataFrame:
     """The two best passages per owner and category without overlaps; checked against a plain model in the tests."""
-    rows = _positions(spark, sf).where("owner_id is not null and kind = 'position'")
+    rows = _positions(spark, sf, "owner_id", "kind", "category", "quote", "source_type").where("owner_id is not null and kind = 'position'").distinct()
     return dedupe.pruned(rows, "owner_id", "category", "quote", F.col("source_type") == "official_statement", "position_id")
 
 
@@ -231,6 +234,6 @@ def win06_cap(spark: SparkSession, sf: str) -> DataFrame:
     """The cap alone: two passages per owner and category, official and longest first."""
     from pyspark.sql import Window
 
-    rows = _positions(spark, sf).where("owner_id is not null and kind = 'position'")
-    order = Window.partitionBy("owner_id", "category").orderBy(F.when(F.col("source_type") == "official_statement", 0).otherwise(1), -F.length("quote"), "position_id")
+    rows = _positions(spark, sf, "owner_id", "kind", "category", "source_type", F.length("quote").alias("n")).where("owner_id is not null and kind = 'position'").distinct()
+    order = Window.partitionBy("owner_id", "category").orderBy(F.when(F.col("source_type") == "official_statement", 0).otherwise(1), -F.col("n"), "position_id")
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("owner_id", "category", "position_id", F.col("rank").cast("bigint").alias("rank"))

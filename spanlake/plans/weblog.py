@@ -10,7 +10,7 @@ from spanlake.sources.readers import table
 from spanlake.streaming import weblog as streams
 
 # How an event becomes a log line (agents by user, pages by value).
-_AGENT = "CASE WHEN user_id % 11 = 0 THEN 'Mozilla/5.0 (compatible)' WHEN user_id % 7 = 0 THEN 'ExampleBot/2.1' ELSE 'Mozilla/5.0 (X11; Linux)' END"
+_AGENT = "CASE WHEN user_id % 11 = 0 THEN 'Mozilla/5.0 (compatible) ' WHEN user_id % 7 = 0 THEN 'ExampleBot/2.1' WHEN user_id % 29 = 0 THEN 'Dalvik/2.1.0 (Linux)' WHEN user_id % 31 = 0 THEN 'Mozilla/5.0 (Windows) BingPreview/1.0b' WHEN user_id % 37 = 0 THEN 'Mozilla/5.0 (compatible; X11)' ELSE 'Mozilla/5.0 (X11; Linux)' END"
 _URI = "CASE WHEN event_type = 'click' THEN '/app.js' WHEN event_type = 'view' THEN concat('/page/', cast(user_id % 13 AS STRING), '?v=', cast(event_id % 5 AS STRING)) ELSE concat('/', event_type, '/') END"
 
 
@@ -28,7 +28,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
 _SQL = f"""
 WITH r AS (
   SELECT event_id, event_type, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, ts - INTERVAL 7 HOUR AS local_ts, {_URI.replace('STRING', 'VARCHAR')} AS uri,
-         user_id % 11 = 0 OR user_id % 7 = 0 AS bot, event_type = 'click' AS asset,
+         user_id % 11 = 0 OR user_id % 7 = 0 OR user_id % 29 = 0 OR user_id % 31 = 0 AS bot, event_type = 'click' AS asset,
          CASE WHEN user_id % 5 = 0 THEN '2001:db8:' || upper(to_hex(user_id)) || '::/48' ELSE '10.' || (user_id // 256) || '.' || (user_id % 256) || '.0/24' END AS net,
          'ref' || (user_id % 4) || '.example' AS referrer_host, strftime(local_ts, '%Y-%m-%d') AS day
   FROM events WHERE event_id % 97 <> 0 AND event_id % 89 <> 0),
