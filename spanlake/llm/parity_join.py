@@ -62,6 +62,7 @@ def word_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hashed.select("id", F.md5(F.concat_ws(",", F.col("words").cast("array<string>"))).alias("class_id"), "words")
 
 
+SIGNATURES_PER_WORD = 1.7  # about as many as measured, to size partitions
 PER_PART = 2  # differences that a part allows for; more make parts larger, meetings fewer and signatures more
 
 
@@ -176,7 +177,7 @@ def _signature_rows(reps: DataFrame, threshold: float, sizes: np.ndarray, per_pa
     return reps.select("rep", "words").mapInArrow(run, "sig long, rep long, meta long, s0 long, s1 long, s2 long, s3 long")
 
 
-def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: DataFrame, threshold: float, per_part: int = PER_PART) -> DataFrame:
+def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: DataFrame, threshold: float, per_part: int = PER_PART, partition_bytes: int = 16 << 20) -> DataFrame:
     """(class_a, class_b, shared, size_a, size_b) for class pairs at or above the threshold, each once.
 
     members: id, class_id, size and short, the words' 31-bit hashes.  Signatures
@@ -188,7 +189,11 @@ def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: Dat
 
     spark = df.sparkSession
     # as many rows as there are distinct sizes
-    sizes = np.array(sorted(r["size"] for r in members.select("size").distinct().collect()), dtype=np.int64)
+    counts = {r["size"]: r["count"] for r in members.groupBy("size").count().collect()}
+    sizes = np.array(sorted(counts), dtype=np.int64)
+    # partitions of the signatures by their expected number, for sorts that stay in memory at any scale
+    expected = SIGNATURES_PER_WORD * sum(size * n for size, n in counts.items()) * 56
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(expected // partition_bytes) + 1)
     reps = members.groupBy("class_id").agg(F.first("short").alias("words"))
     rows = _signature_rows(reps.select(F.xxhash64("class_id").alias("rep"), "words"), threshold, sizes, per_part)
     rate = (1 - threshold) / (1 + threshold)
@@ -200,6 +205,7 @@ def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: Dat
     sums = F.shiftright("l_meta", 16) + F.shiftright("meta", 16)
     far = sum((F.bit_count(F.col(f"l_s{i}").bitwiseXOR(F.col(f"s{i}"))) for i in range(1, 4)), F.bit_count(F.col("l_s0").bitwiseXOR(F.col("s0"))))
     near = (far <= sums * F.lit(rate) + F.lit(1e-9)) & (F.col("l_rep") != F.col("rep")) & once & (l_gone + gone <= F.least(l_level, level))
+    a, rows = a.repartition(partitions, "sig"), rows.repartition(partitions, "sig")
     met = join_large(a, rows, (a["sig"] == rows["sig"]) & near)
     pairs = checkpointed(met.select(F.least("l_rep", "rep").alias("ra"), F.greatest("l_rep", "rep").alias("rb")).distinct(), spark)
     asked = pairs.select(F.col("ra").alias("rep")).union(pairs.select("rb")).distinct()
