@@ -1,11 +1,13 @@
 """Texts packed into containers of fixed capacity by vector best-fit.
 
 An item has three sizes: tokens, one document, and attention cost (the square of
-its tokens).  A container has a capacity for each.  Items are taken largest first;
-of the containers that can still hold an item under every constraint the one with
-the highest weighted dot product of item and residual, or the smallest weighted
-norm of what would remain, is chosen.  A text is split only if it alone exceeds
-the token capacity: into full pieces and a rest.
+its tokens).  A container has a capacity for each: its tokens, a number of documents
+in proportion to them, and a share of the attention cost of one text that fills it,
+raised to that of the longest unsplit text so that none is split for it.  Items are
+taken largest first; of the containers that can still hold an item under every
+constraint the one with the highest weighted dot product of item and residual, or
+the smallest weighted norm of what would remain, is chosen.  A text is split only if
+it alone exceeds the token capacity: into full pieces and a rest.
 
 Items are packed in blocks of about ``block_items`` by a hash of the id, each
 block in one task; containers filled less than ``settled`` are opened again and
@@ -22,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from spanlake.llm.common import join_large
+
 FIELDS = "item_id long, piece_no int, token_start long, token_end long, bin int, fill double"
 
 
@@ -60,26 +64,25 @@ def vector_best_fit(size: np.ndarray, capacity: int, documents: int, attention:
     return out
 
 
-def _items(sized: DataFrame, id_col: str, tokens_col: str, profiles: list[tuple[int, int]], attention_share: float = 1.0) -> DataFrame:
+def _items(sized: DataFrame, id_col: str, tokens_col: str, profiles: list[tuple[int, int]]) -> DataFrame:
     """Each text as pieces, for each profile; only texts above a capacity have several."""
-    longest = lambda c: max(1, min(c, math.isqrt(int(attention_share * c * c))))
-    each = F.array(*(F.struct(F.lit(p).alias("profile_id"), F.lit(c).alias("capacity_tokens"), F.lit(longest(c)).alias("longest")) for p, c in profiles))
+    each = F.array(*(F.struct(F.lit(p).alias("profile_id"), F.lit(c).alias("capacity_tokens")) for p, c in profiles))
     both = sized.select(F.col(id_col).cast("long").alias("item_id"), F.col(tokens_col).alias("n")).where("n > 0").select("*", F.inline(each))
-    pieces = both.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("longest")).cast("int"))))
-    start = F.col("piece_no") * F.col("longest").cast("long")
-    return pieces.select("profile_id", "capacity_tokens", "item_id", "piece_no", start.alias("token_start"), F.least(F.col("n"), start + F.col("longest")).alias("token_end"))
+    pieces = both.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("capacity_tokens")).cast("int"))))
+    start = F.col("piece_no") * F.col("capacity_tokens").cast("long")
+    return pieces.select("profile_id", "capacity_tokens", "item_id", "piece_no", start.alias("token_start"), F.least(F.col("n"), start + F.col("capacity_tokens")).alias("token_end"))
 
 
 def packed(
-    sized: DataFrame, id_col: str, tokens_col: str, profiles: DataFrame, block_items: int = 8192, settled: float = 0.95, rule: str = "norm", documents_per_token: float = 1 / 16,
-    attention_share: float = 1.0,
+    sized: DataFrame, id_col: str, tokens_col: str, profiles: DataFrame, block_items: int = 8192, settled: float = 0.95, rule: str = "norm", documents_per_token: float = 1 / 32,
+    attention_share: float = 0.25,
 ) -> DataFrame:
     """(profile_id, container_id, item_id, piece_no, token_start, token_end).
 
     profiles (profile_id, capacity_tokens) is a short list of settings; more than
-    1,000 rows are refused.  The attention capacity is attention_share of the token
-    capacity's square.  At 1, the least that takes a piece of full capacity, it excludes
-    no container that holds the tokens; below 1, texts are split into pieces that fit.
+    1,000 rows are refused.  The document capacity is documents_per_token times the token
+    capacity, at least one.  The attention capacity is attention_share of the token
+    capacity's square, or the square of the profile's longest piece where that is more.
     """
     from spanlake.session import checkpointed
 
@@ -87,40 +90,70 @@ def packed(
     settings = sorted((r["profile_id"], r["capacity_tokens"]) for r in profiles.select("profile_id", "capacity_tokens").limit(1001).collect())
     if not 0 < len(settings) <= 1000:
         raise ValueError("profiles must be a short list of settings")
-    if not 0 < attention_share or min(c for _, c in settings) ** 2 * attention_share < 1:
-        raise ValueError("the attention capacity must take one token")
 
     def pack(table: pa.Table) -> pa.Table:
         start, end = (np.asarray(table.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("token_start", "token_end"))
         ids, piece = (np.asarray(table.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("item_id", "piece_no"))
         order = np.lexsort((piece, ids))  # the result does not depend on the order of arrival
         size, capacity = (end - start)[order], table.column("capacity_tokens")[0].as_py()
+        attention = max(attention_share * float(capacity) ** 2, float(table.column("longest")[0].as_py()) ** 2)
         bins = np.empty(len(order), dtype=np.int64)
-        bins[order] = vector_best_fit(size, capacity, max(1, int(capacity * documents_per_token)), attention_share * float(capacity) ** 2, rule)
+        bins[order] = vector_best_fit(size, capacity, max(1, int(capacity * documents_per_token)), attention, rule)
         fill = np.bincount(bins, weights=end - start)[bins] / capacity
-        out = {c: table.column(c) for c in ("profile_id", "capacity_tokens", "block", "item_id", "piece_no", "token_start", "token_end")}
+        out = {c: table.column(c) for c in ("profile_id", "capacity_tokens", "longest", "block", "item_id", "piece_no", "token_start", "token_end")}
         return pa.table(out | {"bin": pa.array(bins, pa.int64()), "fill": pa.array(fill, pa.float64())})
 
-    schema = "profile_id int, capacity_tokens int, block int, item_id long, piece_no int, token_start long, token_end long, bin long, fill double"
+    schema = "profile_id int, capacity_tokens int, longest long, block int, item_id long, piece_no int, token_start long, token_end long, bin long, fill double"
 
     def one_round(items: DataFrame, salt: int) -> DataFrame:
         counts = items.groupBy("profile_id").agg(F.count("*").alias("items"))
         blocked = items.join(F.broadcast(counts), "profile_id")
         blocks = F.ceil(F.col("items") / F.lit(float(block_items)))
         blocked = blocked.withColumn("block", F.pmod(F.xxhash64("item_id", "piece_no", F.lit(salt)), blocks).cast("int"))
-        shaped = blocked.select(F.col("profile_id").cast("int"), F.col("capacity_tokens").cast("int"), "block", "item_id", F.col("piece_no").cast("int"), F.col("token_start").cast("long"), F.col("token_end").cast("long"))
+        shaped = blocked.select(F.col("profile_id").cast("int"), F.col("capacity_tokens").cast("int"), F.col("longest").cast("long"), "block", "item_id", F.col("piece_no").cast("int"), F.col("token_start").cast("long"), F.col("token_end").cast("long"))
         return checkpointed(shaped.groupBy("profile_id", "block").applyInArrow(pack, schema), spark)
 
     columns = ["profile_id", "container_id", "item_id", "piece_no", "token_start", "token_end"]
     name = lambda r: F.concat_ws("-", F.lit(r), F.col("block"), F.col("bin")).alias("container_id")
-    first = one_round(_items(sized, id_col, tokens_col, settings, attention_share), 1)
+    items = _items(sized, id_col, tokens_col, settings)
+    longest = items.groupBy("profile_id").agg(F.max(F.col("token_end") - F.col("token_start")).alias("longest"))
+    first = one_round(items.join(F.broadcast(longest), "profile_id"), 1)
     second = one_round(first.where(F.col("fill") < settled).drop("block", "bin", "fill"), 2)
     done = first.where(F.col("fill") >= settled).select("profile_id", name(1), *columns[2:])
     return done.unionByName(second.select("profile_id", name(2), *columns[2:]))
 
 
-def fill_report(result: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile_id, containers, tokens, fill_share) per profile."""
-    per = result.groupBy("profile_id").agg(F.countDistinct("container_id").alias("containers"), F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"))
-    both = profiles.select(F.col("profile_id").cast("int").alias("profile_id"), "capacity_tokens").join(per, "profile_id")
-    return both.select("profile_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill_share"))
+def containers(result: DataFrame, profiles: DataFrame, documents_per_token: float = 1 / 32, attention_share: float = 0.25) -> DataFrame:
+    """(profile_id, container_id, tokens, documents, attention and the capacity of each) of every container."""
+    n = F.col("token_end") - F.col("token_start")
+    per = result.groupBy("profile_id", "container_id").agg(F.sum(n).alias("tokens"), F.count("*").alias("documents"), F.sum(n.cast("double") * n).alias("attention"), F.max(n).alias("longest"))
+    longest = per.groupBy("profile_id").agg(F.max("longest").alias("longest"))
+    room = profiles.select(F.col("profile_id").cast("int").alias("profile_id"), F.col("capacity_tokens").cast("long").alias("capacity_tokens")).join(longest, "profile_id")
+    room = room.select(
+        "profile_id", "capacity_tokens", F.greatest(F.lit(1), F.floor(F.col("capacity_tokens") * F.lit(documents_per_token))).alias("capacity_documents"),
+        F.greatest(F.lit(attention_share) * F.pow("capacity_tokens", F.lit(2.0)), F.pow("longest", F.lit(2.0))).alias("capacity_attention"),
+    )
+    return per.drop("longest").join(F.broadcast(room), "profile_id")
+
+
+def fill_report(result: DataFrame, profiles: DataFrame, **how) -> DataFrame:
+    """Per profile: containers, tokens, the share of each capacity used, and in how many containers one more document, or its attention, would not fit."""
+    share = lambda x: F.round(F.sum(x) / F.sum(f"capacity_{x}"), 6)
+    return containers(result, profiles, **how).groupBy("profile_id").agg(
+        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), share("tokens").alias("fill_share"), share("documents").alias("document_share"), share("attention").alias("attention_share"),
+        F.count_if(F.col("documents") == F.col("capacity_documents")).alias("full_of_documents"), F.count_if(F.col("attention") >= 0.99 * F.col("capacity_attention")).alias("full_of_attention"),
+    )
+
+
+def packing_problems(result: DataFrame, sized: DataFrame, id_col: str, tokens_col: str, profiles: DataFrame, **how) -> DataFrame:
+    """(profile_id, texts, over_capacity, lost, split_needlessly): texts packed, containers above any capacity, texts whose pieces are not all of their tokens once, and texts split although they fit."""
+    over = (F.col("tokens") > F.col("capacity_tokens")) | (F.col("documents") > F.col("capacity_documents")) | (F.col("attention") > F.col("capacity_attention") * (1 + 1e-9))
+    full = containers(result, profiles, **how).groupBy("profile_id").agg(F.count_if(over).alias("over_capacity"))
+    n = F.col("token_end") - F.col("token_start")
+    pieces = result.groupBy("profile_id", "item_id").agg(F.count("*").alias("pieces"), F.sum(n).alias("packed"), F.max("token_end").alias("last"), F.countDistinct("token_start").alias("starts"))
+    due = sized.where(F.col(tokens_col) > 0).select(F.col(id_col).cast("long").alias("item_id"), F.col(tokens_col).alias("n"), F.explode(F.array(*(F.lit(r["profile_id"]) for r in profiles.select("profile_id").limit(1000).collect()))).alias("profile_id"))
+    room = profiles.select("profile_id", "capacity_tokens")
+    both = join_large(due, pieces, ["profile_id", "item_id"], "full").join(F.broadcast(room), "profile_id")
+    lost = F.coalesce((F.col("packed") != F.col("n")) | (F.col("last") != F.col("n")) | (F.col("starts") != F.col("pieces")), F.lit(True))
+    per = both.groupBy("profile_id").agg(F.count("*").alias("texts"), F.count_if(lost).alias("lost"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("split_needlessly"))
+    return per.join(F.broadcast(full), "profile_id").select(F.col("profile_id").cast("int").alias("profile_id"), "texts", "over_capacity", "lost", "split_needlessly")

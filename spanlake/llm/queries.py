@@ -112,6 +112,14 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p7_packed(spark, sf), spark.read.parquet(f"{sf}/pack_profiles.parquet"))
 
 
+def p7_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """What a packing must keep, per profile: capacities, every token once, no needless split."""
+    from spanlake.llm.packing import packed, packing_problems
+
+    sized, profiles = _sized(spark, sf), spark.read.parquet(f"{sf}/pack_profiles.parquet")
+    return packing_problems(packed(sized, "doc_id", "tokens", profiles), sized, "doc_id", "tokens", profiles)
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from spanlake.llm.mixing import mixed
 
@@ -131,6 +139,13 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return reached_shares(*_mix(spark, sf), "source", "tokens")
 
 
+def p8_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """What a selection must keep, per source: its share up to a record, and its repeats."""
+    from spanlake.llm.mixing import selection_problems
+
+    return selection_problems(*_mix(spark, sf), "doc_id", "source", "tokens")
+
+
 def _names(spark: SparkSession, sf: str):
     from spanlake.llm.personal_data import learn_names
 
@@ -163,7 +178,7 @@ def p9_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return with_surrogates(docs, "doc_id", "text", found, key="spanlake-demo-key")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_problems": p7_problems, "p8_selection": p8_selection, "p8_shares": p8_shares, "p8_problems": p8_problems, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
@@ -192,6 +207,10 @@ degree AS (SELECT field_name, u, count(*) AS n FROM edge GROUP BY ALL)
 SELECT DISTINCT m.field_name, m.id AS record_id, m.class_id, g.group_id, coalesce(d.n, 0) AS linked_classes
 FROM member m JOIN groups g ON g.field_name = m.field_name AND g.u = m.class_id LEFT JOIN degree d ON d.field_name = m.field_name AND d.u = m.class_id
 """,
+    "p7_problems": """
+SELECT profile_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS over_capacity, 0::BIGINT AS lost, 0::BIGINT AS split_needlessly FROM pack_profiles""",
+    "p8_problems": """
+SELECT source, 0::BIGINT AS off_share, 0::BIGINT AS over_repeats FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')""",
     "p5_found": rf"""
 WITH pages AS (
   SELECT DISTINCT source_id, text,

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.llm import truncation as T
-from spanlake.llm.mixing import mixed, reached_shares
-from spanlake.llm.packing import fill_report, packed, vector_best_fit
+from spanlake.llm.mixing import mixed, reached_shares, selection_problems
+from spanlake.llm.packing import fill_report, packed, packing_problems, vector_best_fit
 from spanlake.llm.parity_join import _mix, bit_sketches, expand_pairs, groups, near_duplicates, signatures
 from spanlake.llm.personal_data import Finder, NameLexicon, learn_names, normal_entity, personal_data, surrogate, surrogates, with_placeholders, with_surrogates
 
@@ -177,7 +177,7 @@ def test_packing_keeps_every_constraint(spark):
             load[r["container_id"]] = load.get(r["container_id"], 0) + n
             docs[r["container_id"]] = docs.get(r["container_id"], 0) + 1
             pieces.setdefault(r["item_id"], []).append((r["token_start"], r["token_end"]))
-        assert max(load.values()) <= cap and max(docs.values()) <= cap // 16
+        assert max(load.values()) <= cap and max(docs.values()) <= cap // 32
         for i, n in sizes:
             got = sorted(pieces.get(i, []))
             assert (len(got) == 1) == (n is not None and 0 < n <= cap)
@@ -315,10 +315,42 @@ def test_names_beyond_the_bound_are_found(spark):
     assert {r["t"] for r in held} == {"so [NAME_1] said; [NAME_2] too", None} and held[0].asDict().keys() == {"id", "t"}
 
 
-def test_attention_capacity_of_packed_binds(spark):
-    df = spark.createDataFrame([(i, 100) for i in range(40)] + [(99, 600)], "doc long, n long")
+def test_each_capacity_of_packed_decides(spark):
+    df = spark.createDataFrame([(i, 100) for i in range(40)], "doc long, n long")
     profiles = spark.createDataFrame([(1, 1000)], "profile_id int, capacity_tokens int")
-    cost = {}
-    for r in packed(df, "doc", "n", profiles, attention_share=0.05, documents_per_token=1.0).collect():
-        cost.setdefault(r["container_id"], []).append((r["token_end"] - r["token_start"]) ** 2)
-    assert max(map(sum, cost.values())) <= 50_000 and sum(map(len, cost.values())) == 43
+    free = {"attention_share": 1.0, "documents_per_token": 1.0}
+    count = lambda d, **how: packed(d, "doc", "n", profiles, **free | how).select("container_id").distinct().count()
+    assert count(df) == 4  # by tokens
+    assert count(df, documents_per_token=0.005) == 8  # five documents in each
+    assert count(df, attention_share=0.02) == 20  # two texts of 10,000 in each
+    # no text is split for its attention: the longest sets the least capacity
+    long = df.union(spark.createDataFrame([(99, 600), (100, 2300)], df.schema))
+    out = packed(long, "doc", "n", profiles, **free | {"attention_share": 0.02})
+    assert out.where("item_id = 99").count() == 1 and out.where("item_id = 100").count() == 3
+    problems = packing_problems(out, long, "doc", "n", profiles, **free | {"attention_share": 0.02})
+    assert [tuple(r) for r in problems.collect()] == [(1, 42, 0, 0, 0)]
+    assert [tuple(r) for r in packing_problems(out, long, "doc", "n", profiles, attention_share=1.0, documents_per_token=0.001).collect()] != [(1, 42, 0, 0, 0)]
+    assert [tuple(r) for r in packing_problems(out.where("piece_no <> 1"), long, "doc", "n", profiles, **free).collect()] == [(1, 42, 0, 1, 0)]
+    report = fill_report(packed(df, "doc", "n", profiles, **free | {"documents_per_token": 0.005}), profiles, **free | {"documents_per_token": 0.005}).first()
+    assert (report["containers"], report["full_of_documents"], report["fill_share"], report["document_share"]) == (8, 8, 0.5, 1.0)
+
+
+def test_the_selection_is_written_in_its_order(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], 1 + i % 7) for i in range(3000)], "doc long, source string, tokens long")
+    goals = spark.createDataFrame([("a", 0.75, 2), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
+    whole = mixed(df, goals, "doc", "source", "tokens", bucket_rows=100).collect()
+    assert [r["finish_time"] for r in whole] == sorted(r["finish_time"] for r in whole)
+    upto = 0
+    for r in whole:
+        upto += r["tokens"]
+        assert r["tokens_upto"] == upto
+        if upto > 1000:  # right at any point, not only at the end
+            a = sum(x["tokens"] for x in whole if x["source"] == "a" and x["tokens_upto"] <= upto)
+            assert abs(a / upto - 0.75) <= 14 / upto
+        if upto > 3000:
+            break
+    part = mixed(df, goals, "doc", "source", "tokens", budget=2000, bucket_rows=100).collect()
+    assert [tuple(r) for r in part] == [tuple(r) for r in whole if r["tokens_upto"] <= 2000]
+    assert [tuple(r)[1:] for r in selection_problems(mixed(df, goals, "doc", "source", "tokens"), goals, "doc", "source", "tokens").collect()] == [(0, 0)] * 2
+    twice = spark.createDataFrame(part + part, spark.createDataFrame(part).schema)
+    assert {r["over_repeats"] > 0 for r in selection_problems(twice, goals, "doc", "source", "tokens").collect()} == {True}
