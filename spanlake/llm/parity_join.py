@@ -177,7 +177,7 @@ def _signature_rows(reps: DataFrame, threshold: float, sizes: np.ndarray, per_pa
     return reps.select("rep", "words").mapInArrow(run, "sig long, rep long, meta long, s0 long, s1 long, s2 long, s3 long")
 
 
-def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: DataFrame, threshold: float, per_part: int = PER_PART, partition_bytes: int = 16 << 20) -> DataFrame:
+def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: DataFrame, threshold: float, per_part: int = PER_PART, partition_bytes: int = 24 << 20) -> DataFrame:
     """(class_a, class_b, shared, size_a, size_b) for class pairs at or above the threshold, each once.
 
     members: id, class_id, size and short, the words' 31-bit hashes.  Signatures
