@@ -7,13 +7,14 @@ of people: given names as listed, family names by the beginnings and endings tha
 listed ones share, joined by a small grammar of initials, particles and either
 order.  Family names that stand in a street, square or firm are left alone.
 
-Every entity gets a surrogate by a keyed hash: of the same kind, letter case and
-digit format, the same wherever the same entity occurs, distinct from the surrogate
-of any other entity.  Names are replaced part by part, each part of a name by one
-invented word wherever it stands; collisions are found over all parts and entities
-and hashed again until none is left, invented words growing with each attempt.
-Invented words are in Latin letters whatever the script of the name, and gender is
-not known: a part that ends in a gets a word that does.
+Every entity gets a surrogate by a keyed hash: of the same kind, script, letter case
+and digit format, the same wherever the same entity occurs, distinct from the
+surrogate of any other entity and from every real one.  Names are replaced part by
+part, each part of a name by one invented word wherever it stands, a woman's given
+name by one that reads so: titles before the names of all texts tell, else the
+name's end.  Family names keep the ends that tell men from women.  Collisions are
+found over all parts and entities and hashed again until none is left, invented words
+growing with each attempt.
 
 Null texts give no rows; overlapping findings keep the earlier kind in the order
 email, address, id_number, phone, name.  Rows with one id twice give rows twice.
@@ -24,8 +25,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -37,9 +39,12 @@ _FOLD = (
     | dict.fromkeys([0x2010, 0x2011, 0x2012, 0x2013], 0x2D)
     | {0x2019: 0x27}
 )
+_FOLDED = re.compile("[" + "".join(map(chr, _FOLD)).replace("-", "").replace("]", "") + "]")
 _BEFORE = r"(?<![0-9A-Za-z])"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_BLANK = re.compile(r"\s")
 
 EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|arroba)\s?[\])}]\s?|\s(?:at|AT)\s(?=[A-Za-z0-9-]+\s(?:dot|DOT)\s))"
@@ -91,20 +96,23 @@ ID_LABEL = re.compile(rf"(?:{_LABELS})\s*(?:is|:|：|no\.?|Nr\.?|number|reads|n\
 ID_VALUE = re.compile(r"(?:[A-Z]{1,3}[- ]?|[a-z]{1,2}[- ]?)?\d(?:[ .-]?\d){4,16}(?:-?[A-Za-z](?![A-Za-z]))?(?![0-9])|[A-Z]\d[0-9A-Z]{5,9}(?![0-9A-Za-z])")
 
 
-def _caseless(text: str) -> str:
-    """text as the patterns that ignore case see it."""
-    return text.translate({0x130: "i", 0x131: "i"}).casefold()
+# where such a number can begin: its first digit
+_ID_DIGIT = re.compile(r"\d(?:[ .-]?\d){4}|(?<=[A-Z])\d[0-9A-Z]{5}")
+_ID_REACH = 80  # characters before that digit in which its label ends; the longest label has half as many
+
 
+def _folded(text: str) -> str:
+    """text with width forms and blanks folded one to one."""
+    return text.translate(_FOLD) if not text.isascii() and _FOLDED.search(text) else text
 
-def _label_pieces(labels: str) -> tuple[str, ...]:
-    """Of each alternative, the longest run of letters that every match of it holds."""
-    bare = re.sub(r"\(\?:[^()]*\)\??", "#", labels)
-    runs = [re.findall(r"[^\W\d_]+", re.sub(r"\\b|\[[^\]]*\]\??|.\?", "#", x)) for x in bare.split("|")]
-    return tuple(sorted({_caseless(max(r, key=len)) for r in runs}))
+
+def _caseless(text: str) -> str:
+    """text as the patterns that ignore case see it."""
+    if text.isascii():
+        return text.lower()
+    return (text.translate({0x130: "i", 0x131: "i"}) if "\u0130" in text or "\u0131" in text else text).casefold()
 
 
-# a text without any of these has no label; looked up before the pattern is run
-_LABEL_PIECES = _label_pieces(_LABELS)
 NOT_PHONE = re.compile(
     r"(?:contract|account|acct|parcel|identifier|bylaw|by-law|tender|meter|reading|part|file|invoice|permit|plan|resolution|item|coordinates|route|reference|ref|docket|serial"
     r"|contrato|cuenta|expediente|contrat|compte|dossier|vertrag|konto|akte|合同|账户|档案)[\w.]*(?: (?:is|no\.?|number|nr\.?|#))?[\s:#]*$",
@@ -135,6 +143,18 @@ ADDRESS_DE = re.compile(
     r"|(?:Am|An der|Im|In der|Zum|Zur|Auf der|Auf dem|Unter den) (?!Jahr\b)[A-ZÄÖÜ][\wß-]*) \d{1,4} ?[a-z]?(?![\w%])(?:-\d{1,4}[a-z]?)?(?!\.\d|,\d|\. (?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember))",
     re.I,
 )
+# what a text must hold for the pattern beside it to match; looked for before the pattern is run
+_STREETS_FR = ("rue", "avenue", "av.", "boul", "bd", "chemin", "all\u00e9e", "place", "impasse", "quai", "route", "c\u00f4te", "mont\u00e9e")
+_STREETS_ES = ("calle", "c/", "avda.", "avenida", "av.", "plaza", "pl.", "paseo", "camino", "ronda", "traves\u00eda")
+_STREETS_DE = ("strasse ", "str. ", "weg ", "gasse ", "allee ", "ring ", "ufer ", "damm ", "steig ", "platz ", "pfad ", "markt ")
+_LOCATED_DE = re.compile(r"(?:A[mMnNuU]|I[mMnN]|Z[uU]|U[nN])[a-zA-Z]* (?:[dD][eE][rRmMnN] )?[^\W\d_][\w-]* \d")
+_AT = re.compile(r"[\[({]\s?(?:at|AT|arroba)\s?[\])}]|\s(?:at|AT)\s[A-Za-z0-9-]+\s(?:dot|DOT)\s")
+
+
+def _any_in(pieces: tuple[str, ...], text: str) -> bool:
+    return any(p in text for p in pieces)
+
+
 _STREET_BEFORE = re.compile(r"(?:plaza|place|rue|avenue|av\.|boul\.|calle|avda\.|chemin|platz|street|st\.|mount|lake|camp|fort|paseo|camino|weg)(?: (?:de la|de|des|du))? $", re.I)
 _PLACE_AFTER = re.compile(
     r" (?:Street|St\b|Avenue|Ave\b|Road|Rd\b|Drive|Lane|Crescent|Cres\b|Court|Place|Way|Park|Bridge|Clinic|School|Hall|Centre|Center|Hospital|Library|Tools|Inc\b|Ltd\b|Bros\b|& Sons|Harbour|Creek|Bay|campaign|friends|team)"
@@ -262,6 +282,9 @@ def _finder(finder: Finder, names: NameLexicon, texts: list, rest: list) -> Find
     return Finder(replace(names, given=tuple(sorted({*given, *pick("given")})), whole=tuple(sorted({*names.whole, *pick("whole")}))))
 
 
+_NAME_REACH = 40  # characters around a word of a name in which the rest of it lies
+
+
 class Finder:
     def __init__(self, names: NameLexicon):
         alt = lambda xs: "|".join(map(re.escape, sorted(xs, key=lambda x: (-len(x), x))))
@@ -293,25 +316,41 @@ class Finder:
         self._family = re.compile(rf".*?(?:{'|'.join(token)})$") if token else re.compile(r"(?!)")
         self._seen: dict[str, bool] = {}
 
-    def _may_name(self, flat: str) -> bool:
-        """Does any word of the text look like a name?  Words are remembered, up to a bound."""
-        for w in set(_LETTERS.findall(flat)):
-            known = self._seen.get(w)
-            if known is None:
-                if len(self._seen) > 200_000:
-                    self._seen.clear()
-                low = _caseless(w)
-                known = self._seen[w] = low in self._given or bool(self._family.match(low))
-            if known:
-                return True
-        return False
+    def _is_hint(self, w: str) -> bool:
+        """Does a word look like a name?  Words are remembered, up to a bound."""
+        known = self._seen.get(w)
+        if known is None:
+            if len(self._seen) > 200_000:
+                self._seen.clear()
+            low = _caseless(w)
+            known = self._seen[w] = low in self._given or bool(self._family.match(low))
+        return known
+
+    def _names(self, flat: str) -> Iterator[re.Match]:
+        """Matches of the pattern of names, looked for around the words that look like one."""
+        if not self.hints:
+            return
+        known = {w for w in set(_LETTERS.findall(flat)) if self._is_hint(w)}
+        if not known:
+            return
+        begin, end = -1, -1
+        for m in _LETTERS.finditer(flat):
+            if m.group() in known:
+                if m.start() - _NAME_REACH > end:
+                    if end >= 0:
+                        yield from self.name.finditer(flat, begin, end)
+                    begin = max(0, m.start() - _NAME_REACH)
+                blank = _BLANK.search(flat, m.end() + _NAME_REACH)
+                end = blank.start() if blank else len(flat)
+        yield from self.name.finditer(flat, begin, end)
 
     def find(self, text: str, lang: str = "") -> list[tuple[int, int, str]]:
         """(start, end, kind), in order, not overlapping."""
         if not text:
             return []
-        flat = text.translate(_FOLD)
+        flat = _folded(text)
         low = _caseless(flat)
+        digits = bool(_DIGIT.search(flat))
         found: list[tuple[int, int, str]] = []
 
         def free(a: int, z: int) -> bool:
@@ -321,22 +360,22 @@ class Finder:
             if free(a, z):
                 found.append((a, z, kind))
 
-        for m in EMAIL.finditer(flat):
+        for m in EMAIL.finditer(flat) if "@" in flat or _AT.search(flat) else ():
             take(m.start(), m.end(), "email")
-        for pattern in (ADDRESS_EN, ADDRESS_FR, ADDRESS_ES, ADDRESS_DE):
-            for m in pattern.finditer(flat):
+        for pattern, may in ((ADDRESS_EN, digits), (ADDRESS_FR, digits and _any_in(_STREETS_FR, low)), (ADDRESS_ES, digits and _any_in(_STREETS_ES, low)), (ADDRESS_DE, digits and (_any_in(_STREETS_DE, low) or _LOCATED_DE.search(flat)))):
+            for m in pattern.finditer(flat) if may else ():
                 a, z = m.span()
                 if pattern is ADDRESS_DE and not m.group()[:1].isupper():
                     continue
                 take(a, z, "address")
-        for label in ID_LABEL.finditer(flat) if any(p in low for p in _LABEL_PIECES) else ():
-            m = ID_VALUE.match(flat, label.end())
-            if m:
-                take(m.start(), m.end(), "id_number")
-        for m in PHONE.finditer(flat):
+        for digit in _ID_DIGIT.finditer(flat) if digits else ():
+            for label in ID_LABEL.finditer(flat, max(0, digit.start() - _ID_REACH), digit.start()):
+                if m := ID_VALUE.match(flat, label.end()):
+                    take(m.start(), m.end(), "id_number")
+        for m in PHONE.finditer(flat) if digits else ():
             if not NOT_PHONE.search(flat[max(0, m.start() - 40) : m.start()]) and not (m.start() > 1 and flat[m.start() - 1] in "-$€£#" ):
                 take(m.start(), m.start() + _phone_end(m.group()), "phone")
-        for m in self.name.finditer(flat) if self.hints and self._may_name(flat) else ():
+        for m in self._names(flat):
             a, z = m.span()
             words = m.group()
             kind = m.lastgroup
@@ -354,7 +393,7 @@ class Finder:
 
 
 def personal_data(df: DataFrame, id_col: str, text_col: str, names: NameLexicon, lang_col: str | None = None) -> DataFrame:
-    """(id_col, char_start, char_end, pii_kind, entity) of every occurrence."""
+    """(id_col, char_start, char_end, pii_kind, entity, cue) of every occurrence; cue is f or m where a title before a name tells, else empty."""
     lang = F.lower(F.substring(F.coalesce(F.col(lang_col), F.lit("")), 1, 2)) if lang_col else F.lit("")
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang__")).where(F.col("_text").isNotNull())
     slim, held = _met(slim, "_text", names), replace(names, rest=None)
@@ -367,12 +406,12 @@ def personal_data(df: DataFrame, id_col: str, text_col: str, names: NameLexicon,
             for i, (text, lang) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 for a, z, kind in finder.find(text, lang):
                     row.append(i)
-                    out.append((a, z, kind, text[a:z]))
-            cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), (), ()), (pa.int32(), pa.int32(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *cols], ["_id", "char_start", "char_end", "pii_kind", "entity"])
+                    out.append((a, z, kind, text[a:z], gender_cue(text[max(0, a - 12) : a]) if kind == "name" else ""))
+            cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), (), (), ()), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *cols], ["_id", "char_start", "char_end", "pii_kind", "entity", "cue"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return slim.mapInArrow(run, f"_id {kind}, char_start int, char_end int, pii_kind string, entity string").withColumnRenamed("_id", id_col)
+    return slim.mapInArrow(run, f"_id {kind}, char_start int, char_end int, pii_kind string, entity string, cue string").withColumnRenamed("_id", id_col)
 
 
 def with_placeholders(df: DataFrame, id_col: str, text_col: str, names: NameLexicon, lang_col: str | None = None) -> DataFrame:
@@ -418,8 +457,64 @@ def normal_entity(kind: str, entity: str) -> str:
     return re.sub(r"\s+", " ", flat)
 
 
-# Syllables of invented names, by place in the name.
-_SYLLABLES = (("Ba", "Ce", "Di", "Fo", "Gu", "Ha", "Ke", "Li", "Mo", "Nu", "Pa", "Re", "Si", "To", "Va", "We"), ("bra", "den", "fil", "gor", "lan", "mer", "nis", "pol", "rud", "sta", "tin", "vok"), ("dorf", "ley", "man", "rup", "ster", "vale", "wood", "yard"))
+@dataclass(frozen=True)
+class Script:
+    """What words are invented from: the beginning, the middle, and the ends of words for men or unknown people and for women.
+
+    ``whole`` scripts keep the number of characters, drawn from middle; the others keep none.
+    """
+
+    first: tuple[str, ...]
+    middle: tuple[str, ...]
+    ends: tuple[str, ...]
+    feminine: tuple[str, ...]
+    whole: bool = False
+
+
+# Syllables and letters of invented names by script, named as Unicode names its letters.
+_LATIN = Script(
+    ("Ba", "Ce", "Di", "Fo", "Gu", "Ha", "Ke", "Li", "Mo", "Nu", "Pa", "Re", "Si", "To", "Va", "We"),
+    ("bra", "den", "fil", "gor", "lan", "mer", "nis", "pol", "rud", "sta", "tin", "vok"),
+    ("dorf", "ley", "man", "rup", "ster", "vale", "wood", "yard"),
+    ("a", "ina", "ella"),
+)
+_SCRIPTS = {
+    "LATIN": _LATIN,
+    "CYRILLIC": Script(tuple("Ба Ве Го Да Же Ки Лу Ма Не По Ра Си То Фе Ха Че".split()), tuple("бра вел гор дан лам мер ник пол руд ста тим вод".split()), tuple("ман род тер вик лан сен дар мир".split()), ("а", "ина", "ья")),
+    "GREEK": Script(tuple("Βα Γε Δι Ζο Θα Κε Λι Μα Νε Πο Ρα Σι Το Φε Χα Ψι".split()), tuple("βρα δεν γιλ λαν μερ νιδ πολ ρου στα τιν φον κορ".split()), tuple("ος ης ας ιδης ακος ιος ωνης ελης".split()), ("α", "ινα", "ελια")),
+    "ARABIC": Script((), tuple("ابتجحدرزسشعفقكلمنهوي"), (), ("ة",), True),
+    "HEBREW": Script((), tuple("אבגדהוזחטיכלמנסעפצקרשת"), (), ("ה",), True),
+    "DEVANAGARI": Script((), tuple("का कि गो चे जा ता दी ना पु बा मो या रा ला वी शा सु हे".split()), (), ("ी",), True),
+    "THAI": Script((), tuple("กขคงจชดตทนบปพมยรลวสอ"), (), ("า",), True),
+    "HANGUL": Script((), tuple("가나다라마바사아자차하강남동민박선영준현"), (), ("희", "미"), True),
+    "HIRAGANA": Script((), tuple("あいうえかきくけこさしすたちつなにのはひふまみもやゆらりる"), (), ("こ", "み"), True),
+    "KATAKANA": Script((), tuple("アイウエカキクケコサシスタチツナニノハヒフマミモヤユラリル"), (), ("コ", "ミ"), True),
+    "CJK": Script((), tuple("文明国志伟强平东海山林江河石云光天成立永新春安宁德仁义正方金玉田川"), (), ("芳", "丽", "娟"), True),
+}
+# Ends of given names that are mostly women's, and ends of family names that tell men from women, by script.
+_WOMEN = {"LATIN": ("a", "ine", "elle", "ette"), "CYRILLIC": ("а", "я"), "GREEK": ("α", "η", "ω"), "ARABIC": ("ة", "اء"), "HEBREW": ("ה",), "DEVANAGARI": ("ी", "ा"), "HANGUL": ("희", "미", "숙"), "HIRAGANA": ("こ", "み"), "KATAKANA": ("コ", "ミ"), "CJK": ("芳", "丽", "娟", "娜", "静", "婷", "子", "美")}
+_FAMILY_ENDS = ("ская", "ский", "цкая", "цкий", "ова", "ева", "ёва", "ина", "ына", "ов", "ев", "ёв", "ин", "ын", "dóttir", "sson", "ová", "skaya", "skiy")
+# Titles that tell a woman from a man.
+_CUE = re.compile(r"(?:^|[^\w])(?:(?P<f>mrs|ms|miss|mme|madame|frau|sra|señora|doña|г-жа|госпожа|κα|κυρία)|(?P<m>mr|herrn?|sr|señor|don|monsieur|m|г-н|господин|κ|κύριος))\.?\s$", re.I)
+
+
+def gender_cue(before: str) -> str:
+    """f or m if the text before a name ends in a title that tells, else empty."""
+    found = _CUE.search(before)
+    return "" if not found else "f" if found["f"] else "m"
+
+
+def script_of(word: str) -> str:
+    """The script of the word's first letter, as Unicode names it."""
+    for c in word:
+        if c.isalpha():
+            return unicodedata.name(c, "LATIN").split()[0].split("-")[0]
+    return "LATIN"
+
+
+def is_woman(given: str) -> bool:
+    """By the end of a given name, where no title tells."""
+    return given.endswith(_WOMEN.get(script_of(given), ("\0",)))
 
 
 _PARTICLES = {"von", "van", "de", "la", "der", "del", "da", "di", "du", "ní", "nic", "ó", "mac"}
@@ -443,24 +538,42 @@ def _stream(key: bytes, kind: str, label: str, attempt: int) -> Iterator[int]:
 
 
 def _word(key: bytes, kind: str, w: str, feminine: bool, attempt: int) -> str:
-    """An invented word; each attempt has one more syllable to choose from."""
-    s = _stream(key, kind, w.lower(), attempt)
-    made = "".join(x[next(s) % len(x)] for x in _SYLLABLES[:2]) + "".join(_SYLLABLES[1][next(s) % 12] for _ in range(1 + attempt))
-    return made + ("a" if feminine else _SYLLABLES[2][next(s) % 8])
+    """An invented word in the script of w; each attempt has one more syllable or letter to choose from."""
+    low = w.lower()
+    s = _stream(key, kind, low, attempt)
+    draw = lambda xs: xs[(next(s) << 8 | next(s)) % len(xs)]
+    script = _SCRIPTS.get(script_of(w), _LATIN)
+    if script.whole:
+        made = "".join(draw(script.middle) for _ in range(max(1, min(len(w), 4) - feminine) + attempt))
+        return made + (draw(script.feminine) if feminine else "")
+    made = draw(script.first) + "".join(draw(script.middle) for _ in range(1 + attempt))
+    kept = next((e for e in _FAMILY_ENDS if low.endswith(e) and len(low) > len(e) + 1), None)
+    return made + draw(script.middle) + (kept if kept else draw(script.feminine) if feminine else draw(script.ends))
+
+
+_PREFIX = re.compile(r"(?:[OoDd]['’]|Mc|Mac)(?=[A-Z])")
 
 
 def _cased(made: str, w: str) -> str:
+    """made in the letter case of w, behind w's O', D', Mc or Mac."""
+    if prefix := _PREFIX.match(w):
+        return prefix.group() + _cased(made, w[prefix.end() :])
     return made.upper() if w.isupper() and len(w) > 1 else made.lower() if w.islower() else made
 
 
-def part_surrogate(key: bytes, part: str, attempt: int = 0) -> str:
-    return _word(key, "name", part, part.endswith("a"), attempt)
+def part_surrogate(key: bytes, part: str, attempt: int = 0, gender: str = "") -> str:
+    """The invented word of a name's part; gender f makes a woman's given name, anything else none."""
+    return _word(key, "name", part, gender == "f", attempt)
+
+
+# Alphabets whose letters stand for names as initials.
+_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 
 
 def _initial(key: bytes, letter: str) -> str:
     """Another letter of the same alphabet; different letters get different ones."""
     low = letter.lower()
-    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"):
+    for alphabet in _ALPHABETS:
         if low in alphabet:
             rank = lambda c: hmac.new(key, f"initial\x00{c}".encode(), hashlib.sha256).digest()
             made = sorted(alphabet, key=rank)[alphabet.index(low)]
@@ -468,6 +581,13 @@ def _initial(key: bytes, letter: str) -> str:
     return letter
 
 
+# Pieces of addresses that stay, and country codes.
+_EMAIL_KEPT = ("at", "dot", "arroba", "punto", "punkt", "example", "invalid", "com", "org", "net", "test")
+_ADDRESS_KEPT = re.compile(rf"(?:{_TYPE}|{_DIR}|Unit|Suite|Ste|Apt|Apartment|Floor|Fl|Room|rue|avenue|av|boul|boulevard|bd|chemin|allée|place|impasse|quai|route|côte|montée|calle|avda|avenida|plaza|pl|paseo|camino|ronda|travesía|des|de|del|du|la|los|las|bis|ter|quater|app|apt|bureau|suite|unité|étage|est|ouest|nord|sud|am|im|an|der|in|zum|zur|auf|dem|unter|den|str|th|st|nd|rd|izq|dcha|núm)", re.I)
+_STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|allee|ring|ufer|damm|steig|platz|pfad|markt)$", re.I)
+_COUNTRY = re.compile(r"[+＋]\s?(?:[17１７]|\d\d)")
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, parts: dict[str, str] | None = None) -> str:
     """A keyed stand-in of the same kind, format, script of digits and letter case; parts are the settled words of a name's parts."""
 
@@ -483,83 +603,155 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, parts: dict[
             else:
                 out.append(_initial(key, w) if len(w) == 1 and w.isalpha() else w)
         return "".join(out)
-    if kind == "email":
-        s = _stream(key, kind, normal_entity(kind, entity), attempt)
-        return re.sub(r"[A-Za-z]+|\d", lambda m: m.group() if m.group().lower() in ("at", "dot", "example", "com", "org", "net") else (str(next(s) % 10) if m.group().isdigit() else word(m.group() + str(next(s)), False).lower()), entity)
     s = _stream(key, kind, normal_entity(kind, entity), attempt)
+    if kind == "email":
+        return re.sub(r"[A-Za-z]+|\d", lambda m: m.group() if m.group().lower() in _EMAIL_KEPT else (str(next(s) % 10) if m.group().isdigit() else word(m.group() + str(next(s)), False)), entity)
 
     def digit(m: re.Match) -> str:
         zero = ord(m.group()) - int(m.group())
         return chr(zero + next(s) % 10)
 
-    out = re.sub(r"\d", digit, entity)
+    country = _COUNTRY.match(entity) if kind == "phone" else None
+    head = country.group() if country else ""
+    out = head + re.sub(r"\d", digit, entity[len(head) :])
     if kind == "id_number":
         out = re.sub(r"[A-Z]", lambda m: chr(65 + next(s) % 26), out)
         out = re.sub(r"[a-z]", lambda m: chr(97 + next(s) % 26), out)
     if kind == "address":
-        kept = re.compile(rf"(?:{_TYPE}|{_DIR}|{_UNIT}|rue|avenue|boul|chemin|calle|avda|plaza|des|de|la|bis|app|est|ouest|am|im|an|der|str|th|st|nd|rd)$", re.I)
-        out = re.sub(r"[A-Za-zÀ-ÿß]{4,}", lambda m: m.group() if kept.match(m.group()) else word(m.group() + str(next(s)), False) if m.group()[0].isupper() else word(m.group() + str(next(s)), False).lower(), out)
+
+        def street(m: re.Match) -> str:
+            w = m.group()
+            if _ADDRESS_KEPT.fullmatch(w):
+                return w
+            end = _STREET_END.search(w)
+            end = end.group() if end and end.start() else ""
+            made = word(w[: len(w) - len(end)] + str(next(s)), False)
+            return made + end
+
+        out = re.sub(r"[^\W\d_]{2,}", street, out)
     return out
 
 
+def _mapped(f: Callable, kind: str) -> Callable:
+    """A column function that runs f row by row over Arrow batches."""
+    made = pa.map_(pa.string(), pa.string()) if kind.startswith("map") else pa.string()
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([f(*row) for row in zip(*(c.to_pylist() for c in columns))], made)
+
+    return F.arrow_udf(run, kind)
+
+
 def _settle(rows: DataFrame, by: list[str], make, idle: int = 12) -> DataFrame:
-    """rows with attempt and surrogate such that no two entities (by) of a kind share one; raises if that cannot be reached.
+    """rows with attempt and surrogate such that no two entities (by) of a kind share one and none is another real one; raises if that cannot be reached.
 
     An entity keeps its surrogate against those of later attempts; ``idle`` rounds in
     which no fewer entities collide end the search.
     """
+    from spanlake.llm.common import join_large
     from spanlake.session import checkpointed
 
     spark = rows.sparkSession
-    folded = F.udf(lambda kind, x: normal_entity(kind, x), "string")
+    folded = _mapped(normal_entity, "string")
+    real = checkpointed(rows.select("pii_kind", F.col(by[1]).alias("s")).distinct().withColumn("real", F.lit(True)), spark)
     rows = checkpointed(rows.withColumn("attempt", F.lit(0)).withColumn("surrogate", make("attempt")), spark)
     least, still = None, 0
     while True:
-        seen = rows.select(*by, "attempt", folded("pii_kind", "surrogate").alias("s")).distinct()
+        seen = rows.select(*by, "attempt", folded(F.col("pii_kind"), F.col("surrogate")).alias("s")).distinct()
         rank = F.row_number().over(Window.partitionBy("pii_kind", "s").orderBy("attempt", *by[1:]))
         # spellings of one entity keep one surrogate, so an entity is as bad as its worst
-        bad = checkpointed(seen.withColumn("rank", rank).where("rank > 1").select(*by, F.lit(1).alias("again")).distinct(), spark)
+        ranked = join_large(seen.withColumn("rank", rank), real, ["pii_kind", "s"], "left")
+        bad = checkpointed(ranked.where("rank > 1 or real").select(*by, F.lit(1).alias("again")).distinct(), spark)
         n = bad.count()
         if not n:
             return rows
         least, still = (n, 0) if least is None or n < least else (least, still + 1)
         if still >= idle:
             raise ValueError(f"{n} entities have no surrogate of their own in their format")
-        again = rows.join(bad, by, "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
+        again = join_large(rows, bad, by, "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
         rows = checkpointed(again.withColumn("surrogate", F.when(F.col("again").isNull(), F.col("surrogate")).otherwise(make("attempt"))).drop("again"), spark)
 
 
+def placed_parts(entity: str) -> dict[str, str]:
+    """The parts of a name with their place: given, family, or unknown where it stands alone."""
+    flat = entity.translate(_FOLD)
+    if ", " in flat:
+        family, given = flat.split(", ", 1)
+        return {p: "given" for p in name_parts(given)} | {p: "family" for p in name_parts(family)}
+    words = [w for w in _PART.split(flat) if _is_part(w)]
+    if len(words) < 2:
+        alone = "family" if re.match(r"[^\W\d_]\.", flat) else "unknown"
+        return {w.lower(): alone for w in words}
+    return {words[0].lower(): "given"} | {w.lower(): "family" for w in words[1:]}
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(pii_kind, normal, entity, surrogate) for each distinct spelling.
 
-    The surrogates of different entities are held against each other over all
-    entities; those that collide are hashed again until none do, and if none can
-    be found, as there are more entities than values of their format, it raises.
+    The surrogates of different entities are held against each other, and against
+    the real ones, over all entities; those that collide are hashed again until none
+    do, and if none can be found, as there are more entities than values of their
+    format, it raises.  A part of a name is a given name if it mostly stands in that
+    place, and a woman's by the titles before the names it leads (column cue, if found
+    has it) or else by its end; it has one surrogate wherever it stands.
     """
+    from spanlake.llm.common import join_large
     from spanlake.session import checkpointed
 
     secret = key.encode()
-    normal = F.udf(lambda kind, entity: normal_entity(kind, entity), "string")
-    split = F.udf(name_parts, "array<string>")
-    make = F.udf(lambda kind, entity, attempt: surrogate(secret, kind, entity, attempt), "string")
-    invent = F.udf(lambda part, attempt: part_surrogate(secret, part, attempt), "string")
-    named = F.udf(lambda entity, parts: surrogate(secret, "name", entity, 0, parts or {}), "string")
-
-    rows = checkpointed(found.select("pii_kind", "entity").distinct().withColumn("normal", normal("pii_kind", "entity")), found.sparkSession)
-    names = rows.where("pii_kind = 'name'")
-    each = names.select("entity", F.explode(split("entity")).alias("part"))
-    parts = _settle(each.select(F.lit("name").alias("pii_kind"), "part").distinct(), ["pii_kind", "part"], lambda attempt: invent("part", attempt))
-    words = each.join(parts.select("part", "surrogate"), "part").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("parts"))
-    names = names.join(words, "entity", "left").select("pii_kind", "entity", "normal", named("entity", "parts").alias("surrogate"))
-    rest = _settle(rows.where("pii_kind <> 'name'"), ["pii_kind", "normal"], lambda attempt: make("pii_kind", "entity", attempt))
+    normal = _mapped(normal_entity, "string")
+    placed = _mapped(lambda e: list(placed_parts(e).items()), "map<string,string>")
+    make = _mapped(lambda kind, entity, attempt: surrogate(secret, kind, entity, attempt), "string")
+    invent = _mapped(lambda part, gender, attempt: part_surrogate(secret, part, attempt, gender), "string")
+    named = _mapped(lambda entity, parts: surrogate(secret, "name", entity, 0, dict(parts or {})), "string")
+    by_end = _mapped(lambda part: "f" if is_woman(part) else "", "string")
+
+    cue = F.col("cue") if "cue" in found.columns else F.lit("")
+    spelled = found.groupBy("pii_kind", "entity").agg(F.count_if(cue == "f").alias("f"), F.count_if(cue == "m").alias("m"))
+    rows = checkpointed(spelled.withColumn("normal", normal(F.col("pii_kind"), F.col("entity"))), found.sparkSession)
+    names = rows.where("pii_kind = 'name'").select("pii_kind", "entity", "normal", "f", "m")
+    each = names.select("entity", "f", "m", F.explode(placed(F.col("entity"))).alias("part", "place"))
+    given = F.count_if(F.col("place") == "given") > F.count_if(F.col("place") == "family")
+    told = F.sum(F.when(F.col("place") == "given", F.col("f") - F.col("m")))
+    role = each.groupBy("part").agg(given.alias("given"), F.coalesce(told, F.lit(0)).alias("told"))
+    gender = F.when(~F.col("given"), "").when(F.col("told") > 0, "f").when(F.col("told") < 0, "m").otherwise(by_end(F.col("part")))
+    parts = _settle(role.select(F.lit("name").alias("pii_kind"), "part", gender.alias("gender")), ["pii_kind", "part"], lambda attempt: invent(F.col("part"), F.col("gender"), F.col(attempt)))
+    words = join_large(each, parts.select("part", "surrogate"), "part").groupBy("entity").agg(F.map_from_entries(F.collect_set(F.struct("part", "surrogate"))).alias("parts"))
+    names = join_large(names, words, "entity", "left").select("pii_kind", "entity", "normal", named(F.col("entity"), F.col("parts")).alias("surrogate"))
+    rest = _settle(rows.where("pii_kind <> 'name'").drop("f", "m"), ["pii_kind", "normal"], lambda attempt: make(F.col("pii_kind"), F.col("entity"), F.col(attempt)))
     columns = ["pii_kind", "normal", "entity", "surrogate"]
     return names.select(*columns).unionByName(rest.select(*columns))
 
 
+def shape(text: str) -> str:
+    """What a surrogate keeps: runs of digits, of capitals and of other letters of a script, and all else as it is."""
+    out = []
+    for c in text.translate(_FOLD):
+        x = "0" if c.isdigit() else "A" if c.isupper() else script_of(c)[0].lower() if c.isalpha() else "" if unicodedata.combining(c) or unicodedata.category(c)[0] == "M" else c
+        if x and (not out or out[-1] != x):
+            out.append(x)
+    return "".join(out)
+
+
+def surrogate_problems(table: DataFrame) -> DataFrame:
+    """(pii_kind, shared, real, other_form): entities of a kind whose surrogate another has, surrogates that are real entities, and those of another form."""
+    from spanlake.llm.common import join_large
+
+    normal, form = _mapped(normal_entity, "string"), _mapped(shape, "string")
+    rows = table.withColumn("s", normal(F.col("pii_kind"), F.col("surrogate")))
+    shared = rows.groupBy("pii_kind", "s").agg(F.countDistinct("normal").alias("n"))
+    real = join_large(shared, table.select("pii_kind", F.col("normal").alias("s")).distinct().withColumn("real", F.lit(1)), ["pii_kind", "s"], "left")
+    one = real.groupBy("pii_kind").agg(F.count_if(F.col("n") > 1).alias("shared"), F.count("real").alias("real"))
+    other = rows.groupBy("pii_kind").agg(F.count_if(form(F.col("entity")) != form(F.col("surrogate"))).alias("other_form"))
+    return one.join(other, "pii_kind")
+
+
 def with_surrogates(df: DataFrame, id_col: str, text_col: str, found: DataFrame, key: str) -> DataFrame:
     """(id_col, text_col) with each occurrence replaced by its surrogate; ids must be unique."""
+    from spanlake.llm.common import join_large
+
     table = surrogates(found, key).drop("normal")
-    spans = found.join(table, ["pii_kind", "entity"]).groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("char_start", "char_end", "surrogate"))).alias("_spans"))
+    spans = join_large(found, table, ["pii_kind", "entity"]).groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("char_start", "char_end", "surrogate"))).alias("_spans"))
     text = F.col(text_col)
 
     def step(state: Column, span: Column) -> Column:
@@ -568,5 +760,5 @@ def with_surrogates(df: DataFrame, id_col: str, text_col: str, found: DataFrame,
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     done = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
-    joined = df.select(id_col, text_col).join(spans, id_col, "left")
+    joined = join_large(df.select(id_col, text_col), spans, id_col, "left")
     return joined.select(id_col, F.when(F.col("_spans").isNull(), text).otherwise(done).alias(text_col))

@@ -168,17 +168,31 @@ def p9_placeholders(spark: SparkSession, sf: str) -> DataFrame:
     return with_placeholders(docs, "doc_id", "text", _names(spark, sf), "lang").select("doc_id", "text")
 
 
-def p9_surrogates(spark: SparkSession, sf: str) -> DataFrame:
-    """Every text with keyed surrogates."""
-    from spanlake.llm.personal_data import personal_data, with_surrogates
+def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from spanlake.llm.personal_data import personal_data
     from spanlake.session import checkpointed
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    found = checkpointed(personal_data(docs, "doc_id", "text", _names(spark, sf), "lang"), spark)
+    return docs, checkpointed(personal_data(docs, "doc_id", "text", _names(spark, sf), "lang"), spark)
+
+
+def p9_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with keyed surrogates."""
+    from spanlake.llm.personal_data import with_surrogates
+
+    docs, found = _found(spark, sf)
     return with_surrogates(docs, "doc_id", "text", found, key="spanlake-demo-key")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_problems": p7_problems, "p8_selection": p8_selection, "p8_shares": p8_shares, "p8_problems": p8_problems, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates}
+def p9_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """What surrogates must keep, per kind: none shared by two entities, none a real entity, none of another form."""
+    from spanlake.llm.personal_data import surrogate_problems, surrogates
+    from spanlake.session import checkpointed
+
+    return surrogate_problems(checkpointed(surrogates(_found(spark, sf)[1], "spanlake-demo-key"), spark))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_problems": p7_problems, "p8_selection": p8_selection, "p8_shares": p8_shares, "p8_problems": p8_problems, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates, "p9_problems": p9_problems}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
@@ -207,6 +221,8 @@ degree AS (SELECT field_name, u, count(*) AS n FROM edge GROUP BY ALL)
 SELECT DISTINCT m.field_name, m.id AS record_id, m.class_id, g.group_id, coalesce(d.n, 0) AS linked_classes
 FROM member m JOIN groups g ON g.field_name = m.field_name AND g.u = m.class_id LEFT JOIN degree d ON d.field_name = m.field_name AND d.u = m.class_id
 """,
+    "p9_problems": """
+SELECT pii_kind, 0::BIGINT AS shared, 0::BIGINT AS real, 0::BIGINT AS other_form FROM (VALUES ('email'), ('phone'), ('id_number'), ('address'), ('name')) kinds(pii_kind)""",
     "p7_problems": """
 SELECT profile_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS over_capacity, 0::BIGINT AS lost, 0::BIGINT AS split_needlessly FROM pack_profiles""",
     "p8_problems": """

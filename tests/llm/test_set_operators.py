@@ -12,7 +12,7 @@ from spanlake.llm import truncation as T
 from spanlake.llm.mixing import mixed, reached_shares, selection_problems
 from spanlake.llm.packing import fill_report, packed, packing_problems, vector_best_fit
 from spanlake.llm.parity_join import _mix, bit_sketches, expand_pairs, groups, near_duplicates, signatures
-from spanlake.llm.personal_data import Finder, NameLexicon, learn_names, normal_entity, personal_data, surrogate, surrogates, with_placeholders, with_surrogates
+from spanlake.llm.personal_data import _LATIN, Finder, NameLexicon, learn_names, normal_entity, personal_data, shape, surrogate, surrogate_problems, surrogates, with_placeholders, with_surrogates
 
 
 def words(t):
@@ -354,3 +354,31 @@ def test_the_selection_is_written_in_its_order(spark):
     assert [tuple(r)[1:] for r in selection_problems(mixed(df, goals, "doc", "source", "tokens"), goals, "doc", "source", "tokens").collect()] == [(0, 0)] * 2
     twice = spark.createDataFrame(part + part, spark.createDataFrame(part).schema)
     assert {r["over_repeats"] > 0 for r in selection_problems(twice, goals, "doc", "source", "tokens").collect()} == {True}
+
+
+def test_surrogates_keep_script_gender_and_form(spark):
+    texts = [
+        "Mrs. Ada Brenholt and Herr Bo Tarmere met Bo Velwick", "Call +1 250 555 0177 x12 or ADA [at] site [dot] example", "12 Ell Rd., Quillweg 36-38, C/ Tarr 123",
+    ]
+    found = personal_data(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", NAMES)
+    assert {(r["entity"], r["cue"]) for r in found.collect() if r["pii_kind"] == "name"} == {("Ada Brenholt", "f"), ("Bo Tarmere", "m"), ("Bo Velwick", "")}
+    more = spark.createDataFrame([("name", e, c) for e, c in (("Иван Петров", "m"), ("Анна Петрова", ""), ("王伟", ""), ("김민수", ""), ("Αθήνα Παππά", ""), ("O'Velmere-McBren", ""), ("TARMERE, Bo", ""), ("مريم", ""))], "pii_kind string, entity string, cue string")
+    table = surrogates(found.select("pii_kind", "entity", "cue").union(more), "key")
+    got = {r["entity"]: r["surrogate"] for r in table.collect()}
+    assert all(shape(a) == shape(b) and a != b for a, b in got.items())
+    women, men = _LATIN.feminine, got["Bo Tarmere"].split()[0]
+    assert got["Ada Brenholt"].split()[0].endswith(women) and not men.endswith("a")
+    assert got["Bo Velwick"].split()[0] == men and got["TARMERE, Bo"] == f"{got['Bo Tarmere'].split()[1].upper()}, {men}"
+    assert got["Анна Петрова"].split()[0][-1] in "ая" and got["Анна Петрова"].endswith("ова") and got["Иван Петров"].endswith("ов")
+    assert got["O'Velmere-McBren"].startswith("O'") and "-Mc" in got["O'Velmere-McBren"]
+    assert got["+1 250 555 0177 x12"].startswith("+1 ") and got["ADA [at] site [dot] example"].endswith(" [dot] example") and got["Quillweg 36-38"].split()[0].endswith("weg") and "Ell" not in got["12 Ell Rd."]
+    assert [tuple(r)[1:] for r in surrogate_problems(table).collect()] == [(0, 0, 0)] * 4
+    bad = table.withColumn("surrogate", F.when(F.col("pii_kind") == "name", F.lit("Bo Tarmere")).otherwise(F.lit("?")))
+    assert {tuple(r)[1] > 0 or tuple(r)[3] > 0 for r in surrogate_problems(bad).collect()} == {True}
+
+
+def test_a_surrogate_is_no_real_entity(spark):
+    fixed = [surrogate(b"key", "phone", f"555-{i:04}") for i in range(40)]
+    found = spark.createDataFrame([("phone", e) for e in {*fixed, *(f"555-{i:04}" for i in range(40))}], "pii_kind string, entity string")
+    got = {r["entity"]: r["surrogate"] for r in surrogates(found, "key").collect()}
+    assert not set(got) & set(got.values()) and len(set(got.values())) == len(got)
