@@ -27,7 +27,7 @@ import hmac
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -43,7 +43,9 @@ _FOLDED = re.compile("[" + "".join(map(chr, _FOLD)).replace("-", "").replace("]"
 _BEFORE = r"(?<![0-9A-Za-z])"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII_LETTERS = re.compile(r"[A-Za-z]+")
 _DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"\d+")
 _BLANK = re.compile(r"\s")
 
 EMAIL = re.compile(
@@ -66,6 +68,9 @@ PHONE = re.compile(
     r"|\d{3}-\d{4}"
     r")" + _TAIL
 )
+# the seven digits that every number has, and how far one can begin before and end after them
+_PHONE_DIGITS = re.compile(r"\d(?:[ .()/-]{0,3}\d){6}")
+_PHONE_BEFORE, _PHONE_AFTER = 6, 48
 # Digits of a number with its country code, at most; others have 15.
 _MOST_DIGITS = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12, "49": 13, "86": 13}
 
@@ -97,7 +102,7 @@ ID_VALUE = re.compile(r"(?:[A-Z]{1,3}[- ]?|[a-z]{1,2}[- ]?)?\d(?:[ .-]?\d){4,16}
 
 
 # where such a number can begin: its first digit
-_ID_DIGIT = re.compile(r"\d(?:[ .-]?\d){4}|(?<=[A-Z])\d[0-9A-Z]{5}")
+_ID_DIGIT = re.compile(r"\d(?:(?:[ .-]?\d){4}|(?<=[A-Z]\d)[0-9A-Z]{5})")
 _ID_REACH = 80  # characters before that digit in which its label ends; the longest label has half as many
 
 
@@ -147,12 +152,30 @@ ADDRESS_DE = re.compile(
 _STREETS_FR = ("rue", "avenue", "av.", "boul", "bd", "chemin", "all\u00e9e", "place", "impasse", "quai", "route", "c\u00f4te", "mont\u00e9e")
 _STREETS_ES = ("calle", "c/", "avda.", "avenida", "av.", "plaza", "pl.", "paseo", "camino", "ronda", "traves\u00eda")
 _STREETS_DE = ("strasse ", "str. ", "weg ", "gasse ", "allee ", "ring ", "ufer ", "damm ", "steig ", "platz ", "pfad ", "markt ")
+_NUMBERED_DE = re.compile(r"(?:strasse|str\.|weg|gasse|allee|ring|ufer|damm|steig|platz|pfad|markt) \d")
 _LOCATED_DE = re.compile(r"(?:A[mMnNuU]|I[mMnN]|Z[uU]|U[nN])[a-zA-Z]* (?:[dD][eE][rRmMnN] )?[^\W\d_][\w-]* \d")
 _AT = re.compile(r"[\[({]\s?(?:at|AT|arroba)\s?[\])}]|\s(?:at|AT)\s[A-Za-z0-9-]+\s(?:dot|DOT)\s")
 
 
 def _any_in(pieces: tuple[str, ...], text: str) -> bool:
-    return any(p in text for p in pieces)
+    for p in pieces:
+        if p in text:
+            return True
+    return False
+
+
+def _around(pattern: re.Pattern, flat: str, spots: Iterable[tuple[int, int]], before: int, after: int) -> Iterator[re.Match]:
+    """Matches of pattern that lie around the spots (start, end), which are in order; each stretch is read once and ends at a blank."""
+    begin = end = -1
+    for a, z in spots:
+        if a - before > end:
+            if end >= 0:
+                yield from pattern.finditer(flat, begin, end)
+            begin = max(0, a - before)
+        blank = _BLANK.search(flat, z + after)
+        end = blank.start() if blank else len(flat)
+    if end >= 0:
+        yield from pattern.finditer(flat, max(0, begin), end)
 
 
 _STREET_BEFORE = re.compile(r"(?:plaza|place|rue|avenue|av\.|boul\.|calle|avda\.|chemin|platz|street|st\.|mount|lake|camp|fort|paseo|camino|weg)(?: (?:de la|de|des|du))? $", re.I)
@@ -282,7 +305,7 @@ def _finder(finder: Finder, names: NameLexicon, texts: list, rest: list) -> Find
     return Finder(replace(names, given=tuple(sorted({*given, *pick("given")})), whole=tuple(sorted({*names.whole, *pick("whole")}))))
 
 
-_NAME_REACH = 40  # characters around a word of a name in which the rest of it lies
+_NAME_REACH = 28  # characters around a word of a name in which the rest of it lies
 
 
 class Finder:
@@ -314,43 +337,36 @@ class Finder:
         runs = [_LETTERS.findall(_caseless(x)) for x in (*names.given, *names.whole)]
         self._given = {r[k] for r in runs if r for k in (0, -1)}
         self._family = re.compile(rf".*?(?:{'|'.join(token)})$") if token else re.compile(r"(?!)")
-        self._seen: dict[str, bool] = {}
-
-    def _is_hint(self, w: str) -> bool:
-        """Does a word look like a name?  Words are remembered, up to a bound."""
-        known = self._seen.get(w)
-        if known is None:
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            low = _caseless(w)
-            known = self._seen[w] = low in self._given or bool(self._family.match(low))
-        return known
+        self._plain: set[str] = set()
 
     def _names(self, flat: str) -> Iterator[re.Match]:
         """Matches of the pattern of names, looked for around the words that look like one."""
         if not self.hints:
             return
-        known = {w for w in set(_LETTERS.findall(flat)) if self._is_hint(w)}
-        if not known:
-            return
-        begin, end = -1, -1
-        for m in _LETTERS.finditer(flat):
-            if m.group() in known:
-                if m.start() - _NAME_REACH > end:
-                    if end >= 0:
-                        yield from self.name.finditer(flat, begin, end)
-                    begin = max(0, m.start() - _NAME_REACH)
-                blank = _BLANK.search(flat, m.end() + _NAME_REACH)
-                end = blank.start() if blank else len(flat)
-        yield from self.name.finditer(flat, begin, end)
+        spots = []
+        # words that look like no name are remembered, up to a bound
+        for w in set((_ASCII_LETTERS if flat.isascii() else _LETTERS).findall(flat)) - self._plain:
+            low = _caseless(w)
+            if low not in self._given and not self._family.match(low):
+                self._plain.add(w)
+                continue
+            at = flat.find(w)
+            while at >= 0:  # a longer word that holds it only widens what is read
+                spots.append((at, at + len(w)))
+                at = flat.find(w, at + len(w))
+        if len(self._plain) > 200_000:
+            self._plain.clear()
+        if spots:
+            spots.sort()
+            yield from _around(self.name, flat, spots, _NAME_REACH, _NAME_REACH)
 
     def find(self, text: str, lang: str = "") -> list[tuple[int, int, str]]:
         """(start, end, kind), in order, not overlapping."""
         if not text:
             return []
         flat = _folded(text)
-        low = _caseless(flat)
         digits = bool(_DIGIT.search(flat))
+        low = _caseless(flat) if digits else ""
         found: list[tuple[int, int, str]] = []
 
         def free(a: int, z: int) -> bool:
@@ -362,8 +378,12 @@ class Finder:
 
         for m in EMAIL.finditer(flat) if "@" in flat or _AT.search(flat) else ():
             take(m.start(), m.end(), "email")
-        for pattern, may in ((ADDRESS_EN, digits), (ADDRESS_FR, digits and _any_in(_STREETS_FR, low)), (ADDRESS_ES, digits and _any_in(_STREETS_ES, low)), (ADDRESS_DE, digits and (_any_in(_STREETS_DE, low) or _LOCATED_DE.search(flat)))):
-            for m in pattern.finditer(flat) if may else ():
+        numbers = [d.span() for d in _NUMBER.finditer(flat)] if digits else []
+        for pattern, found_in in (
+            (ADDRESS_EN, _around(ADDRESS_EN, flat, numbers, 28, 110)), (ADDRESS_FR, _around(ADDRESS_FR, flat, numbers, 1, 120) if digits and _any_in(_STREETS_FR, low) else ()),
+            (ADDRESS_ES, ADDRESS_ES.finditer(flat) if digits and _any_in(_STREETS_ES, low) else ()), (ADDRESS_DE, ADDRESS_DE.finditer(flat) if digits and (_any_in(_STREETS_DE, low) and _NUMBERED_DE.search(low) or _LOCATED_DE.search(flat)) else ()),
+        ):
+            for m in found_in:
                 a, z = m.span()
                 if pattern is ADDRESS_DE and not m.group()[:1].isupper():
                     continue
@@ -372,7 +392,7 @@ class Finder:
             for label in ID_LABEL.finditer(flat, max(0, digit.start() - _ID_REACH), digit.start()):
                 if m := ID_VALUE.match(flat, label.end()):
                     take(m.start(), m.end(), "id_number")
-        for m in PHONE.finditer(flat) if digits else ():
+        for m in _around(PHONE, flat, (d.span() for d in _PHONE_DIGITS.finditer(flat)), _PHONE_BEFORE, _PHONE_AFTER) if digits else ():
             if not NOT_PHONE.search(flat[max(0, m.start() - 40) : m.start()]) and not (m.start() > 1 and flat[m.start() - 1] in "-$€£#" ):
                 take(m.start(), m.start() + _phone_end(m.group()), "phone")
         for m in self._names(flat):
