@@ -45,6 +45,20 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return _both_fields(lookalike_pairs, quotes, _source(spark, sf, "questionnaire_reply"))
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per record: the first record that reads the same, and in how many ways it is written."""
+    from spanlake.llm.canonical import lookalike_classes
+
+    quotes = spark.read.parquet(f"{sf}/positions.parquet").where(F.col("kind") == "background")
+
+    def of(name: str, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        members = lookalike_classes(df, id_col, text_col)
+        per = members.groupBy("class_id").agg(F.min(id_col).alias("first_id"), F.countDistinct("variant").alias("variants"))
+        return members.join(per.hint("merge"), "class_id").select(F.lit(name).alias("field_name"), F.col(id_col).alias("record_id"), "first_id", "variants").distinct()
+
+    return of("quote", quotes, "position_id", "quote").unionByName(of("text", _source(spark, sf, "questionnaire_reply"), "source_id", "text"))
+
+
 def _near(df: DataFrame, id_col: str, text_col: str):
     from spanlake.llm.parity_join import near_duplicates
 
@@ -192,7 +206,7 @@ def p9_problems(spark: SparkSession, sf: str) -> DataFrame:
     return surrogate_problems(checkpointed(surrogates(_found(spark, sf)[1], "spanlake-demo-key"), spark))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_problems": p7_problems, "p8_selection": p8_selection, "p8_shares": p8_shares, "p8_problems": p8_problems, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates, "p9_problems": p9_problems}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_problems": p7_problems, "p8_selection": p8_selection, "p8_shares": p8_shares, "p8_problems": p8_problems, "p9_found": p9_found, "p9_placeholders": p9_placeholders, "p9_surrogates": p9_surrogates, "p9_problems": p9_problems}
 
 _BLANKS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]"
 
