@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanlake.llm.common import host_of, join_small, path_of
+from spanlake.llm.common import host_of, join_large, join_small, path_of
 
 _BLANKS = re.compile(r"\s+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -289,8 +289,8 @@ def _ranges(large: DataFrame, block_pages: int) -> DataFrame:
     return _settled(rows.select("host", "path", "first_id", "sig", "captures", "rank", F.floor((F.col("before") - F.col("base")) / block_pages).cast("int").alias("block")), spark)
 
 
-def _halo(ranges: DataFrame, most: int) -> DataFrame:
-    """(host, block, side, rank): the most nearest paths on either side of each range, one of those with the same long lines."""
+def _halo(ranges: DataFrame, most: int, reach: int) -> DataFrame:
+    """(host, block, side, rank): the most nearest paths on either side of each range, one of those with the same long lines, out of reach ranges."""
 
     def ends(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("rank").to_pylist(), table.column("sig").to_pylist()))
@@ -305,24 +305,20 @@ def _halo(ranges: DataFrame, most: int) -> DataFrame:
         n = len(out)
         return pa.table({"host": table.column("host").slice(0, 1).take(pa.array([0] * n)), "block": pa.array([table.column("block")[0].as_py()] * n, pa.int32()), "side": pa.array([o[0] for o in out], pa.int32()), "rank": pa.array([o[1] for o in out], pa.int64()), "sig": pa.array([o[2] for o in out], pa.string())})
 
-    def around(table: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int], list[tuple[int, str]]] = defaultdict(list)
-        for block, side, rank, sig in zip(*(table.column(c).to_pylist() for c in ("block", "side", "rank", "sig"))):
-            by[side, block].append((rank, sig))
-        blocks = sorted({b for _, b in by})
-        out = []
-        for side, line in ((-1, blocks), (1, blocks[::-1])):
-            held: dict[str, int] = {}  # nearest last
-            for block in line:
-                out += [(block, side, rank) for rank in held.values()]
-                for rank, sig in sorted(by[side, block], reverse=side == 1):
-                    held.pop(sig, None)
-                    held[sig] = rank
-                held = dict(list(held.items())[-most:])
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(out), pa.string()), "block": pa.array([o[0] for o in out], pa.int32()), "side": pa.array([o[1] for o in out], pa.int32()), "rank": pa.array([o[2] for o in out], pa.int64())})
+    def nearest(table: pa.Table) -> pa.Table:
+        side = table.column("side")[0].as_py()
+        seen: dict[str, int] = {}
+        for rank, sig in sorted(zip(table.column("rank").to_pylist(), table.column("sig").to_pylist()), reverse=side == -1):
+            if len(seen) == most:
+                break
+            seen.setdefault(sig, rank)
+        n = len(seen)
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * n, pa.string()), "block": pa.array([table.column("block")[0].as_py()] * n, pa.int32()), "side": pa.array([side] * n, pa.int32()), "rank": pa.array(list(seen.values()), pa.int64())})
 
     first = ranges.select("host", "block", "rank", "sig").groupBy("host", "block").applyInArrow(ends, "host string, block int, side int, rank long, sig string")
-    return first.groupBy("host").applyInArrow(around, "host string, block int, side int, rank long")
+    # a range's paths are offered to the ranges within reach, never to a whole host
+    offered = first.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("block", F.col("block") - F.col("side") * F.col("step")).where("block >= 0")
+    return offered.groupBy("host", "block", "side").applyInArrow(nearest, "host string, block int, side int, rank long")
 
 
 def _large_hosts(large: DataFrame, block_pages: int, neighbours: int, votes: int) -> DataFrame:
@@ -331,19 +327,20 @@ def _large_hosts(large: DataFrame, block_pages: int, neighbours: int, votes: int
     kind = large.schema["id"].dataType.simpleString()
     ranges = _ranges(large, block_pages)
     parts = F.greatest(F.lit(1), F.ceil(F.col("captures") / F.lit(max(1, block_pages // 4))))
-    placed = large.join(ranges, ["host", "path"])
+    placed = join_large(large, ranges, ["host", "path"])
     # captures of one path that are a large part of a range are spread by id; its first one stays
     placed = placed.withColumn("first", F.col("id") == F.col("first_id")).withColumn("part", F.when(F.col("first"), 0).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("int"))
-    columns = ["host", "block", "part", "side", "own", "id", "path", "text"]
-    own = placed.withColumn("side", F.lit(0)).withColumn("own", F.lit(True)).select(*columns)
+    columns = ["host", "block", "part", "last", "side", "own", "id", "path", "text"]
+    own = placed.withColumn("side", F.lit(0)).withColumn("own", F.lit(True)).drop("last")
     firsts = placed.where("first").select("host", "block", "rank", "id", "path", "text")
-    todo = _settled(placed.select("host", "block", "part").distinct(), spark)
+    last = ranges.groupBy("host").agg(F.max("block").alias("last"))
+    todo = _settled(join_large(placed.select("host", "block", "part").distinct(), last, "host"), spark)
 
-    def difference(most: int):
+    def difference(most: int, reach: int):
         def run(table: pa.Table) -> pa.Table:
-            host, block, part = (table.column(c)[0].as_py() for c in ("host", "block", "part"))
+            host, block, part, last = (table.column(c)[0].as_py() for c in ("host", "block", "part", "last"))
             ids, sides, paths = table.column("id"), table.column("side").to_pylist(), table.column("path").to_pylist()
-            more = tuple(len({p for p, x in zip(paths, sides) if x == side}) >= most for side in (-1, 1))
+            more = tuple(beyond or len({p for p, x in zip(paths, sides) if x == side}) >= most for side, beyond in ((-1, block - reach > 0), (1, block + reach < last)))
             found = Aligned(ids.to_pylist(), paths, table.column("text").to_pylist(), table.column("own").to_pylist(), more, neighbours, votes)
             rows = []  # (row, line, look, verdict, name, yes, of, heads)
             if not found.complete:
@@ -360,23 +357,23 @@ def _large_hosts(large: DataFrame, block_pages: int, neighbours: int, votes: int
             types = (pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             look, verdict, name, yes, of, heads = (pa.array(c, t) for c, t in zip(cols[2:], types))
             n = len(rows)
-            return pa.table({"id": ids.take(pa.array(cols[0], pa.int64())), "line_no": pa.array(cols[1], pa.int32()), "look": look, "verdict": verdict, "name": name, "yes": yes, "of": of, "heads": heads, "host": pa.array([host] * n, pa.string()), "block": pa.array([block] * n, pa.int32()), "part": pa.array([part] * n, pa.int32())})
+            return pa.table({"id": ids.take(pa.array(cols[0], pa.int64())), "line_no": pa.array(cols[1], pa.int32()), "look": look, "verdict": verdict, "name": name, "yes": yes, "of": of, "heads": heads, "host": pa.array([host] * n, pa.string()), "block": pa.array([block] * n, pa.int32()), "part": pa.array([part] * n, pa.int32()), "last": pa.array([last] * n, pa.int32())})
 
         return run
 
-    schema = f"id {kind}, line_no int, look binary, verdict int, name string, yes int, of int, heads array<string>, host string, block int, part int"
-    most, lines = 4 * neighbours, None
+    schema = f"id {kind}, line_no int, look binary, verdict int, name string, yes int, of int, heads array<string>, host string, block int, part int, last int"
+    most, reach, lines = 4 * neighbours, 2, None
     while True:  # until no page needs a path beyond those beside its range
-        beside = _halo(ranges, most).join(todo, ["host", "block"]).join(firsts.drop("block"), ["host", "rank"]).withColumn("own", F.lit(False)).select(*columns)
-        within = firsts.join(todo.where("part > 0"), ["host", "block"]).withColumn("side", F.lit(0)).withColumn("own", F.lit(False)).select(*columns)
-        tasks = own.join(todo, ["host", "block", "part"], "left_semi").unionByName(within).unionByName(beside)
-        out = _settled(tasks.groupBy("host", "block", "part").applyInArrow(difference(most), schema), spark)
+        beside = join_large(join_large(_halo(ranges, most, reach), todo, ["host", "block"]), firsts.drop("block"), ["host", "rank"]).withColumn("own", F.lit(False)).select(*columns)
+        within = join_large(firsts, todo.where("part > 0"), ["host", "block"]).withColumn("side", F.lit(0)).withColumn("own", F.lit(False)).select(*columns)
+        tasks = join_large(own, todo, ["host", "block", "part"]).select(*columns).unionByName(within).unionByName(beside)
+        out = _settled(tasks.groupBy("host", "block", "part").applyInArrow(difference(most, reach), schema), spark)
         done = out.where("verdict >= 0")
         lines = done if lines is None else lines.unionByName(done)
-        todo = out.where("verdict < 0").select("host", "block", "part")
+        todo = out.where("verdict < 0").select("host", "block", "part", "last")
         if todo.isEmpty():
             break
-        most *= 8
+        most, reach = 8 * most, 8 * reach
 
     heads = lines.where("verdict = 4").groupBy("host", "name").agg(F.sum("yes").alias("yes"), F.sum("of").alias("of")).where(_heads(F.col("yes"), F.col("of"))).select("host", "name")
     listed = join_small(lines.where("verdict = 0").select("host", "id", "line_no", F.explode("heads").alias("name")), heads, ["host", "name"]).select("host", "id", "line_no")
@@ -387,7 +384,7 @@ def _large_hosts(large: DataFrame, block_pages: int, neighbours: int, votes: int
     begun = follow.where((F.col("key") == 0) & F.startswith("next", "name") & (F.col("next") != F.col("name"))).select("host", "name")
     ended = join_small(text.select("host", "id", "line_no", "name"), begun, ["host", "name"]).select("host", "id", "line_no")
     extra = listed.unionByName(ended).distinct().withColumn("listed", F.lit(True))
-    lines = lines.where("verdict in (0, 1)").join(extra, ["host", "id", "line_no"], "left")
+    lines = join_large(lines.where("verdict in (0, 1)"), extra, ["host", "id", "line_no"], "left")
     return lines.select("id", "line_no", "look", F.when((F.col("verdict") == 0) & F.col("listed"), 2).otherwise(F.col("verdict")).alias("verdict"), "host")
 
 
@@ -435,4 +432,4 @@ def main_body(df: DataFrame, id_col: str, url_col: str, text_col: str, **how) ->
     """df's id and text with the furniture lines taken out; pages that lose all lines keep an empty text."""
     drop = page_lines(df, id_col, url_col, text_col, **how).where("furniture").groupBy(id_col).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<int>")), i + 1))
-    return df.select(id_col, text_col).join(drop, id_col, "left").select(id_col, F.array_join(kept, "\n").alias("main_text"))
+    return join_large(df.select(id_col, text_col), drop, id_col, "left").select(id_col, F.array_join(kept, "\n").alias("main_text"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from spanlake.llm.canonical import canonical_array
-from spanlake.llm.common import host_of, pieces
+from spanlake.llm.common import host_of, join_large, join_small, pieces
 
 BITS = 18
 TAIL = 320  # closing characters that are looked at
@@ -145,44 +146,72 @@ class CutModel:
     def score(self, rows: list[list[int]]) -> np.ndarray:
         if not rows:
             return np.zeros(0)
-        size = np.array([len(r) for r in rows])
-        flat = self.weights[np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])]
-        total = np.add.reduceat(flat, np.cumsum(size) - size)
+        size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        at = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(size.sum()))
+        total = np.add.reduceat(self.weights[at], np.cumsum(size) - size)
         return 1 / (1 + np.exp(-(total + self.bias)))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 6, seed: int = 7, rate: float = 0.1, decay: float = 2e-3, rare: int = 5) -> CutModel:
+class Hashed:
+    """Rows of hashed features as one matrix: the features of all rows one after another, and how many each row has."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+        self.begin = np.cumsum(size) - size
+
+    @classmethod
+    def once(cls, flat: np.ndarray, size: np.ndarray) -> Hashed:
+        """Each feature once a row."""
+        keys = np.unique(np.repeat(np.arange(len(size), dtype=np.int64), size) << BITS | flat.astype(np.int64))
+        return cls(keys & ((1 << BITS) - 1), np.bincount(keys >> BITS, minlength=len(size)))
+
+    def picked(self, rows: np.ndarray) -> Hashed:
+        size = self.size[rows]
+        at = np.repeat(self.begin[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return Hashed(self.flat[at], size)
+
+    def sums(self, of: np.ndarray) -> np.ndarray:
+        """Sum of each row's entries in of, an array by feature."""
+        out = np.zeros(len(self.size))
+        full = np.flatnonzero(self.size)
+        if len(full):
+            out[full] = np.add.reduceat(of[self.flat], self.begin[full])
+        return out
+
+
+def fit(rows: Hashed, labels: np.ndarray, epochs: int = 6, seed: int = 7, rate: float = 0.1, decay: float = 2e-3, rare: int = 5) -> CutModel:
     """Logistic regression by Adagrad over shuffled batches of hashed rows."""
     rng = np.random.default_rng(seed)
-    model = CutModel(np.zeros(1 << BITS), 0.0)
-    squares = np.full(1 << BITS, 1e-2)
-    arrays = [np.unique(np.asarray(r, dtype=np.int64)) for r in rows]
-    seen = np.bincount(np.concatenate(arrays), minlength=1 << BITS)
-    arrays = [a[seen[a] >= rare] for a in arrays]  # a feature of few rows would only learn them by heart
+    seen = np.bincount(rows.flat, minlength=1 << BITS)
+    known = np.flatnonzero(seen >= rare)  # a feature of few rows would only learn them by heart
+    slot = np.full(1 << BITS, -1, dtype=np.int64)
+    slot[known] = np.arange(len(known))
+    kept = slot[rows.flat] >= 0
+    dense = Hashed(slot[rows.flat[kept]], np.bincount(np.repeat(np.arange(len(rows.size)), rows.size)[kept], minlength=len(rows.size)))
+    weights, squares, bias = np.zeros(len(known)), np.full(len(known), 1e-2), 0.0
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(arrays)), max(1, len(arrays) // 128)):
-            picked = [arrays[i] for i in batch]
-            size = np.array([len(p) for p in picked])
-            at = np.concatenate(picked)
-            begin = np.cumsum(size) - size
-            p = 1 / (1 + np.exp(-(np.add.reduceat(model.weights[at], begin) + model.bias)))
-            error = p - labels[batch]
-            unique, back = np.unique(at, return_inverse=True)
-            grad = np.bincount(back, np.repeat(error, size)) + decay * model.weights[unique]
-            squares[unique] += grad**2
-            model.weights[unique] -= rate * grad / np.sqrt(squares[unique])
-            model.bias -= 0.01 * error.mean()
-    return model
-
-
-def held_out_scores(rows: list[list[int]], labels: np.ndarray, folds: int = 3, seed: int = 7) -> np.ndarray:
+        for batch in np.array_split(rng.permutation(len(rows.size)), max(1, len(rows.size) // 128)):
+            part = dense.picked(batch)
+            error = 1 / (1 + np.exp(-(part.sums(weights) + bias))) - labels[batch]
+            met = np.flatnonzero(np.bincount(part.flat, minlength=len(known)))
+            grad = np.bincount(part.flat, np.repeat(error, part.size), minlength=len(known))[met] + decay * weights[met]
+            squares[met] += grad**2
+            weights[met] -= rate * grad / np.sqrt(squares[met])
+            bias -= 0.01 * error.mean()
+    whole = np.zeros(1 << BITS)
+    whole[known] = weights
+    return CutModel(whole, bias)
+
+
+def held_out_scores(rows: Hashed, labels: np.ndarray, folds: int = 3, seed: int = 7) -> np.ndarray:
     """Each row's score by a model that has not seen it."""
-    part = np.random.default_rng(seed).integers(folds, size=len(rows))
-    out = np.zeros(len(rows))
+    part = np.random.default_rng(seed).integers(folds, size=len(rows.size))
+    out = np.zeros(len(rows.size))
     for k in range(folds):
         rest, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
         if len(rest) and len(own):
-            out[own] = fit([rows[i] for i in rest], labels[rest], epochs=3, seed=seed).score([rows[i] for i in own])
+            model = fit(rows.picked(rest), labels[rest], epochs=3, seed=seed)
+            out[own] = 1 / (1 + np.exp(-(rows.picked(own).sums(model.weights) + model.bias)))
     return out
 
 
@@ -207,7 +236,12 @@ def length_lifts(base: DataFrame) -> DataFrame:
     around = bins.withColumn("near", F.sum("near").over(Window.partitionBy("host").orderBy("bin").rangeBetween(-1, 1)))
     others = F.greatest(F.lit(1), step(F.col("bin") + 2) - step(F.col("bin") - 1) - 1)
     lift = F.round(F.col("count") / (1 + (F.col("near") - F.col("count")) / others)).cast("int")
-    return counts.join(around, ["host", "bin"]).select("host", "n", lift.alias("same")).where("same > 1")
+    return join_large(counts, around, ["host", "bin"]).select("host", "n", lift.alias("same")).where("same > 1")
+
+
+def sample_bound(wanted: int, total: int) -> int:
+    """The greatest of the 64-bit hashes that put about wanted of total records into a sample, at any total."""
+    return -(1 << 63) + min((1 << 64) - 1, (1 << 64) * wanted // max(1, total))
 
 
 def truncated(
@@ -223,9 +257,9 @@ def truncated(
     limits = sorted((r["bucket"], r["count"]) for r in lifts.where("same >= 4").groupBy(bucket.alias("bucket")).count().collect())
     # a bounded sample, by hash and so the same whatever the partitions
     total = base.count()
-    share = min(1.0, sample_rows / max(1, total))
-    sample = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample_rows)
-    sample = sample.join(lifts, ["host", "n"], "left").select("text", "lang", F.coalesce("same", F.lit(1)).alias("same"))
+    chosen = F.xxhash64("id", F.lit(seed)) <= F.lit(sample_bound(sample_rows, total))
+    sample = base.where(chosen).limit(2 * sample_rows)
+    sample = join_small(sample, lifts, ["host", "n"], "left").select("text", "lang", F.coalesce("same", F.lit(1)).alias("same"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, 0, 500_000)):
@@ -245,14 +279,19 @@ def truncated(
             out = [features(t, c, lang) for t, (_, c, lang) in zip(folded, where)]
             yield pa.RecordBatch.from_arrays([pa.array([w[0] for w in where], pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["label", "features"])
 
-    rows = sample.mapInArrow(label, "label int, features array<int>").collect()  # bounded by sample_rows
-    if not rows:
+    rows = sample.mapInArrow(label, "label int, features array<int>").toArrow()  # bounded by sample_rows
+    if not rows.num_rows:
+        if total:
+            raise ValueError(f"no record of {total} fell into the sample of {sample_rows}")
         model = CutModel(np.zeros(1 << BITS), -1.0)
     else:
-        x, y = [r["features"] for r in rows], np.array([r["label"] for r in rows], dtype=float)
+        lists = rows.column("features").combine_chunks()
+        x, y = Hashed.once(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())), rows.column("label").to_numpy().astype(float)
+        order = np.lexsort((x.sums(np.arange(1 << BITS, dtype=float) ** 2 % 1e9), x.size, y))  # the same whatever the order of arrival
+        x, y = x.picked(order), y[order]
         for _ in range(2):
-            clean = (y == 1) | (held_out_scores(x, y, seed=seed) < 0.5)
-            x, y = [r for r, c in zip(x, clean) if c], y[clean]
+            clean = np.flatnonzero((y == 1) | (held_out_scores(x, y, seed=seed) < 0.5))
+            x, y = x.picked(clean), y[clean]
         model = fit(x, y, seed=seed)
     weights, bias = model.weights.astype(np.float32), model.bias  # fixed size: 2 ** BITS numbers
 
@@ -266,7 +305,8 @@ def truncated(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], ["id", "host", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    slim = base.select("id", "host", F.substring("text", -TAIL, TAIL).alias("tail"), "lang", "n").join(lifts, ["host", "n"], "left")
+    slim = base.select("id", "host", F.substring("text", -TAIL, TAIL).alias("tail"), "lang", "n")
+    slim = join_small(slim, lifts, ["host", "n"], "left")
     scored = slim.select("id", "host", "tail", "lang", F.coalesce("same", F.lit(1)).alias("same")).mapInArrow(score, f"id {kind}, host string, score double")
     return scored.select(F.col("id").alias(id_col), "host", "score", (F.col("score") >= threshold).alias("truncated"))
 

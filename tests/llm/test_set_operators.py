@@ -382,3 +382,25 @@ def test_a_surrogate_is_no_real_entity(spark):
     found = spark.createDataFrame([("phone", e) for e in {*fixed, *(f"555-{i:04}" for i in range(40))}], "pii_kind string, entity string")
     got = {r["entity"]: r["surrogate"] for r in surrogates(found, "key").collect()}
     assert not set(got) & set(got.values()) and len(set(got.values())) == len(got)
+
+
+def test_the_sample_of_records_never_runs_dry():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(-(2**63), 2**63 - 1, size=200_000, dtype=np.int64)
+    for total in (1, 10, 12_000, 10**6, 10**12, 10**16):
+        bound = T.sample_bound(12_000, total)
+        share = min(1.0, 12_000 / total)
+        assert -(2**63) <= bound < 2**63 and (bound + 2**63) / 2**64 == pytest.approx(share, rel=1e-6)
+        assert abs((hashes <= bound).mean() - share) < 0.01
+    assert T.sample_bound(12_000, 10**14) > -(2**63)
+
+
+def test_fitting_learns_what_tells():
+    rng = np.random.default_rng(4)
+    rows = [sorted({int(x) for x in rng.integers(10, 60, size=6)} | {1 + i % 2}) for i in range(3000)]
+    labels = np.array([i % 2 for i in range(3000)], dtype=float)
+    x = T.Hashed.once(np.array([f for r in rows for f in r + r[:1]]), np.array([len(r) + 1 for r in rows]))
+    assert x.size.tolist() == [len(r) for r in rows] and x.picked(np.array([7, 2])).flat.tolist() == rows[7] + rows[2]
+    model = T.fit(x, labels)
+    assert ((model.score(rows) > 0.5) == labels).all() and ((T.held_out_scores(x, labels) > 0.5) == labels).mean() > 0.99
+    assert len(model.score([])) == 0
