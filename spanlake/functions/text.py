@@ -54,10 +54,13 @@ def trim_quote(x: Column, most: int = 700) -> Column:
     return F.when((F.length(x) <= most) | (cut <= 0), x).otherwise(F.rtrim(F.substring(x, F.lit(1), cut + 1)))
 
 
-def drop_heading(x: Column, least_words: int = 6) -> Column:
+def drop_heading(x: Column, least_words: int = 6, longest: int = 61) -> Column:
     """Drop a short line ending in a colon at the end, if enough words stay."""
-    short = F.regexp_replace(F.regexp_replace(x, r"\n+[^\n]{0,60}:[ \t\r\n]*$", ""), r"[ \t\r\n]+$", "")
-    ends = x.rlike(r"\n+[^\n]{0,60}:[ \t\r\n]*$")
+    blanks = r"[ \t\r\n]+$"
+    whole = F.regexp_replace(x, blanks, "")
+    last = F.substring_index(whole, "\n", -1)
+    ends = F.contains(whole, F.lit("\n")) & last.endswith(":") & (F.length(last) <= longest)
+    short = F.regexp_replace(F.left(whole, F.length(whole) - F.length(last)), blanks, "")
     words = F.size(F.filter(F.split(short, SPACE + "+"), lambda w: w != ""))
     return F.when(ends & (words >= least_words), short).otherwise(x)
 

@@ -18,7 +18,19 @@ CHROME_ROLES = {"navigation", "banner", "contentinfo", "search", "dialog"}
 TEXT = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td", "dd", "dt", "figcaption"}
 BLOCK = TEXT | {"div", "section", "article", "main", "ul", "ol", "table", "tr", "body", "dl", "figure", "pre", "address"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-BOILERPLATE = re.compile(r"^(?:home|menu|skip to|copyright|©|all rights reserved|powered by|authorized by|privacy policy|terms|share this|sign up|subscribe|donate|back to top|read more)\b", re.I)
+TAGGED = {"p", "li", "h2", "h3", "h4", "h5", "h6", "blockquote"}
+# Opening words of blocks that are page furniture.
+BOILERPLATE = (
+    "home", "about", "menu", "skip to", "copyright", "©", "all rights reserved", "powered by", "authorized by", "privacy policy", "terms", "follow us", "follow me", "share this",
+    "sign up", "subscribe", "donate", "volunteer", "contact", "back to top", "read more", "learn more",
+)
+
+
+def is_boilerplate(text: str, openings: tuple[str, ...] = BOILERPLATE) -> bool:
+    """Does text open with one of the openings as whole words?"""
+    low = text.lower()
+    word = lambda c: c.isalnum() or c == "_"
+    return any(low.startswith(o) and word(o[-1]) != (len(low) > len(o) and word(low[len(o)])) for o in openings)
 
 
 class _Blocks(HTMLParser):
@@ -26,11 +38,14 @@ class _Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[str] = []
+        self.blocks: list[tuple[bool, bool, str]] = []  # inside the main element, of a text element, text
         self.links: list[tuple[str, str]] = []
         self.title = ""
         self._open: list[tuple[str, bool]] = []  # tag, does it begin chrome
         self._hidden = 0
+        self._main = 0
+        self._mains: list[int] = []  # how deep each open main element lies
+        self.has_main = False
         self._text: list[str] = []
         self._href: list[str] = []
         self._label: list[str] = []
@@ -40,7 +55,8 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self._text).split())
         self._text = []
         if text:
-            self.blocks.append(text)
+            inner = next((t for t, _ in reversed(self._open) if t in BLOCK), "")
+            self.blocks.append((self._main > 0, inner in TAGGED, text))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         named = dict(attrs)
@@ -64,15 +80,23 @@ class _Blocks(HTMLParser):
                 self._flush()
         self._open.append((tag, chrome))
         self._hidden += chrome
+        if tag == "main" or (named.get("role") or "").lower() == "main":
+            self._mains.append(len(self._open))
+            self._main, self.has_main = len(self._mains), True
 
     def _close(self, tag: str) -> None:
         while self._open:
             name, chrome = self._open.pop()
             if name in BLOCK or chrome:
                 if not self._hidden:
+                    self._open.append((name, chrome))
                     self._flush()
+                    self._open.pop()
                 self._text = []
             self._hidden -= chrome
+            while self._mains and self._mains[-1] > len(self._open):
+                self._mains.pop()
+                self._main = len(self._mains)
             if name == tag:
                 return
 
@@ -100,14 +124,31 @@ class _Blocks(HTMLParser):
 
 
 def parse_html(html: str, least_chars: int = 60) -> tuple[str, list[str], list[tuple[str, str]]]:
-    """(title of at most 120 characters, distinct text blocks in order, links)."""
+    """(title of at most 120 characters, distinct text blocks, links).
+
+    Blocks of the main element if the page has one, else of all of it; those of text
+    elements in order, then those of other innermost blocks.
+    """
     parser = _Blocks()
     parser.feed(html)
     parser.close()
-    blocks = [b for b in dict.fromkeys(parser.blocks) if len(b) >= least_chars and not BOILERPLATE.match(b)]
+    taken = sorted((b for b in parser.blocks if b[0] or not parser.has_main), key=lambda b: not b[1])
+    blocks = [b for b in dict.fromkeys(text for _, _, text in taken) if len(b) >= least_chars and not is_boilerplate(b)]
     return " ".join(parser.title.split())[:120], blocks, parser.links
 
 
+def statement_text(html: str, marker: str) -> list[str]:
+    """Paragraphs and list items after the block that says marker (blanks and case aside), in order; blocks that are only a link are left out."""
+    flat = lambda x: "".join(x.split()).lower()
+    parser = _Blocks()
+    parser.feed(html)
+    parser.close()
+    texts = [text for _, _, text in parser.blocks]
+    begin = next((i for i, t in enumerate(texts) if flat(t).rstrip(":") == flat(marker).rstrip(":")), None)
+    labels = {label for _, label in parser.links}
+    return [] if begin is None else [t for t in texts[begin + 1 :] if t not in labels]
+
+
 def page_text(df: DataFrame, id_col: str, html_col: str, least_chars: int = 60) -> DataFrame:
     """(id_col, title, text, links): null or empty pages give empty results."""
     slim = df.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"))
@@ -123,6 +164,29 @@ def page_text(df: DataFrame, id_col: str, html_col: str, least_chars: int = 60)
     return slim.mapInArrow(run, f"_id {kind}, title string, text string, links array<struct<href:string,label:string>>").withColumnRenamed("_id", id_col)
 
 
+def statements(df: DataFrame, id_col: str, html_col: str, marker: str) -> DataFrame:
+    """(id_col, pos, block): what a page says after its marker; pages without it give no rows."""
+    slim = df.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [statement_text(h or "", marker) for h in batch.column(1).to_pylist()]
+            rows = [(i, k, x) for i, blocks in enumerate(found) for k, x in enumerate(blocks)]
+            at, pos, block = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(block, pa.string())], ["_id", "pos", "block"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return slim.mapInArrow(run, f"_id {kind}, pos int, block string").withColumnRenamed("_id", id_col)
+
+
+def filled(best: DataFrame, more: DataFrame, site_col: str, page_col: str, rank_col: str, most: int = 12) -> DataFrame:
+    """best, and where a site has slots left, more's pages that best lacks, in the order of rank_col; rank runs on."""
+    rest = more.join(best.select(site_col, page_col), [site_col, page_col], "left_anti")
+    both = best.withColumn("_more", F.lit(0)).unionByName(rest.select(*best.columns).withColumn("_more", F.lit(1)))
+    order = Window.partitionBy(site_col).orderBy("_more", rank_col, page_col)
+    return both.withColumn(rank_col, F.row_number().over(order)).drop("_more").where(F.col(rank_col) <= most)
+
+
 def frontier(links: DataFrame, site_col: str, home_col: str, href_col: str, label_col: str, position: str, most: int = 12) -> DataFrame:
     """The best links of each site: same host, readable, one spelling per page, highest weight first."""
     fit = links.where(same_host(F.col(home_col), F.col(href_col)) & ~skipped_link(F.col(href_col)))

@@ -8,6 +8,7 @@ from spanlake.functions import text as tx, urls
 from spanlake.operators import ordering, records, web
 from spanlake.plans.records import _CAST, _POS, _VOTES, _cast, _positions, _votes
 from spanlake.plans.registry import query
+from spanlake.plans.text import score_sql, skipped_sql
 from spanlake.sources.readers import table
 
 # The topics in their published order with labels, and the searched words.
@@ -248,8 +249,8 @@ _KEY = _HOSTS + " || '/' || regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][
 @query(f"""
 WITH d AS (SELECT source_id, any_value(url) AS url, any_value(coalesce(title, '')) AS title FROM source_docs WHERE source_type = 'campaign_site' GROUP BY 1),
 s AS (SELECT source_id, {_HOSTS.format('url')} AS site, {_KEY.format('url')} AS page,
-  CASE WHEN regexp_matches(lower(url || ' ' || title), 'platform|priorit|polic(y|ies)|issues|vision') THEN 100 WHEN regexp_matches(lower(url || ' ' || title), 'commitments|pledge|agenda') THEN 80 WHEN regexp_matches(lower(url || ' ' || title), 'about|bio|background|experience|meet') THEN 60 WHEN regexp_matches(lower(url || ' ' || title), 'housing|transit|traffic|climate|tax|safety|school') THEN 40 ELSE 0 END AS score
-  FROM d WHERE NOT regexp_matches(lower(url), '\\.(pdf|jpe?g|png|gif|svg|webp|mp4|zip|docx?|xlsx?)$|/(donate|signup|contact|privacy|terms|cart)|^(mailto|tel|javascript):')),
+  {score_sql("lower(url || ' ' || title)")} AS score
+  FROM d WHERE NOT {skipped_sql("url")}),
 o AS (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY score DESC, source_id) AS r FROM s),
 b AS (SELECT source_id, site, score, row_number() OVER (PARTITION BY site ORDER BY score DESC, source_id) AS rank FROM o WHERE r = 1)
 SELECT source_id, site, score, rank FROM b WHERE rank <= 12""")

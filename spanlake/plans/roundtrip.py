@@ -48,21 +48,32 @@ def jon13_unclaimed_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT DISTINCT source_id, owner_id, retrieved, text FROM source_docs WHERE source_type = 'questionnaire_reply' AND text IS NOT NULL)
-SELECT source_id, 'Person ' || source_id AS name, strftime(retrieved, '%Y-%m-%d') AS received, 1::BIGINT AS replies, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::INT AS chars FROM d""")
+WITH d AS (SELECT DISTINCT source_id, retrieved, text FROM source_docs WHERE source_type = 'questionnaire_reply' AND text IS NOT NULL)
+SELECT source_id, 'Person ' || source_id AS name, strftime(retrieved, '%Y-%m-%d') AS received, CASE WHEN source_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS replies,
+  length('We read: ' || replace(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')), ' .', '.') || ' And so it stands.')::INT + CASE WHEN source_id % 2 = 0 THEN length('An addition, written later.') + 2 ELSE 0 END AS chars FROM d""")
 def ext17_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies read back from documents of name line, received line and body."""
+    """Replies read back from one document of name, received line, greeting, body, sign-off and contact lines; every second person writes twice under an alias."""
     docs = table(spark, sf, "source_docs").where("source_type = 'questionnaire_reply' and text is not null").select("source_id", "retrieved", "text").distinct()
-    name = F.concat(F.lit("Person "), F.col("source_id").cast("string"))
-    doc = F.concat_ws("\n", F.lit("Replies"), name, F.concat(F.lit("Received "), F.date_format("retrieved", "yyyy-MM-dd")), F.lit("-----"), "text")
-    out = surveys.replies(docs.select("source_id", doc.alias("doc")), "source_id", "doc", docs.select(name.alias("name")))
+    name, twice = F.concat(F.lit("Person "), F.col("source_id").cast("string")), F.col("source_id") % 2 == 0
+    alias = F.concat(F.lit("Pers. "), F.col("source_id").cast("string"))
+    body = F.concat(F.lit("We read:\n"), F.replace(F.trim(F.regexp_replace("text", r"[\s\x0B]+", " ")), F.lit(" ."), F.lit(".")), F.lit("\nAnd so it stands."))
+    day = F.date_format("retrieved", "yyyy-MM-dd")
+    doc = F.concat_ws(
+        "\n", F.lit("Replies"), F.when(twice, alias).otherwise(name), F.when(twice, F.concat(F.lit("First reply, received "), day)).otherwise(F.concat(F.lit("Received "), day)), F.lit("Good morning Pat,"), F.lit(""), body,
+        F.lit("Yours, in good spirits."), name, F.lit("Candidate for council"), F.lit("250-555-0100"), F.lit("-----"), F.when(twice, F.lit("Second reply, received later\nSam:\nAn addition, written later.\nThanks!\nwww.person.example")),
+    )
+    aliases = docs.where(twice).select(alias.alias("alias"), name.alias("name"))
+    out = surveys.replies(docs.select("source_id", doc.alias("doc")), "source_id", "doc", docs.select(name.alias("name")), aliases)
     return out.select("source_id", "name", "received", "replies", F.length("answer").alias("chars"))
 
 
+_FURNITURE = "(?i)^(?:" + "|".join(web.BOILERPLATE) + ")\\b"
+
+
 @query(rf"""
 WITH d AS (SELECT source_id, any_value(text) AS text, any_value(coalesce(title, '')) AS title FROM source_docs WHERE text IS NOT NULL AND source_type = 'official_statement' GROUP BY 1),
 l AS (SELECT source_id, title, trim(regexp_replace(unnest(string_split(replace(replace(replace(text, '&', '+'), '<', '('), '>', ')'), chr(10))), '[\s\x{{00A0}}\x0B]+', ' ', 'g')) AS line FROM d),
-k AS (SELECT DISTINCT source_id, line FROM l WHERE length(line) >= 60 AND NOT regexp_matches(line, '(?i){web.BOILERPLATE.pattern}'))
+k AS (SELECT DISTINCT source_id, line FROM l WHERE length(line) >= 60 AND NOT regexp_matches(line, '{_FURNITURE}'))
 SELECT source_id, count(*) AS blocks, sum(length(line))::BIGINT AS chars FROM k GROUP BY 1""")
 def ext10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of pages whose lines are unclosed paragraphs between a menu and a footer."""

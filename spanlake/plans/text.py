@@ -73,16 +73,26 @@ def str15_depth(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "source_docs").select("url", urls.depth(F.col("url")).alias("depth")).distinct()
 
 
-@query("SELECT DISTINCT url, CASE WHEN regexp_matches(lower(url || ' ' || coalesce(title, '')), 'platform|priorit|polic(y|ies)|issues|vision') THEN 100 WHEN regexp_matches(lower(url || ' ' || coalesce(title, '')), 'commitments|pledge|agenda') THEN 80 WHEN regexp_matches(lower(url || ' ' || coalesce(title, '')), 'about|bio|background|experience|meet') THEN 60 WHEN regexp_matches(lower(url || ' ' || coalesce(title, '')), 'housing|transit|traffic|climate|tax|safety|school') THEN 40 ELSE 0 END AS score FROM source_docs")
+def score_sql(blob: str) -> str:
+    """SQL: the weight of the first group of link words that blob holds."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({blob}, '{'|'.join(words)}') THEN {weight}" for weight, words in urls.LINK_WORDS) + " ELSE 0 END"
+
+
+def skipped_sql(url: str) -> str:
+    """SQL: is an address none to read?"""
+    return f"regexp_matches(lower({url}), '\\.({'|'.join(urls.SKIPPED_FILES)})$|/({'|'.join(urls.SKIPPED_PATHS)})|{'|'.join(urls.SKIPPED_SCHEMES)}')"
+
+
+@query(f"SELECT DISTINCT url, {score_sql("lower(url || ' ' || coalesce(title, ''))")} AS score FROM source_docs")
 def str13_link_score(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "source_docs").select("url", urls.link_score(F.col("url"), F.coalesce("title", F.lit(""))).alias("score")).distinct()
 
 
 @query("SELECT DISTINCT url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || substring(url, length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) + 1) AS target FROM source_docs")
 def str16_unwrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Each address wrapped twice in a redirect and unwrapped again."""
+    """Each address wrapped five times in a redirect and unwrapped again."""
     wrapped = F.col("url")
-    for _ in range(2):
+    for _ in range(5):
         wrapped = F.concat(F.lit("https://go.example/l.php?u="), F.url_encode(wrapped), F.lit("&h=1"))
     return table(spark, sf, "source_docs").select("url", urls.unwrapped(wrapped).alias("target")).distinct()
 

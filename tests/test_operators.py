@@ -157,11 +157,23 @@ def test_minutes(spark):
 
 
 def test_replies(spark):
-    doc = "Answers\r\nAda Low\r\nReceived May 1\r\nHello there,\r\nFirst part.\r\n\r\nMore of it.\r\nSincerely,\r\nAda\r\n-----\r\nSecond reply, received May 3\r\nAn addition.\r\nBo High\r\nreceived May 2\r\nMine."
-    names = spark.createDataFrame([("Ada Low",), ("Bo High",), ("Cy Mid",)], "name string")
-    got = surveys.replies(spark.createDataFrame([(1, doc)], "id int, doc string"), "id", "doc", names)
-    assert {r["name"]: (r["received"], r["replies"], r["answer"]) for r in got.collect()} == {"Ada Low": ("May 1", 2, "First part.\n\nMore of it.\n\nAn addition."), "Bo High": ("May 2", 1, "Mine.")}
-    assert [r["name"] for r in surveys.non_responders(names, got).collect()] == ["Cy Mid"]
+    doc = (
+        "Answers\r\nAda Low\r\nReceived May 1\r\nHello there,\r\nFirst part.\r\n\r\nMore of it.\r\nSincerely,\r\nAda\r\n-----\r\nSecond reply, received May 3\r\nAn addition.\r\nBo High\r\nreceived May 2\r\n"
+        "Thanks for your question about bears and how we live with them.\r\nMine.\r\nBo High\r\nCandidate, council\r\n(250) 555-0101\r\nSy Mid\r\nThird reply,  received June\r\nHi Lindsay thanks for asking, here is a long answer.\r\nAnd more."
+    )
+    names = spark.createDataFrame([("Ada Low",), ("Bo High",), ("Cy Mid",), ("Di Far",)], "name string")
+    aliases = spark.createDataFrame([("Sy Mid", "Cy Mid"), ("Bo High", "Di Far")], "alias string, name string")
+    got = surveys.replies(spark.createDataFrame([(1, doc)], "id int, doc string"), "id", "doc", names, aliases)
+    assert {r["name"]: (r["received"], r["replies"], r["answer"]) for r in got.collect()} == {
+        "Ada Low": ("May 1", 2, "First part.\n\nMore of it.\n\nAn addition."),
+        "Bo High": ("May 2", 1, "Thanks for your question about bears and how we live with them.\nMine."),
+        "Cy Mid": ("June", 1, "Hi Lindsay thanks for asking, here is a long answer.\nAnd more."),
+    }
+    assert [r["name"] for r in surveys.non_responders(names, got).collect()] == ["Di Far"]
+    said = ["received May 1", "Received  x", "fourth reply, received 2", "fifth reply, received 2", "received", "I received it", None]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in said], "x string").select(surveys.received_on(F.col("x"))).collect()] == ["May 1", "x", "2", None, None, None, None]
+    texts = spark.createDataFrame([("Q1?\nAda Low\n\nAll I say.\nTo you.\n", "Ada Low"), ("none", "Ada Low")], "t string, n string")
+    assert [r[0] for r in texts.select(surveys.after_name(F.col("t"), F.col("n"))).collect()] == ["All I say.\nTo you.", None]
 
 
 def test_html():
@@ -170,7 +182,15 @@ def test_html():
         "<p>Unclosed paragraph, long enough to be kept as a block of the page.<p>short<div role=banner><p>" + "banner " * 20 + "</div><a href='/p'>Plan <i>B</i></a></div><footer><p>" + "foot " * 20 + "</p></footer>"
     )
     assert title == "My page" and links == [("/p", "Plan B")]
-    assert blocks == ["Loose text that is long enough to be its own block in the page, yes.", "Unclosed paragraph, long enough to be kept as a block of the page."]
+    assert blocks == ["Unclosed paragraph, long enough to be kept as a block of the page.", "Loose text that is long enough to be its own block in the page, yes."]
+    long = "words of a block that is long enough to be kept, and then some more of them"
+    _, blocks, _ = web.parse_html(f"<body><p>Outside {long}</p><main><div>Loose {long}</div><h2>Head {long}</h2><p>Inside {long}</main><p>After {long}</body>")
+    assert blocks == [f"Head {long}", f"Inside {long}", f"Loose {long}"]
+    _, blocks, _ = web.parse_html(f"<div role=main><p>In {long}</div><p>Out {long}")
+    assert blocks == [f"In {long}"]
+    assert [web.is_boilerplate(x) for x in ("About us", "Aboutness", "©2026", "© 2026", "Read more: x", "follow METER", "")] == [True, False, True, False, True, False, False]
+    page = "<h1>Ann</h1><p>Before</p><h2>Candidate  State ment:</h2><p>First part.</p><ul><li>One</li><li><a href=/x>Only a link</a></li></ul><p>Last <b>pa</b>rt.</p>"
+    assert web.statement_text(page, "candidate statement") == ["First part.", "One", "Last part."] and web.statement_text(page, "nowhere") == []
 
 
 def test_weblog(spark):
