@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanlake.operators import minutes, surveys, web
 from spanlake.plans.records import _CAST, _VOTES, _cast, _votes
@@ -11,40 +11,83 @@ from spanlake.sources.readers import table
 
 
 def _minute_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """(meeting, pos, line): one document for each vote, with attendance, heading, motion, result and number."""
+    """(meeting, pos, line): one document of minutes for each municipality and year, with all its votes.
+
+    Written by fixed rules from a vote's place k in its meeting: every third is amended
+    first, every fourth has no number, every fifth is an adoption of minutes; titles wrap,
+    the first member is out of the room for even places, a spare number closes the document.
+    """
     roster = table(spark, sf, "rosters")
-    members = roster.groupBy("municipality").agg(F.array_sort(F.collect_list("surname")).alias("surnames"))
+    members = roster.groupBy("municipality").agg(F.array_sort(F.collect_set("surname")).alias("surnames"))
     against = _cast(spark, sf).where("decision = 'against'").join(roster.select("member_id", "surname"), "member_id").groupBy("vote_id").agg(F.array_sort(F.collect_set("surname")).alias("opposed"))
-    v = _votes(spark, sf).join(members, "municipality").join(against, "vote_id", "left")
-    opposed = F.when(F.size("opposed") > 0, F.array(F.concat(F.array_join(F.transform("opposed", lambda s: F.concat(F.lit("Councillor "), s)), ", "), F.lit(" opposed.")))).otherwise(F.array().cast("array<string>"))
-    result = F.when(F.lower("outcome") == "carried", "CARRIED").when(F.lower("outcome") == "defeated", "DEFEATED").otherwise("CARRIED UNANIMOUSLY")
-    lines = F.concat(
-        F.array(F.lit("PRESENT:")), F.transform("surnames", lambda s: F.concat(F.lit("Councillor A. "), s)),
-        F.array(F.lit("The meeting was called to order at 6 pm."), F.lit("NEW BUSINESS"), F.concat(F.lit("1. "), F.col("title"), F.lit(" – File: 01-02")), F.lit("Moved by Councillor A, seconded by Councillor B"), F.col("resolution_text"), F.lit("and that it be reported-"), F.lit("back."), result),
-        opposed, F.array(F.lit("R2024-01-02/3")),
+    v = _votes(spark, sf).join(members, "municipality").join(against, "vote_id", "left").withColumn("meeting", F.concat_ws("|", "municipality", F.date_format("meeting_date", "yyyy")))
+    v = v.withColumn("k", F.row_number().over(Window.partitionBy("meeting").orderBy("vote_id")))
+    day, first = F.date_format("meeting_date", "yyyy-01-02"), F.element_at("surnames", 1)
+    some = lambda condition, *xs: F.when(condition, F.array(*xs)).otherwise(F.array().cast("array<string>"))
+    opposed = some(F.size("opposed") > 0, F.concat(F.array_join(F.transform("opposed", lambda s: F.concat(F.lit("Councillor "), s)), ", "), F.lit(" opposed.")))
+    result = F.when(F.lower("outcome") == "carried", "CARRIED").when(F.lower("outcome") == "defeated", "(DEFEATED)").otherwise("Main motion, as put, CARRIED UNANIMOUSLY.")
+    item = F.concat(
+        some(F.col("k") % 2 == 0, F.concat(F.lit("Councillor "), first, F.lit(" left the meeting at 7 pm."))),
+        F.array(F.concat(F.col("k"), F.lit(". "), F.coalesce("title", F.lit("Untitled"))), F.lit("and its surroundings – File: 01-02"), F.lit("Report: Clerk"), F.lit("Moved by Councillor A, seconded by Councillor B")),
+        F.array(F.concat(F.when(F.col("k") % 5 == 0, "THAT the Council Meeting Minutes stand: ").otherwise("THAT "), F.coalesce("resolution_text", F.lit("it be so"))), F.lit("and that it be reported-"), F.lit("back.")),
+        some(F.col("k") % 3 == 0, F.lit("Moved by Councillor C"), F.lit("Amendment CARRIED")), F.array(result), opposed, some(F.col("k") % 4 != 0, F.concat(F.lit("R"), day, F.lit("/"), F.col("k"))),
+        some(F.col("k") % 2 == 0, F.concat(F.lit("Councillor "), first, F.lit(" returned to the meeting at 8 pm."))),
     )
-    return v.select(F.col("vote_id").alias("meeting"), F.posexplode(lines).alias("pos", "line"))
+    items = v.select("meeting", F.posexplode(item).alias("i", "line"), F.col("k")).select("meeting", (F.col("k") * 100 + F.col("i")).alias("pos"), "line")
+    meetings = v.groupBy("meeting").agg(F.first("surnames").alias("surnames"), F.max("k").alias("n"), F.first(day).alias("day"))
+    top = F.concat(F.array(F.lit("Document Number: 7"), F.lit("PRESENT:")), F.transform("surnames", lambda s: F.concat(F.lit("Councillor A. "), s)), F.array(F.lit("The meeting was called to order at 6 pm."), F.lit("NEW BUSINESS")))
+    heads = meetings.select("meeting", F.posexplode(top).alias("pos", "line"))
+    tails = meetings.select("meeting", (F.col("n") + 1).alias("k"), F.posexplode(F.array(F.lit("INQUIRIES"), F.concat(F.lit("R"), "day", F.lit("/999")))).alias("i", "line")).select("meeting", (F.col("k") * 100 + F.col("i")).alias("pos"), "line")
+    return heads.unionByName(items).unionByName(tails)
+
+
+_MINUTES = f"""
+v AS ({_VOTES}), a AS (SELECT vote_id, count(DISTINCT surname) AS n FROM ({_CAST}) JOIN rosters USING (member_id) WHERE decision = 'against' GROUP BY 1),
+k AS (SELECT v.*, municipality || '|' || strftime(meeting_date, '%Y') AS meeting, row_number() OVER (PARTITION BY municipality, year(meeting_date) ORDER BY vote_id) AS k, coalesce(a.n, 0)::INT AS opposed
+  FROM v LEFT JOIN a USING (vote_id) WHERE municipality IN (SELECT municipality FROM rosters)),
+m AS (SELECT *, CASE WHEN k % 4 <> 0 THEN 'R' || strftime(meeting_date, '%Y-01-02') || '/' || k END AS number, coalesce(title, 'Untitled') || ' and its surroundings' AS shown,
+  CASE WHEN k % 4 = 0 OR k % 5 = 0 THEN 'procedural' ELSE 'resolution' END AS route FROM k)"""
 
 
 @query(f"""
-WITH v AS ({_VOTES}), a AS (SELECT vote_id, count(DISTINCT surname) AS n FROM ({_CAST}) JOIN rosters USING (member_id) WHERE decision = 'against' GROUP BY 1)
-SELECT v.vote_id AS meeting, 'New Business' AS section, title, CASE lower(outcome) WHEN 'carried' THEN 'CARRIED' WHEN 'defeated' THEN 'DEFEATED' ELSE 'CARRIED UNANIMOUSLY' END AS result,
-       coalesce(n, 0)::INT AS opposed, resolution_text || ' and that it be reported-back.' AS body FROM v LEFT JOIN a USING (vote_id) WHERE municipality IN (SELECT municipality FROM rosters)""")
+WITH {_MINUTES}
+SELECT meeting, k::INT AS motion, 'New Business' AS section, shown AS title, number, CASE lower(outcome) WHEN 'carried' THEN 'CARRIED' WHEN 'defeated' THEN 'DEFEATED' ELSE 'CARRIED UNANIMOUSLY' END AS result,
+  opposed, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS results, route = 'procedural' AS procedural,
+  CASE WHEN k % 5 = 0 THEN 'THAT the Council Meeting Minutes stand: ' ELSE 'THAT ' END || coalesce(resolution_text, 'it be so') || ' and that it be reported-back.' || CASE WHEN k % 3 = 0 THEN ' Moved by Councillor C' ELSE '' END AS body FROM m""")
 def ext14_minutes(spark: SparkSession, sf: str) -> DataFrame:
-    """Motions read back from minutes."""
-    return minutes.motions(_minute_lines(spark, sf)).select("meeting", "section", "title", "result", F.size("opposed").alias("opposed"), "body")
+    """Motions read back from minutes of several items each."""
+    out = minutes.motions(_minute_lines(spark, sf))
+    return out.select("meeting", F.col("motion").cast("int").alias("motion"), "section", "title", "number", "result", F.size("opposed").alias("opposed"), "results", "procedural", "body")
+
+
+@query(f"WITH {_MINUTES} SELECT meeting, number, shown AS title, route FROM m UNION ALL SELECT DISTINCT meeting, 'R' || strftime(meeting_date, '%Y-01-02') || '/999', 'Numbered item with no separate public vote', 'unclaimed' FROM m")
+def flt16_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each motion, and each number without one, goes."""
+    return minutes.routed(_minute_lines(spark, sf))
 
 
 @query(f"""
-WITH v AS ({_VOTES}) SELECT v.vote_id AS meeting, count(DISTINCT surname)::BIGINT AS present FROM v JOIN rosters r USING (municipality) GROUP BY 1""")
+WITH {_MINUTES}, o AS (SELECT DISTINCT vote_id, surname FROM ({_CAST}) JOIN rosters USING (member_id) WHERE decision = 'against'),
+f AS (SELECT municipality, min(surname) AS surname FROM rosters GROUP BY 1)
+SELECT m.meeting, m.k::INT AS motion, r.member_id, CASE WHEN o.surname IS NOT NULL THEN 'against' WHEN m.k % 2 = 0 AND m.k % 4 <> 0 AND r.surname = f.surname THEN 'absent' ELSE 'for' END AS decision
+FROM m JOIN rosters r USING (municipality) JOIN f USING (municipality) LEFT JOIN o ON o.vote_id = m.vote_id AND o.surname = r.surname""")
+def win10_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """A decision for every member and motion: named as opposed, in the room, or out of it (back before the end of a motion without number)."""
+    lines = _minute_lines(spark, sf)
+    meetings = lines.select("meeting", F.substring_index("meeting", "|", 1).alias("municipality")).distinct()
+    members = table(spark, sf, "rosters").join(meetings, "municipality").select("meeting", "surname", "member_id")
+    return minutes.decisions(lines, members).select("meeting", F.col("motion").cast("int").alias("motion"), "member_id", "decision")
+
+
+@query(f"WITH {_MINUTES} SELECT m.meeting, count(DISTINCT surname)::BIGINT AS present FROM m JOIN rosters r USING (municipality) GROUP BY 1")
 def ext13_attendance(spark: SparkSession, sf: str) -> DataFrame:
     return minutes.attendance(_minute_lines(spark, sf)).where("present").groupBy("meeting").agg(F.count("*").alias("present"))
 
 
-@query(f"SELECT vote_id || '/R2024-01-02/3' AS number FROM ({_VOTES}) WHERE municipality IN (SELECT municipality FROM rosters) AND false")
+@query(f"WITH {_MINUTES} SELECT DISTINCT meeting, 'R' || strftime(meeting_date, '%Y-01-02') || '/999' AS number FROM m")
 def jon13_unclaimed_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every number belongs to a motion."""
-    return minutes.unclaimed_numbers(_minute_lines(spark, sf)).select(F.concat_ws("/", "meeting", "number").alias("number"))
+    """Numbers that belong to no motion."""
+    return minutes.unclaimed_numbers(_minute_lines(spark, sf))
 
 
 @query("""

@@ -148,7 +148,7 @@ def test_minutes(spark):
     assert set(got) == {"R2024-01-02/1", "R2024-01-02/2"}
     one = got["R2024-01-02/1"]
     assert (one["section"], one["title"], one["result"], one["opposed"], one["results"]) == ("New Business", "Sea wall", "CARRIED UNANIMOUSLY", ["Hill"], 2)
-    assert one["body"] == "THAT the wall be re-built soon\nAND THAT it be tall"
+    assert one["body"] == "THAT the wall be re-built soon\nAND THAT it be tall Moved by Hill"
     cast = {(r["motion"], r["member_id"]): r["decision"] for r in minutes.decisions(lines, members).collect()}
     assert cast == {(1, "s"): "for", (1, "r"): "for", (1, "h"): "against", (1, "m"): "absent", (2, "s"): "against", (2, "r"): "absent", (2, "h"): "against", (2, "m"): "absent"}
     flagged = {r["motion"]: r["flags"] for r in minutes.consistency(votes, minutes.decisions(lines, members), members).collect()}
@@ -156,6 +156,87 @@ def test_minutes(spark):
     assert [r["number"] for r in minutes.unclaimed_numbers(lines).collect()] == ["R2024-01-02/9"]
 
 
+HARD = """Document Number: 12
+PRESENT
+Mayor A. Stone Director P. Quill
+Councillor B. Reed (joined at 6:05 pm)
+ABSENT:
+Councillor C. D. Hill*
+Councillor E. Vole
+CALL TO ORDER
+NEW BUSINESS
+3. A long title that wraps
+over two lines – File: 01-02
+Re: Part one of
+the long title
+Report: Clerk
+Moved by Councillor Reed, seconded by Mayor Stone
+PURSUANT to the report:
+1. Item one be done
+2. Item two be put off un-
+til May
+Continued…
+3. A long title that wraps
+– Continued
+Councillor Stone declared a conflict of interest.
+Main motion, as amended, (CARRIED).
+R2024-03-04/1
+4. Minutes
+Moved by Councillor Reed
+THAT the Council Meeting Minutes be adopted
+CARRIED UNANIMOUSLY
+R2024-03-04/2
+Moved by Councillor Reed
+THAT no number follow
+DEFEATED
+Mayor Stone and Councillor B. Reed opposed.
+5. Next heading
+Moved by Reed
+THAT items in Closed Session be released
+(CARRIED UNANIMOUSLY BY CONSENT)
+R2024-03-04/3
+Councillor Reed left the meeting at 8 and returned at 9.
+6. Without a result
+Moved by Reed
+THAT nothing come of it
+R2024-03-04/4
+PUBLIC CLARIFICATION
+Moved by Reed
+THAT the ferry run
+Councillor Reed left the meeting at 9:30 pm.
+CARRIED
+R2024-03-04/5
+Moved by Stone
+THAT the meeting adjourn
+CARRIED UNANIMOUSLY
+R2024-03-04/6
+R2024-03-04/7"""
+
+
+def test_hard_minutes(spark):
+    lines = spark.createDataFrame([("m", i, x) for i, x in enumerate(HARD.split("\n"))] + [("n", 0, "Nothing here")], "meeting string, pos int, line string")
+    members = spark.createDataFrame([("Stone", "s"), ("Reed", "r"), ("Hill", "h")], "surname string, member_id string")
+    votes = minutes.motions(lines)
+    got = {r["motion"]: r for r in votes.collect()}
+    assert [(got[k]["number"], got[k]["title"], got[k]["result"], got[k]["procedural"]) for k in sorted(got)] == [
+        ("R2024-03-04/1", "Part one of the long title", "CARRIED", False), ("R2024-03-04/2", "Minutes", "CARRIED UNANIMOUSLY", True), (None, "Minutes", "DEFEATED", True),
+        ("R2024-03-04/3", "Ratify items from the closed session (wording kept closed)", "CARRIED UNANIMOUSLY BY CONSENT", True), ("R2024-03-04/4", "Without a result", None, True),
+        ("R2024-03-04/5", "Without a result", "CARRIED", False), ("R2024-03-04/6", "Adjourn the meeting", "CARRIED UNANIMOUSLY", True),
+    ]
+    assert got[1]["body"] == "PURSUANT to the report:\n1. Item one be done\n2. Item two be put off un-til May" and got[1]["votes"][0]["prefix"] == "Main motion, as amended"
+    assert got[1]["notes"] == ["conflict mentioned: Councillor Stone declared a conflict of interest."] and got[3]["opposed"] == ["Stone", "Reed"]
+    assert got[1]["section"] == "New Business" and got[6]["section"] == "Public Clarification" and got[6]["notes"] == ["attendance changed: Councillor Reed left the meeting at 9:30 pm."]
+    cast = {(r["motion"], r["member_id"]): r["decision"] for r in minutes.decisions(lines, members).collect()}
+    assert [cast[k, "r"] for k in (1, 2, 3, 4, 6, 7)] == ["for", "for", "against", "for", "absent", "absent"] and {cast[k, "h"] for k in (1, 2, 3)} == {"absent"}
+    assert {r["surname"]: (r["present"], r["note"]) for r in minutes.attendance(lines).collect()} == {"Stone": (True, None), "Reed": (True, "Councillor B. Reed (joined at 6:05 pm)"), "Hill": (False, None), "Vole": (False, None)}
+    assert sorted(map(tuple, minutes.problems(lines, members).collect())) == [("m", "not a member: Vole"), ("n", "no list of those present")]
+    assert {r["route"]: 1 for r in minutes.routed(lines).collect()}.keys() == {"resolution", "procedural", "unclaimed"}
+    assert [r["number"] for r in minutes.unclaimed_numbers(lines).collect()] == ["R2024-03-04/7"]
+    many = spark.createDataFrame([(f"S{i}", f"m{i}") for i in range(1500)] + [("Stone", "s")], "surname string, member_id string")
+    assert minutes.decisions(lines, many).where("decision = 'for'").count() == 5
+    assert minutes.motions(lines.limit(0)).count() == minutes.routed(lines.limit(0)).count() == 0
+
+
 def test_replies(spark):
     doc = (
         "Answers\r\nAda Low\r\nReceived May 1\r\nHello there,\r\nFirst part.\r\n\r\nMore of it.\r\nSincerely,\r\nAda\r\n-----\r\nSecond reply, received May 3\r\nAn addition.\r\nBo High\r\nreceived May 2\r\n"
