@@ -252,10 +252,11 @@ def agg02_report(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("municipality").agg(F.count("*").alias("people"), F.count_if("incumbent").alias("incumbents"), F.count("website").alias("with_site"), F.coalesce(F.sum(F.greatest(F.size("nomination_docs"), F.lit(0))), F.lit(0)).alias("documents"))
 
 
-@query("SELECT municipality, count(*) FILTER (WHERE office = 'mayor') AS mayors FROM rosters GROUP BY 1 HAVING count(*) FILTER (WHERE office = 'mayor') <> 1")
+@query("SELECT municipality, count(*) FILTER (WHERE office = 'mayor') AS mayors, count(*) FILTER (WHERE office = 'council') AS seats FROM rosters GROUP BY 1 HAVING count(*) FILTER (WHERE office = 'mayor') <> 1 OR count(*) FILTER (WHERE office = 'council') <> 5")
 def agg12_seats(spark: SparkSession, sf: str) -> DataFrame:
-    """Municipalities whose seat count is not met."""
-    return table(spark, sf, "rosters").groupBy("municipality").agg(F.count_if(F.col("office") == "mayor").alias("mayors")).where("mayors <> 1")
+    """Municipalities without one mayor and five seats of council."""
+    counts = table(spark, sf, "rosters").groupBy("municipality").agg(F.count_if(F.col("office") == "mayor").alias("mayors"), F.count_if(F.col("office") == "council").alias("seats"))
+    return counts.where("mayors <> 1 or seats <> 5")
 
 
 @query(f"""
@@ -298,10 +299,10 @@ def dq03_unverified(spark: SparkSession, sf: str) -> DataFrame:
     return checks.unverified_spans(spans, docs, "source_id").select("position_id", "reason").distinct()
 
 
-@query("""SELECT owner_id FROM (SELECT DISTINCT owner_id FROM source_docs WHERE owner_id IS NOT NULL) s WHERE owner_id NOT IN (SELECT owner_id FROM positions WHERE owner_id IS NOT NULL)""")
+@query("""SELECT owner_id FROM (SELECT DISTINCT owner_id FROM source_docs WHERE owner_id IS NOT NULL) s WHERE owner_id NOT IN (SELECT owner_id FROM positions WHERE owner_id IS NOT NULL AND category = 'homes')""")
 def dq04_untagged(spark: SparkSession, sf: str) -> DataFrame:
-    """Owners with sources and no passage."""
-    return records.unknown_keys(table(spark, sf, "source_docs"), table(spark, sf, "positions").where("owner_id is not null").select("owner_id").distinct(), "owner_id")
+    """Owners with sources and no passage on homes."""
+    return records.unknown_keys(table(spark, sf, "source_docs"), table(spark, sf, "positions").where("owner_id is not null and category = 'homes'").select("owner_id").distinct(), "owner_id")
 
 
 @query("SELECT decision, count(*) AS n FROM ballots WHERE decision NOT IN ('for', 'against', 'absent', 'n/a') GROUP BY 1")
@@ -309,10 +310,11 @@ def dq10_unknown_decision(spark: SparkSession, sf: str) -> DataFrame:
     return checks.unknown_values(table(spark, sf, "ballots"), "decision", ["for", "against", "absent", "n/a"])
 
 
-@query("SELECT owner_id FROM (SELECT DISTINCT owner_id FROM source_docs WHERE owner_id IS NOT NULL) EXCEPT SELECT candidate_id FROM candidates")
+@query("SELECT owner_id FROM source_docs WHERE owner_id IS NOT NULL EXCEPT SELECT member_id FROM rosters")
 def set03_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Owners of sources who are no members."""
     docs = table(spark, sf, "source_docs").where("owner_id is not null").select("owner_id")
-    return docs.subtract(table(spark, sf, "candidates").select(F.col("candidate_id").alias("owner_id")))
+    return docs.subtract(table(spark, sf, "rosters").select(F.col("member_id").alias("owner_id")))
 
 
 @query("SELECT 'person' AS kind, municipality, candidate_id AS id FROM candidates UNION ALL SELECT 'member', municipality, member_id FROM rosters")

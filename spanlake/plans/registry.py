@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from spanlake.plans import composite, records, roundtrip, spans, text, weblog  # noqa: F401
+    from spanlake.plans import composite, records, reviews, roundtrip, spans, text, weblog  # noqa: F401
 
 
 _load()

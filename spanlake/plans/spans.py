@@ -219,9 +219,18 @@ def str12_opening(spark: SparkSession, sf: str) -> DataFrame:
     return _positions(spark, sf, "quote").select("position_id", opening(F.col("quote")).alias("opening")).distinct()
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT DISTINCT position_id, owner_id, category, source_type, quote FROM positions WHERE kind = 'position' AND owner_id IS NOT NULL),
+n AS (SELECT *, {_NORM.format('quote')} AS n, list_distinct(regexp_extract_all(lower(quote), '[a-z'']+')) AS w FROM p),
+t AS (SELECT owner_id, n, count(DISTINCT category) AS spread FROM n GROUP BY 1, 2),
+x AS (SELECT n.*, spread, CASE WHEN source_type = 'official_statement' THEN 0 ELSE 1 END AS o FROM n JOIN t ON t.owner_id = n.owner_id AND t.n = n.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner_id, category ORDER BY spread, o, -length(quote), position_id) AS k FROM x),
+b AS (SELECT owner_id, category, n AS bn, w AS bw FROM r WHERE k = 1),
+l AS (SELECT r.* FROM r JOIN b USING (owner_id, category) WHERE k > 1 AND r.n <> bn AND substring(r.n, 1, 60) <> substring(bn, 1, 60) AND NOT (len(w) > 0 AND len(bw) > 0 AND len(list_intersect(w, bw)) > 0.7 * least(len(w), len(bw)))),
+s AS (SELECT *, row_number() OVER (PARTITION BY owner_id, category ORDER BY spread, o, -length(quote), position_id) AS m FROM l)
+SELECT owner_id, category, position_id, 0 AS kept_no FROM r WHERE k = 1 UNION ALL SELECT owner_id, category, position_id, 1 FROM s WHERE m = 1""")
 def win05_prune(spark: SparkSession, sf: str) -> DataFrame:
-    """The two best passages per owner and category without overlaps; checked against a plain model in the tests."""
+    """The two best passages per owner and category without overlaps; the tests hold it against a plain model as well."""
     rows = _positions(spark, sf, "owner_id", "kind", "category", "quote", "source_type").where("owner_id is not null and kind = 'position'").distinct()
     return dedupe.pruned(rows, "owner_id", "category", "quote", F.col("source_type") == "official_statement", "position_id")
 

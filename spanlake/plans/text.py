@@ -227,7 +227,7 @@ def srt09_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     return people.select("municipality", F.posexplode(ordering.seeded_shuffle(F.col("ids"), 20261017)).alias("place", "candidate_id"))
 
 
-@query()
+@query("SELECT candidate_id, regexp_replace(lower(strip_accents(full_name)), '[^a-z]', '', 'g') AS letters FROM candidates")
 def str20_letters(spark: SparkSession, sf: str) -> DataFrame:
     """Names reduced to plain letters, by a vectorised function (accents and marks go)."""
     import unicodedata

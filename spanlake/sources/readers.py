@@ -41,12 +41,14 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataF
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def yaml_dimension(spark: SparkSession, path: str, schema: str, key: str = "entries", most: int = 100_000) -> DataFrame:
-    """A small hand-kept YAML list (or mapping with the list under key) as a table."""
+def yaml_dimension(spark: SparkSession, path: str, schema: str, key: str = "entries", most: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """A small hand-kept YAML list (or mapping with the list under key), in any file system that Spark reads, as a table."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        data = yaml.safe_load(f) or []
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getLen() > most_bytes:
+        raise ValueError("a YAML dimension is a short list")
+    data = yaml.safe_load(whole_texts(spark, path).first()["text"]) or []
     rows = data.get(key, []) if isinstance(data, dict) else data
     if len(rows) > most:
         raise ValueError("a YAML dimension is a short list")

@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanlake.operators import checks, dedupe, minutes, ordering, records, spans, surveys, tagging, web, weblog
+from spanlake.functions import urls
+from spanlake.operators import checks, dedupe, joins, minutes, ordering, records, reviews, spans, surveys, tagging, web, weblog
 
 
 def test_runs_and_span_checks(spark):
@@ -301,3 +302,47 @@ def test_rich_text_has_no_depth(spark):
     assert web.marks_of(trees, "link") == [("deep", {"href": "x"})] * 6
     nested = '{"content": [' * 100_000 + '{"type": "text", "text": "a\\"]}"}' + "]}" * 100_000
     assert web.node_text(web._parsed(nested)) == 'a"]}'
+
+
+def test_other_voices_and_exclusions(spark):
+    rows = [
+        ("“Ada Low has heart.”", True), ("I've known Ada Low for years", True), ("I have met people; Ada’s leadership counts", True), ("I have met people", False), ("“We act.” Ada said", False), ('"My name is Ada and Ada Low is who I am"', False),
+        ("Ada Low has a plan", False), (None, False), ("", False), ("I have knownAda Low", False),
+    ]
+    df = spark.createDataFrame([(q,) for q, _ in rows], "q string").withColumn("n", F.lit("Ada Low"))
+    assert [r[0] for r in df.select(reviews.other_voice(F.col("q"), F.col("n"))).collect()] == [w for _, w in rows]
+    p = spark.createDataFrame([("a", "One  two three"), ("a", "Four"), ("b", "One two"), (None, "One two"), ("a", None)], "owner string, q string")
+    x = spark.createDataFrame([("a", "One two"), ("a", "One"), ("b", "Two"), ("c", "x"), ("a", "")], "owner string, starts_with string")
+    got = {(r["owner"], r["q"]): r["excluded_by"] for r in reviews.excluded(p, x, "owner", "q").collect()}
+    assert got == {("a", "One  two three"): "One two", ("a", "Four"): None, ("b", "One two"): None, (None, "One two"): None, ("a", None): None}
+    assert {tuple(r) for r in reviews.stale(p, x.where("starts_with <> ''"), "owner", "q").collect()} == {("b", "Two"), ("c", "x")}
+    assert reviews.excluded(p.limit(0), x, "owner", "q").count() == 0 and reviews.excluded(p, x.limit(0), "owner", "q").where("excluded_by is not null").count() == 0
+
+
+def test_small_sides_are_bounded_by_bytes(spark):
+    few = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "k int, t string")
+    assert joins.fits(few) and not joins.fits(few, most_rows=49) and not joins.fits(few, most_bytes=40_000)
+    wide = few.select("k", F.array_repeat("t", 20).alias("a"))
+    assert not joins.fits(wide, most_bytes=500_000) and joins.fits(wide, most_bytes=2_000_000)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(joins.join_small(few, few, ["k"])) and "Broadcast" not in plan(joins.join_small(few, few, ["k"], most_bytes=10)) + plan(joins.join_large(few, few, "k"))
+    assert joins.fits(few.limit(0))
+
+
+def test_redirects_of_any_depth(spark):
+    import urllib.parse
+
+    url = "https://X.example/a?fbclid=1&b=2"
+    rows = []
+    for _ in range(9):
+        rows.append((url,))
+        url = "https://go.example/l.php?h=1&u=" + urllib.parse.quote(url, safe="")
+    rows += [("https://go.example/l.php?u=",), ("https://a.example/?q=l.php",), (None,), ("",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "u string").select(urls.unwrapped(F.col("u"))).collect()]
+    assert got == ["https://x.example/a?b=2"] * 9 + ["https://go.example/l.php?u=", "https://a.example/?q=l.php", None, ""]
+
+
+def test_free_slots_are_filled(spark):
+    best = spark.createDataFrame([("s", "p1", 1), ("s", "p2", 2), ("t", "q", 1)], "site string, page string, rank int")
+    more = spark.createDataFrame([("s", "p2", 1), ("s", "p3", 2), ("s", "p4", 3), ("u", "z", 1)], "site string, page string, rank int")
+    assert sorted(map(tuple, web.filled(best, more, "site", "page", "rank", 3).collect())) == [("s", "p1", 1), ("s", "p2", 2), ("s", "p3", 3), ("t", "q", 1), ("u", "z", 1)]
