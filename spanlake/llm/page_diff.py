@@ -84,12 +84,15 @@ def _lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def shared_lines(a: list[str], b: list[str], rounds: int = 3) -> tuple[list[int], list[int]]:
-    """Indices of lines of a and of b that repeated alignment pairs up."""
-    left, right = list(range(len(a))), list(range(len(b)))
+def shared_lines(a: list[str], b: list[str], rounds: int = 3, in_a_at_all: frozenset[str] | None = None, in_b_at_all: frozenset[str] | None = None) -> tuple[list[int], list[int]]:
+    """Indices of lines of a and of b that repeated alignment pairs up; the sets of either's lines may be given."""
+    of_a, of_b = in_a_at_all or frozenset(a), in_b_at_all or frozenset(b)
+    left, right = [i for i, k in enumerate(a) if k in of_b], [j for j, k in enumerate(b) if k in of_a]
     in_a: list[int] = []
     in_b: list[int] = []
     for _ in range(rounds):
+        if not left or not right:
+            break
         pairs = _lcs([a[i] for i in left], [b[j] for j in right])
         if not pairs:
             break
@@ -141,6 +144,7 @@ class Aligned:
         order = [i for i in range(len(pages)) if not i or pages[i][1] != pages[i - 1][1]]  # one capture stands for its path
         slot = {pages[i][1]: s for s, i in enumerate(order)}
         long_keys = [_long_keys(p[3]) for p in pages]
+        held = [frozenset(p[3]) for p in pages]
         self.own = [i for i in range(len(pages)) if mine[i]]
         self.complete = True
         self.shared: dict[int, set[int]] = {}
@@ -176,7 +180,7 @@ class Aligned:
                 back = not back
             counts: Counter = Counter()
             for j in near:
-                counts.update(set(shared_lines(pages[i][3], pages[j][3])[0]))
+                counts.update(set(shared_lines(pages[i][3], pages[j][3], 3, held[i], held[j])[0]))
             need = votes if len(near) > 4 else 1
             self.shared[i] = {x for x, n in counts.items() if n >= need}
             # a post that other pages list as well is still a title, not furniture of the whole host
@@ -245,9 +249,15 @@ def furniture(ids: list, paths: list[str], texts: list[str], neighbours: int = 1
     return out
 
 
-def _look(key: str, host: str) -> bytes:
-    """What a line is looked up by on other hosts."""
-    return hashlib.blake2b(site_key(key, host).encode("utf-8", "replace"), digest_size=16).digest()
+def _looks(keys: list[str], host: str) -> list[bytes]:
+    """What each line is looked up by on other hosts."""
+    known: dict[str, bytes] = {}
+    grams = {x for i in range(len(host) - 4) if (x := host[i : i + 5]).isalpha()}  # a word of five letters or more in the name holds one
+    for k in keys:
+        if k not in known:
+            own = site_key(k, host) if any(g in k for g in grams) else k
+            known[k] = hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=16).digest()
+    return [known[k] for k in keys]
 
 
 def _ranges(large: DataFrame, block_pages: int) -> DataFrame:
@@ -350,9 +360,9 @@ def _large_hosts(large: DataFrame, block_pages: int, neighbours: int, votes: int
                 rows += [(None, None, None, 4, k, yes, of, None) for k, (yes, of) in found.headings().items()]
                 for i in found.own:
                     r, _, numbers, keys = found.pages[i]
-                    below, cut = found.below(i), found.ending(i)
+                    below, cut, looks = found.below(i), found.ending(i), _looks(keys, host)
                     for x, n in enumerate(numbers):
-                        rows.append((r, n, _look(keys[x], host), int(x in found.shared[i]), cut if x == len(keys) - 1 else None, None, None, below.get(x)))
+                        rows.append((r, n, looks[x], int(x in found.shared[i]), cut if x == len(keys) - 1 else None, None, None, below.get(x)))
             cols = list(zip(*rows)) or [()] * 8
             types = (pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             look, verdict, name, yes, of, heads = (pa.array(c, t) for c, t in zip(cols[2:], types))
@@ -401,7 +411,7 @@ def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, block_pa
         return pa.table({
             "id": ids.take(pa.array([f[0] for f in found], pa.int64())).combine_chunks(),
             "line_no": pa.array([f[1] for f in found], pa.int32()),
-            "look": pa.array([_look(f[2], host) for f in found], pa.binary()),
+            "look": pa.array(_looks([f[2] for f in found], host), pa.binary()),
             "verdict": pa.array([f[3] for f in found], pa.int32()),
             "host": pa.array([host] * len(found), pa.string()),
         })
