@@ -15,7 +15,10 @@ ASSETS = (".css", ".js", ".woff2", ".jpg", ".png", ".svg", ".ico", ".xml", ".txt
 
 def is_bot(agent: Column, bots: tuple[str, ...] = BOTS) -> Column:
     """A machine by a piece of its name, or an agent that is a bare browser version and ``(compatible)``."""
-    low = F.lower(F.coalesce(agent, F.lit("")))
+    return _is_machine(F.lower(F.coalesce(agent, F.lit(""))), bots)
+
+
+def _is_machine(low: Column, bots: tuple[str, ...] = BOTS) -> Column:
     begin, end = "mozilla/", " (compatible)"
     bare = F.rtrim(low)
     version = F.substring(bare, F.lit(len(begin) + 1), F.length(bare) - len(begin) - len(end))
@@ -46,9 +49,11 @@ def requests(lines: DataFrame, line_col: str = "value", message: str = "handled
     agent = F.array_join(headers["User-Agent"], " ")
     referrer = F.coalesce(F.get(headers["Referer"], F.lit(0)), F.lit(""))
     uri = F.col("request.uri")
+    # the agent is compared with many pieces: lower-cased once, for the same reason
+    parsed = parsed.select("*", F.explode(F.array(F.lower(F.coalesce(agent, F.lit(""))))).alias("low"))
     slim = parsed.select(
         "ts", "status", uri.alias("uri"), F.substring_index(uri, "?", 1).alias("page"), agent.alias("agent"), network(F.coalesce("request.client_ip", F.lit(""))).alias("net"),
-        F.coalesce(F.get(F.split(referrer, "/"), F.lit(2)), F.lit("")).alias("referrer_host"), is_bot(agent).alias("bot"), is_asset(uri).alias("asset"),
+        F.coalesce(F.get(F.split(referrer, "/"), F.lit(2)), F.lit("")).alias("referrer_host"), _is_machine(F.col("low")).alias("bot"), is_asset(uri).alias("asset"),
     )
     timed = slim.select("*", F.explode(F.array(mixed_instant(F.col("ts")))).alias("at")).where("at is not null")
     return timed.select("at", local_day(F.col("at")).alias("day"), "status", "uri", "page", "agent", "net", "referrer_host", "bot", "asset")
