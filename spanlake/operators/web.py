@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanlake.functions.urls import link_score, page_key, same_host, skipped_link
+from spanlake.functions.urls import depth, link_score, page_key, same_host, skipped_link
 
 # Element names by their part in a page.
 CHROME = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg", "template", "button", "select"}
@@ -40,6 +40,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[bool, bool, str]] = []  # inside the main element, of a text element, text
         self.links: list[tuple[str, str]] = []
+        self.events: list[tuple[str, str, str]] = []  # in order: block element and text, or a, label and address
         self.title = ""
         self._open: list[tuple[str, bool]] = []  # tag, does it begin chrome
         self._hidden = 0
@@ -57,6 +58,7 @@ class _Blocks(HTMLParser):
         if text:
             inner = next((t for t, _ in reversed(self._open) if t in BLOCK), "")
             self.blocks.append((self._main > 0, inner in TAGGED, text))
+            self.events.append((inner, text, ""))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         named = dict(attrs)
@@ -105,6 +107,7 @@ class _Blocks(HTMLParser):
             self._in_title = False
         if tag == "a" and self._href:
             self.links.append((self._href[0], " ".join("".join(self._label).split())))
+            self.events.append(("a", self.links[-1][1], self._href[0]))
             self._href = []
         if any(t == tag for t, _ in self._open):
             self._close(tag)
@@ -179,6 +182,67 @@ def statements(df: DataFrame, id_col: str, html_col: str, marker: str) -> DataFr
     return slim.mapInArrow(run, f"_id {kind}, pos int, block string").withColumnRenamed("_id", id_col)
 
 
+def page_events(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id_col, pos, tag, text, href): blocks with their element, and links, in the order in which they end; null pages give no rows."""
+    slim = df.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).where(F.col("_html").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, html in enumerate(batch.column(1).to_pylist()):
+                parser = _Blocks()
+                parser.feed(html)
+                parser.close()
+                rows += [(i, k, *e) for k, e in enumerate(parser.events)]
+            at, pos, tag, text, href = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *(pa.array(c, pa.string()) for c in (tag, text, href))], ["_id", "pos", "tag", "text", "href"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return slim.mapInArrow(run, f"_id {kind}, pos int, tag string, text string, href string").withColumnRenamed("_id", id_col)
+
+
+def profiles(events: DataFrame, id_col: str, group_tag: str = "h2", person_tag: str = "h3", documents: tuple[str, ...] = (".pdf", ".docx")) -> DataFrame:
+    """(id_col, person, group_name, name, email, phone, links, documents, statement): one row per person heading of a page.
+
+    The group (an office) is carried forward from the last heading of its kind.  The
+    statement is the person's blocks before the first link or further heading; links
+    give contacts: mailto and tel addresses, documents by their ending, all others.
+    """
+    by = Window.partitionBy(id_col).orderBy("pos")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("group_name", F.last(F.when(F.col("tag") == group_tag, F.col("text")), ignorenulls=True).over(upto))
+    head = F.col("tag").isin(person_tag, group_tag)
+    rows = rows.withColumn("person", F.sum((F.col("tag") == person_tag).cast("int")).over(upto)).withColumn("section", F.sum(head.cast("int")).over(upto))
+    mine = F.first(F.col("tag")).over(Window.partitionBy(id_col, "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) == person_tag
+    rows = rows.withColumn("mine", mine).where("mine and person > 0")
+    ended = F.max(((F.col("tag") == "a") | ((F.col("tag") != person_tag) & F.col("tag").startswith("h"))).cast("int")).over(Window.partitionBy(id_col, "person").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("said", (ended == 0) & (F.col("tag") != person_tag))
+    low = F.lower("href")
+    document = F.lit(False)
+    for d in documents:
+        document = document | low.endswith(d)
+    link = F.col("tag") == "a"
+    plain = link & ~low.startswith("mailto:") & ~low.startswith("tel:")
+    listed = lambda c, x: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", x.alias("x"))))), lambda v: v["x"])
+    after = lambda scheme: F.min(F.when(link & low.startswith(scheme), F.substring("href", F.lit(len(scheme) + 1), F.length("href"))))
+    return rows.groupBy(id_col, "person").agg(
+        F.first("group_name").alias("group_name"), F.max(F.when(F.col("tag") == person_tag, F.col("text"))).alias("name"), after("mailto:").alias("email"), after("tel:").alias("phone"),
+        listed(plain & ~document, F.col("href")).alias("links"), listed(plain & document, F.col("href")).alias("documents"), F.array_join(listed(F.col("said"), F.col("text")), "\n\n").alias("statement"),
+    )
+
+
+def sitemap_pages(landed: DataFrame, site_col: str, url_col: str, xml_col: str) -> DataFrame:
+    """(site_col, page, url, depth, rank) of a site's sitemaps: indexes are followed one level to sitemaps that were landed; shallow pages first, one address per page."""
+    held = landed.select(site_col, F.col(url_col).alias("_at"), F.col(xml_col).alias("_xml")).where(F.col("_xml").isNotNull())
+    found = held.select(site_col, "_at", F.contains("_xml", F.lit("<sitemapindex")).alias("_index"), F.explode(sitemap_urls(F.col("_xml"))).alias("url"))
+    below = found.where("_index").select(site_col, F.col("url").alias("_at")).distinct()
+    named = found.where("not _index").join(below, [site_col, "_at"], "left_semi").select(site_col, "url")
+    top = found.where("not _index").join(found.where("_index").select(site_col).distinct(), site_col, "left_anti").select(site_col, "url")
+    pages = named.unionByName(top).where(~skipped_link(F.col("url"))).withColumn("page", page_key(F.col("url"))).withColumn("depth", depth(F.col("url")))
+    one = pages.groupBy(site_col, "page").agg(F.min(F.struct("depth", "url")).alias("b")).select(site_col, "page", "b.url", "b.depth")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(site_col).orderBy("depth", "url")))
+
+
 def filled(best: DataFrame, more: DataFrame, site_col: str, page_col: str, rank_col: str, most: int = 12) -> DataFrame:
     """best, and where a site has slots left, more's pages that best lacks, in the order of rank_col; rank runs on."""
     rest = more.join(best.select(site_col, page_col), [site_col, page_col], "left_anti")

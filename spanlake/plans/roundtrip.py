@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from spanlake.functions import urls
 from spanlake.operators import minutes, surveys, web
+from spanlake.plans.composite import _HOSTS, _KEY
 from spanlake.plans.records import _CAST, _VOTES, _cast, _votes
 from spanlake.plans.registry import query
+from spanlake.plans.text import _PATH, skipped_sql
 from spanlake.sources.readers import table
 
 
@@ -149,3 +152,46 @@ def ext05_rich_text(spark: SparkSession, sf: str) -> DataFrame:
     for kind in ("item", "list", "item", "list", "item", "list", "doc"):
         tree = node(kind, tree)
     return docs.select("source_id", F.substring(web.rich_text(F.parse_json(F.to_json(tree))), 1, 200).alias("said"))
+
+
+@query("""
+SELECT municipality, CASE office WHEN 'mayor' THEN 'Mayor' WHEN 'council' THEN 'Councillor' ELSE 'Trustee' END AS group_name, full_name AS name, email, phone, CASE WHEN website IS NULL THEN 0 ELSE 1 END AS links, coalesce(len(nomination_docs), 0)::INT AS documents,
+  'I am ' || full_name || '.' || chr(10) || chr(10) || 'Item of ' || full_name AS statement FROM candidates""")
+def src06_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """People read back from one profile page per municipality: offices as headings, statements that end at the first link, contacts out of links."""
+    c = table(spark, sf, "candidates")
+    rank = F.when(F.col("office") == "mayor", 1).when(F.col("office") == "council", 2).otherwise(3)
+    title = F.when(rank == 1, "Mayor").when(rank == 2, "Councillor").otherwise("Trustee")
+    link = lambda address, label: F.when(address.isNotNull(), F.concat(F.lit("<p><a href='"), address, F.lit(f"'>{label}</a></p>")))
+    documents = F.array_join(F.transform(F.coalesce("nomination_docs", F.array().cast("array<string>")), lambda d: F.concat(F.lit("<a href='https://x.example/"), F.regexp_replace(d, "[^A-Za-z0-9]", ""), F.lit(".PDF'>Paper</a>"))), " ")
+    body = F.concat_ws(
+        "", F.lit("<section><h3>"), "full_name", F.lit("</h3><p>I am "), "full_name", F.lit(".<ul><li>Item of <b>"), "full_name", F.lit("</b></ul>"), link(F.concat(F.lit("mailto:"), "email"), "Write"), F.when(F.col("email").isNull(), "<h4>Notes</h4>"), F.lit("<p>Not said</p>"),
+        link(F.concat(F.lit("tel:"), "phone"), "Call"), link(F.col("website"), "Site"), F.lit("<h4>More</h4><p>Nor this</p>"), documents, F.lit("</section>"),
+    )
+    offices = c.groupBy("municipality", rank.alias("r"), title.alias("t")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", body.alias("b")))), lambda x: x["b"]), "").alias("people"))
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("<h2>"), "t", F.lit("</h2><p>All of them</p>"), "people").alias("h")))), lambda x: x["h"]), "")
+    html = offices.groupBy("municipality").agg(F.concat(F.lit("<body><h1>People</h1>"), page, F.lit("</body>")).alias("html"))
+    found = web.profiles(web.page_events(html, "municipality", "html"), "municipality")
+    return found.select("municipality", "group_name", "name", "email", "phone", F.size("links").alias("links"), F.size("documents").alias("documents"), "statement")
+
+
+_KEYED = _KEY.format("url")
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT {_HOSTS.format('url')} AS site, url FROM source_docs WHERE source_type = 'campaign_site' AND NOT {skipped_sql('url')}),
+k AS (SELECT site, {_KEYED} AS page, (length(regexp_replace({_PATH.format('url')}, '/+$', '')) - length(replace(regexp_replace({_PATH.format('url')}, '/+$', ''), '/', '')))::INT AS depth, url FROM d),
+o AS (SELECT site, page, depth, url, row_number() OVER (PARTITION BY site, page ORDER BY depth, url) AS r FROM k)
+SELECT site, page, url, depth, row_number() OVER (PARTITION BY site ORDER BY depth, url) AS rank FROM o WHERE r = 1""")
+def src12_sitemap_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of each site by way of an index of two sitemaps, shallow ones first; sites by an odd hash have one sitemap and no index."""
+    docs = table(spark, sf, "source_docs").where("source_type = 'campaign_site'").select(urls.host(F.col("url")).alias("site"), "url").distinct()
+    part = F.pmod(F.xxhash64("url"), F.lit(2))
+    flat = F.pmod(F.xxhash64("site"), F.lit(2)) == 1
+    at = lambda k: F.concat(F.lit("https://"), "site", F.lit("/map"), k.cast("string"), F.lit(".xml"))
+    entry = lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))
+    maps = docs.groupBy("site", F.when(flat, 0).otherwise(part).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list("url")), entry), ""), F.lit("</urlset>")).alias("xml"))
+    index = docs.where(~flat).select("site").distinct().select("site", F.concat(F.lit("https://"), "site", F.lit("/index.xml")).alias("at"), F.concat(F.lit("<sitemapindex>"), entry(at(F.lit(0))), entry(at(F.lit(1))), F.lit("</sitemapindex>")).alias("xml"))
+    stray = index.select("site", F.concat(F.lit("https://"), "site", F.lit("/stray.xml")).alias("at"), F.concat(F.lit("<urlset>"), entry(F.concat(F.lit("https://"), "site", F.lit("/stray"))), F.lit("</urlset>")).alias("xml"))
+    landed = maps.select("site", at(F.col("k")).alias("at"), "xml").unionByName(index).unionByName(stray)
+    return web.sitemap_pages(landed, "site", "at", "xml").select("site", "page", "url", "depth", F.col("rank").cast("bigint").alias("rank"))
