@@ -98,7 +98,7 @@ _LABELS = (
     r"|护照号码?|身份证号码?|社保号码?|驾照号码?|паспорт|СНИЛС|여권번호|주민등록번호"
 )
 ID_LABEL = re.compile(rf"(?:{_LABELS})\s*(?:is|:|：|no\.?|Nr\.?|number|reads|n\.?º)?\s*", re.I)
-ID_VALUE = re.compile(r"(?:[A-Z]{1,3}[- ]?|[a-z]{1,2}[- ]?)?\d(?:[ .-]?\d){4,16}(?:-?[A-Za-z](?![A-Za-z]))?(?![0-9])|[A-Z]\d[0-9A-Z]{5,9}(?![0-9A-Za-z])")
+ID_VALUE = re.compile(r"(?:[A-Z]{1,3}[- ]?|[a-z]{1,2}[- ]?)?\d(?:[ .-]?\d){4,17}(?:-?[A-Za-z](?![A-Za-z]))?(?![0-9])|[A-Z]\d[0-9A-Z]{5,9}(?![0-9A-Za-z])")
 
 
 # where such a number can begin: its first digit
@@ -128,24 +128,24 @@ _DIR = r"(?:North|South|East|West|N\.?E\.?|N\.?W\.?|S\.?E\.?|S\.?W\.?|[NSEW]\.?)
 _TYPE = r"(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Crescent|Cres|Court|Ct|Place|Pl|Way|Boulevard|Blvd|Terrace|Parkway|Pkwy|Highway|Hwy|Square|Sq|Close|Trail)"
 _UNIT = r"(?:Unit|Suite|Ste|Apt|Apartment|Floor|Fl|Room|#)\.? ?#?\d+[A-Za-z]?"
 _TITLED, _SMALL = "[A-Z][\\w']*(?: [A-Z][\\w']*){0,2}?", r"(?!(?:about|other|every|public|their|these|those|which|where|while|after|before|under|council)\b)[a-z][\w']{4,}"
-_STOP_IN = rf"\.(?=[.,]|\s[a-z]|\s{_DIR}(?![A-Za-z])|\s[A-Z]\d[A-Z]\b)"
+_STOP_IN = rf"\.(?=[.,;:)]|\s[a-z]|\s{_DIR}(?![A-Za-z])|\s[A-Z]\d[A-Z]\b)"
 ADDRESS_EN = re.compile(
     rf"{_BEFORE}(?:(?:{_UNIT}|#\d+)\s?(?:,|-)\s?)?(?:\d{{1,5}}-)?\d{{1,5}}[A-Za-z]? (?:{_DIR} )?(?:(?:\d{{1,3}}(?:st|nd|rd|th|ST|ND|RD|TH)|{_TITLED}) (?:{_TYPE}|{_TYPE.upper()})|{_SMALL} {_TYPE.lower()})\b"
-    rf"(?:{_STOP_IN})?(?: (?:North|South|East|West|NORTH|SOUTH|EAST|WEST|north|south|east|west|NE|NW|SE|SW|[NSEW])\b(?:\.(?=[.,]|\s[a-z]|\s[A-Z]\d[A-Z]\b))?)?(?:,? (?i:{_UNIT}))?"
+    rf"(?:{_STOP_IN})?(?: (?:North|South|East|West|NORTH|SOUTH|EAST|WEST|north|south|east|west|NE|NW|SE|SW|[NSEW])\b(?:\.(?=[.,;:)]|\s[a-z]|\s[A-Z]\d[A-Z]\b))?)?(?:,? (?i:{_UNIT}))?"
 )
 ADDRESS_FR = re.compile(
-    rf"{_BEFORE}\d{{1,5}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boul\.|boulevard|bd|chemin|allée|place|impasse|quai|route|côte|montée)(?: (?:des|de la|de l'|du|de|d'))? ?[A-ZÀ-Ý][\w'-]*(?: [A-ZÀ-Ý][\w'-]*)?"
+    rf"{_BEFORE}\d{{1,5}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boul\.|boulevard|bd|chemin|allée|place|impasse|quai|route|côte|montée)(?: (?:des|de la|de l'|du|de|d'))? ?[A-ZÀ-Ý][\w'-]*(?: (?-i:[A-ZÀ-Ý])[\w'-]*)?"
     r"(?: (?:Est|Ouest|Nord|Sud)\b)?(?:, (?:app|apt|bureau|suite|unité|étage)\.? ?\d+[A-Za-z]?)?",
     re.I,
 )
 ADDRESS_ES = re.compile(
-    rf"{_BEFORE}(?:Calle|C/|Avda\.|Avenida|Av\.|Plaza|Pl\.|Paseo|Camino|Ronda|Travesía)(?: (?:de la|de los|de las|del|de))? ?[A-ZÁÉÍÓÚÑ][\w'-]*(?: [A-ZÁÉÍÓÚÑ][\w'-]*)?"
+    rf"{_BEFORE}(?:Calle|C/|Avda\.|Avenida|Av\.|Plaza|Pl\.|Paseo|Camino|Ronda|Travesía)(?: (?:de la|de los|de las|del|de))? ?[A-ZÁÉÍÓÚÑ][\w'-]*(?: (?-i:[A-ZÁÉÍÓÚÑ])[\w'-]*)?"
     r",? (?:n\.º ?|núm\. ?|nº ?)?\d{1,4}[A-Za-z]?(?!\d)(?:, ?\d{1,2}\.?[ºª](?: ?(?:[A-Z]\b|izq\.?|dcha\.?))?)?",
     re.I,
 )
 ADDRESS_DE = re.compile(
     rf"{_BEFORE}(?:[A-ZÄÖÜ][\wß-]*(?:straße|strasse|str\.|weg|gasse|allee|ring|ufer|damm|steig|platz|pfad|markt)"
-    r"|(?:Am|An der|Im|In der|Zum|Zur|Auf der|Auf dem|Unter den) (?!Jahr\b)[A-ZÄÖÜ][\wß-]*) \d{1,4} ?[a-z]?(?![\w%])(?:-\d{1,4}[a-z]?)?(?!\.\d|,\d|\. (?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember))",
+    r"|(?:Am|An der|Im|In der|Zum|Zur|Auf der|Auf dem|Unter den) (?!Jahr\b)[A-ZÄÖÜ][\wß-]*) \d{1,4}(?:[a-z]| [a-k])?(?![\w%])(?:-\d{1,4}[a-z]?)?(?!\.\d|,\d|\. (?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember))",
     re.I,
 )
 # what a text must hold for the pattern beside it to match; looked for before the pattern is run

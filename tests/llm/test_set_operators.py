@@ -404,3 +404,34 @@ def test_fitting_learns_what_tells():
     model = T.fit(x, labels)
     assert ((model.score(rows) > 0.5) == labels).all() and ((T.held_out_scores(x, labels) > 0.5) == labels).mean() > 0.99
     assert len(model.score([])) == 0
+
+
+def test_recall_by_kind_on_planted_entities():
+    rng = random.Random(12)
+    lexicon = NameLexicon(tuple("Ada Bo Una Emil Rosa Ivo Thea Nils".split()), ("bren", "tar", "vel", "ost"), ("holt", "mere", "wick", "berg"), ("smithers",))
+    word = lambda n=5: "".join(rng.choice("abdefgiklmnoprstu") for _ in range(n))
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    given = lambda: rng.choice(lexicon.given)
+    family = lambda: rng.choice(lexicon.starts).title() + word(3) + rng.choice(lexicon.ends)
+    make = {
+        "email": [lambda: f"{word()}.{word(3)}@{word()}.example", lambda: f"{word()}+{d(2)}@{word(4)}.{word(4)}.org", lambda: f"{word()} [at] {word()} [dot] net", lambda: f"{word()} at {word()} dot example", lambda: f"{word()}(at){word()}.com"],
+        "phone": [lambda: f"+1 250 555 0{d(3)}", lambda: f"(604) 555-{d(4)}", lambda: f"778.555.{d(4)}", lambda: f"250-555-{d(4)} ext. {d(2)}", lambda: f"+44 7700 900{d(3)}", lambda: f"+33 1 99 {d(2)} {d(2)} {d(2)}", lambda: f"+49 30 9018{d(2)}", lambda: f"+86 138 {d(4)} {d(4)}"],
+        "id_number": [("SIN ", lambda: f"{d(3)} {d(3)} {d(3)}"), ("passport no. ", lambda: f"QX{d(6)}"), ("PHN: ", lambda: f"9{d(3)} {d(3)} {d(3)}"), ("DNI ", lambda: f"{d(8)}-Z"), ("driver's licence ", lambda: f"DL-{d(7)}"), ("身份证号码", lambda: f"1101011990{d(8)}"), ("Sozialversicherungsnummer ", lambda: f"{d(2)} {d(6)} M {d(3)}"[:9]), ("numéro de sécurité sociale : ", lambda: f"2 85 05 {d(2)} {d(3)} {d(3)}")],
+        "address": [lambda: f"{d(2)}1 {word().title()} Street", lambda: f"Unit {d(1)}, 1{d(3)} {word().title()} Drive", lambda: f"4{d(2)} {word().title()} Ave. W.", lambda: f"3{d(1)} rue des {word().title()}", lambda: f"Calle {word().title()} 1{d(1)}, 3.º B", lambda: f"{word().title()}straße 1{d(1)}", lambda: f"Am {word().title()} {d(1)}7"],
+        "name": [lambda: f"{given()} {family()}", lambda: f"{given()} {rng.choice('ABC')}. {family()}", lambda: f"{rng.choice('ABC')}. {family()}", lambda: f"{family()}, {given()}", lambda: f"{given()} {family()}-{family()}".replace("-", "-"), lambda: family().upper()],
+    }
+    around = [("They wrote to ", ", and then left."), ("Contact: ", "\n\nThe council met twice."), ("Il a dit ", " hier soir."), ("So war es: ", "; mehr nicht."), ("Antes, ", " y nada más.")]
+    finder = Finder(lexicon)
+    for kind, forms in make.items():
+        hit = total = 0
+        for k in range(400):
+            form = forms[k % len(forms)]
+            label, entity = (form[0], form[1]()) if isinstance(form, tuple) else ("", form())
+            before, after = around[k % len(around)]
+            text = f"{before}{label}{entity}{after}"
+            a = len(before) + len(label)
+            hit += (a, a + len(entity), kind) in finder.find(text)
+            total += 1
+        assert hit >= 0.95 * total, (kind, hit / total)
+    plain = ["The bylaw 2019-123456 passed on 12 March 2024 with 45% in favour.", "Account 4666 519 2025 and parcel 009-590-676 were closed.", "Meet at the library on Oak Street; the ferry runs at 7:30.", "Es kamen 1234567 Leute.", "Page 12 of 345, file 98-7654."]
+    assert sum(len(finder.find(x)) for x in plain) == 0
