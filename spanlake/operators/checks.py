@@ -9,7 +9,15 @@ from spanlake.operators.spans import verified
 
 
 class CheckFailed(Exception):
-    pass
+    """A check found problems."""
+
+
+class AmbiguousName(CheckFailed):
+    """Several people have a name that should be one's."""
+
+
+class Blocked(CheckFailed):
+    """A source may not be read."""
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,3 +70,10 @@ def assert_none(problems: DataFrame, what: str, show: int = 5) -> None:
     found = problems.limit(show).collect()
     if found:
         raise CheckFailed(f"{what}: " + "; ".join(str(r.asDict()) for r in found))
+
+
+def assert_unambiguous(people: DataFrame, keys: list[str]) -> None:
+    """Raise if several people share the keys."""
+    found = duplicate_keys(people, keys).limit(5).collect()
+    if found:
+        raise AmbiguousName("; ".join(str(r.asDict()) for r in found))

@@ -344,3 +344,12 @@ def rich_text(nodes: Column) -> Column:
         return pa.array(["" if t is None else node_text(_parsed(t)) for t in trees.to_pylist()], pa.string())
 
     return F.arrow_udf(flat, "string")(F.to_json(nodes))
+
+
+def tree_marks(nodes: Column, kind: str) -> Column:
+    """The texts of all marks of a kind in a VARIANT tree, in order, at any depth."""
+
+    def found(trees: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [text for text, _ in marks_of(_parsed(t), kind)] for t in trees.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(found, "array<string>")(F.to_json(nodes))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanlake.functions import dates, text as tx, urls
-from spanlake.operators import checks, ordering, records, reviews
+from spanlake.operators import checks, ordering, records, reviews, web
 from spanlake.operators.tagging import TAXONOMY
 from spanlake.plans.composite import OFFICES, TOPICS
 from spanlake.plans.records import _CAST, _VOTES, HINTS, _cast, _positions, _votes
@@ -270,3 +270,86 @@ def dq13_seats(spark: SparkSession, sf: str) -> DataFrame:
     """Councils that have more or fewer seats than expected."""
     seats = table(spark, sf, "rosters").where("office = 'council'")
     return checks.wrong_counts(seats, ["municipality"], seats.select("municipality").distinct().withColumn("expected", F.lit(4).cast("bigint")))
+
+
+_SITE_HOST = "regexp_replace(lower(regexp_extract(website, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '')"
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(e.value, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM (SELECT unnest(map_entries(socials)) AS e FROM candidates WHERE socials IS NOT NULL)),
+k AS (SELECT candidate_id, website, row_number() OVER (ORDER BY candidate_id) AS k FROM candidates)
+SELECT candidate_id, {_SITE_HOST} AS host FROM k WHERE website IS NOT NULL AND k % 6 <> 0 AND {_SITE_HOST} NOT IN (SELECT host FROM s)""")
+def flt12_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites to read: there is one, it is not switched off (here: every sixth is), and its host is no social network's."""
+    c = table(spark, sf, "candidates")
+    social = c.where("socials is not null").select(F.explode("socials").alias("k", "u")).select(urls.host(F.col("u")).alias("host")).distinct()
+    off = ordering.global_rank(c.select("candidate_id"), ["candidate_id"], "k").where("k % 6 = 0").select("candidate_id")
+    sites = c.where("website is not null").select("candidate_id", urls.host(F.col("website")).alias("host"))
+    return sites.join(off, "candidate_id", "left_anti").join(social, "host", "left_anti").select("candidate_id", "host")
+
+
+@query("SELECT DISTINCT source_id, NOT contains(lower(text), 'cookie') AND len(list_filter(regexp_split_to_array(text, '\\n{2,}'), lambda p: length(trim(p)) >= 120)) > 0 AS has_content FROM source_docs WHERE text IS NOT NULL")
+def flt19_has_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages without the marker of an empty one and with a block of 120 characters."""
+    long = F.exists(tx.paragraphs(F.col("text")), lambda p: F.length(p) >= 120)
+    return table(spark, sf, "source_docs").where("text is not null").select("source_id", (~F.contains(F.lower("text"), F.lit("cookie")) & long).alias("has_content")).distinct()
+
+
+@query("SELECT candidate_id, CASE WHEN candidate_id LIKE '%a' THEN 'could not be read' ELSE '' END AS notice FROM candidates")
+def hlp07_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """People with a hand-kept notice beside them."""
+    c = table(spark, sf, "candidates").select("candidate_id")
+    notices = c.where(F.col("candidate_id").endswith("a")).select("candidate_id", F.lit("could not be read").alias("notice"))
+    return c.join(notices, "candidate_id", "left").select("candidate_id", F.coalesce("notice", F.lit("")).alias("notice"))
+
+
+@query(f"""
+WITH v AS ({_VOTES}) SELECT c.vote_id, c.member_id, CASE c.decision WHEN 'for' THEN 'Voted for' WHEN 'against' THEN 'Voted against' WHEN 'absent' THEN 'Was absent' ELSE 'Did not vote' END AS label,
+  CASE WHEN v.minutes_url IS NULL THEN 'not yet adopted' ELSE '' END AS note, len(list_filter(regexp_split_to_array(coalesce(resolution_text, ''), '\\n+'), lambda p: trim(p) <> ''))::INT AS paragraphs FROM ({_CAST}) c JOIN v USING (vote_id)""")
+def hlp10_vote_items(spark: SparkSession, sf: str) -> DataFrame:
+    """A vote as it is shown beside a member: label, note, paragraphs."""
+    d = F.col("decision")
+    label = F.when(d == "for", "Voted for").when(d == "against", "Voted against").when(d == "absent", "Was absent").otherwise("Did not vote")
+    paragraphs = F.size(F.filter(F.split(F.coalesce("resolution_text", F.lit("")), r"\n+"), lambda p: F.trim(p) != ""))
+    v = _votes(spark, sf).select("vote_id", F.when(F.col("minutes_url").isNull(), "not yet adopted").otherwise("").alias("note"), paragraphs.alias("paragraphs"))
+    return _cast(spark, sf).join(v, "vote_id").select("vote_id", "member_id", label.alias("label"), "note", "paragraphs")
+
+
+@query("SELECT candidate_id, office AS read_back FROM candidates")
+def str19_office(spark: SparkSession, sf: str) -> DataFrame:
+    """Offices out of headings, by how these begin."""
+    o = F.col("office")
+    heading = F.concat(F.when(o == "mayor", "Candidates for Mayor").when(o == "council", "Council, six seats").otherwise("School Trustee (two)"), F.lit(" – all"))
+    t = F.regexp_replace(heading, "^Candidates for ", "")
+    office = F.when(t.startswith("Mayor"), "mayor").when(t.startswith("Council"), "council").when(t.startswith("School Trustee"), "trustee")
+    return table(spark, sf, "candidates").select("candidate_id", office.alias("read_back"))
+
+
+@query("SELECT DISTINCT source_id, CASE WHEN source_id % 2 = 0 THEN 'https://video.example/watch?v=x' || source_id ELSE 'https://video.example/watch' END AS page FROM source_docs")
+def ext09_video_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of embedded videos."""
+    i = F.col("source_id").cast("string")
+    url = F.when(F.col("source_id") % 2 == 0, F.concat(F.lit("https://video.example/embed/x"), i, F.lit("?autoplay=1#t"))).otherwise(F.lit("https://video.example/watch?list=1"))
+    return table(spark, sf, "source_docs").select("source_id", urls.video_page(url).alias("page")).distinct()
+
+
+@query("SELECT source_id, 2 AS links, any_value(url) || ' ' || any_value(coalesce(title, '')) AS said FROM (SELECT source_id, min(url) AS url, min(title) AS title FROM source_docs GROUP BY 1) GROUP BY 1")
+def ext06_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Linked texts collected through a rich-text tree."""
+    docs = table(spark, sf, "source_docs").groupBy("source_id").agg(F.min("url").alias("url"), F.min("title").alias("title"))
+    mark = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), F.struct(F.lit("x").alias("href")).alias("attrs")))
+    leaf = lambda c, kind: F.struct(F.lit("text").alias("type"), c.alias("text"), mark(kind).alias("marks"))
+    inner = F.struct(F.lit("item").alias("type"), F.array(leaf(F.lit("plain"), "bold"), leaf(F.coalesce("title", F.lit("")), "link")).alias("content"))
+    json = F.concat(F.lit('{"type":"doc","content":[{"type":"p","content":['), F.to_json(leaf(F.col("url"), "link")), F.lit(']},{"type":"list","content":['), F.to_json(inner), F.lit("]}]}"))
+    found = docs.select("source_id", web.tree_marks(F.parse_json(json), "link").alias("m"))
+    return found.select("source_id", F.size("m").alias("links"), F.array_join("m", " ").alias("said"))
+
+
+@query("SELECT DISTINCT vote_id, strftime(meeting_date, '%Y-%m-%d') AS day, coalesce(meeting_type, '') AS kind FROM vote_items")
+def src15_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Meetings read back from the rows of an HTML table that lists each twice."""
+    v = table(spark, sf, "vote_items").select("vote_id", "meeting_date", F.trim(F.coalesce("meeting_type", F.lit(""))).alias("kind"), F.coalesce("meeting_type", F.lit("")).alias("raw")).distinct()
+    row = F.concat(F.lit("<tr><td>"), F.date_format("meeting_date", "MMMM d yyyy"), F.lit("</td><td><b>"), "raw", F.lit("</b></td></tr>"))
+    html = v.select("vote_id", F.concat(F.lit("<table>"), row, row, F.lit("</table>")).alias("html"), "raw")
+    cells = html.select("vote_id", "raw", F.explode(F.array_distinct(web.listing_rows(F.col("html"), r"<tr><td>([^<]+)</td>"))).alias("day"))
+    return cells.select("vote_id", F.date_format(dates.parsed_long_date(F.col("day")), "yyyy-MM-dd").alias("day"), F.col("raw").alias("kind")).distinct()
