@@ -199,13 +199,15 @@ def representative_pairs(df: DataFrame, id_col: str, text_col: str, members: Dat
     rate = (1 - threshold) / (1 + threshold)
     gone, level = F.col("meta").bitwiseAND(255), F.shiftright("meta", 8).bitwiseAND(255)
     l_gone, l_level = F.col("l_meta").bitwiseAND(255), F.shiftright("l_meta", 8).bitwiseAND(255)
-    # the side with fewer words taken out comes first; with as many, the two orders give one
-    a = rows.where(gone * 2 <= level).select("sig", *(F.col(c).alias("l_" + c) for c in rows.columns[1:]))
+    rows = rows.repartition(partitions, "sig")
+    # the side with fewer words taken out comes first; with as many, the two orders give one.
+    # Exploding nothing drops the others after the exchange, so both sides read one and the same
+    few = F.explode(F.when(gone * 2 <= level, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("_few")
+    a = rows.select("sig", *(F.col(c).alias("l_" + c) for c in rows.columns[1:]), few).drop("_few")
     once = (l_gone < gone) | ((l_gone == gone) & (F.col("l_rep") < F.col("rep")))
     sums = F.shiftright("l_meta", 16) + F.shiftright("meta", 16)
     far = sum((F.bit_count(F.col(f"l_s{i}").bitwiseXOR(F.col(f"s{i}"))) for i in range(1, 4)), F.bit_count(F.col("l_s0").bitwiseXOR(F.col("s0"))))
     near = (far <= sums * F.lit(rate) + F.lit(1e-9)) & (F.col("l_rep") != F.col("rep")) & once & (l_gone + gone <= F.least(l_level, level))
-    a, rows = a.repartition(partitions, "sig"), rows.repartition(partitions, "sig")
     met = join_large(a, rows, (a["sig"] == rows["sig"]) & near)
     pairs = checkpointed(met.select(F.least("l_rep", "rep").alias("ra"), F.greatest("l_rep", "rep").alias("rb")).distinct(), spark)
     asked = pairs.select(F.col("ra").alias("rep")).union(pairs.select("rb")).distinct()
