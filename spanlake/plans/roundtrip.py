@@ -93,7 +93,7 @@ def jon13_unclaimed_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return minutes.unclaimed_numbers(_minute_lines(spark, sf))
 
 
-@query("""
+@query(r"""
 WITH d AS (SELECT DISTINCT source_id, retrieved, text FROM source_docs WHERE source_type = 'questionnaire_reply' AND text IS NOT NULL)
 SELECT source_id, 'Person ' || source_id AS name, strftime(retrieved, '%Y-%m-%d') AS received, CASE WHEN source_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS replies,
   length('We read: ' || replace(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')), ' .', '.') || ' And so it stands.')::INT + CASE WHEN source_id % 2 = 0 THEN length('An addition, written later.') + 2 ELSE 0 END AS chars FROM d""")
